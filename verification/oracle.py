@@ -1,0 +1,12 @@
+"""DuckDB SQL per registered query."""
+
+from __future__ import annotations
+
+from . import oracle_base as b
+
+SQL: dict[str, str] = {}
+
+SQL["momentum_long_short_summary"] = f"""
+WITH {b.month_factors(mom_1=b.MOM1)}, {b.preprocess(["mom_1"], 5)},
+scored AS (SELECT *, mom_1 AS score FROM z), {b.long_short(0.2, 2.0, 2)}, {b.TURNOVER}, {b.port_returns()}, {b.SUMMARY}
+SELECT n_periods, {b.rnd(b.SUMMARY_COLUMNS)} FROM summary"""

@@ -1,0 +1,43 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alphaweave.operators import performance as perf
+from alphaweave.operators import portfolio as pf
+from alphaweave.operators.preprocess import preprocess
+from alphaweave.session import materialize
+from alphaweave.sources import adapters
+
+from .inputs import month_factors, rounded
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        assert name not in QUERIES, name
+        QUERIES[name] = fn
+        return fn
+
+    return add
+
+
+@query("momentum_long_short_summary")
+def momentum_long_short_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Momentum score, quantile legs, returns, turnover and summary: the flagship."""
+    bound = adapters.supplier_bound(spark, sf)
+    raw, cal = month_factors(spark, sf, ["mom_1"])
+    z = materialize(preprocess(raw, ["mom_1"], 5, max_names=bound).withColumn("score", F.col("mom_1")))
+    weights = materialize(pf.quantile_long_short(z, 0.2, 2.0, 2, max_names=bound))
+    daily = (
+        perf.portfolio_returns(weights, cal, max_abs_return=10.0)
+        .join(F.broadcast(perf.exposures_by_day(weights, cal).select("t", "gross_exposure")), "t")
+        .join(F.broadcast(pf.turnover(weights, cal).select("t", "turnover")), "t")
+    )
+    return rounded(perf.summarize(daily))
