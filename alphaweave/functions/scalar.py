@@ -179,23 +179,24 @@ def label_or_placeholder(x, name: str, position) -> Column:
     ).otherwise(x.cast("string"))
 
 
-def first_present(stmt: Column, keys: list[str]) -> Column:
+def sql_first_present(stmt: str, keys: list[str]) -> str:
     """Value of the first key present in a statement map.
 
     A present key wins even when its value cannot be read as a number; the
     result is then null instead of falling through to the next key.
     """
-    out = F.lit(None).cast("double")
-    for key in reversed(keys):
-        node = F.try_element_at(stmt, F.lit(key))
-        has_value = F.coalesce(F.map_contains_key(node, "value"), F.lit(False))
-        number = null_nan(F.try_element_at(node, F.lit("value")).try_cast("double"))
-        out = F.when(has_value, number).otherwise(out)
-    return out
+    node = lambda k: f"try_element_at({stmt}, '{k}')"
+    whens = " ".join(
+        f"WHEN map_contains_key({node(k)}, 'value') THEN nullif(try_cast(try_element_at({node(k)}, 'value') AS DOUBLE), double('NaN'))"
+        for k in keys
+    )
+    return f"CASE {whens} END"
 
 
 def free_cash_flow(ocf, capex) -> Column:
     """Operating cash flow less the size of capital spending; null unless both are finite."""
+    if isinstance(ocf, str) and isinstance(capex, str):
+        return F.expr(f"CASE WHEN {sql_is_finite(ocf)} AND {sql_is_finite(capex)} THEN {ocf} - abs({capex}) END")
     return F.when(is_finite(ocf) & is_finite(capex), _c(ocf) - F.abs(_c(capex)))
 
 

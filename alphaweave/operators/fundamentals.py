@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite_or_null, first_present, free_cash_flow, ieee_div, is_finite
+from ..functions import free_cash_flow, sql_div, sql_finite, sql_first_present, sql_is_finite
 from ..schemas import FILING
 
 # Vendor item names per statement, in order of preference.
@@ -69,23 +69,20 @@ def flatten_filings(filings: DataFrame, lag_days: int = 60) -> DataFrame:
     Known from the filing date, or from period end plus a lag when that is
     missing; `availability_source` says which.
     """
-    day = lambda c: F.to_date(F.try_to_timestamp(F.col(c).cast("string")))
-    fin = F.col("financials")
-    base = filings.select(
-        F.coalesce("ticker", F.try_element_at("tickers", F.lit(1))).alias("ticker"),
-        day("start_date").alias("start_date"),
-        day("end_date").alias("end_date"),
-        day("filing_date").alias("filing_date"),
+    day = lambda c: f"to_date(try_to_timestamp(CAST({c} AS STRING))) AS {c}"
+    base = filings.selectExpr(
+        "coalesce(ticker, try_element_at(tickers, 1)) AS ticker", day("start_date"), day("end_date"), day("filing_date"),
         "timeframe", "fiscal_period", "fiscal_year",
-        *[first_present(F.try_element_at(fin, F.lit(s)), keys).alias(c) for c, (s, keys) in ITEMS.items()],
+        *[f"try_element_at(financials, '{s}') AS __{s}" for s in sorted({s for s, _ in ITEMS.values()})],
     )
-    known = F.coalesce("filing_date", F.date_add("end_date", lag_days))
-    source = F.when(F.col("filing_date").isNull(), "end_date_plus_lag").otherwise("filing_date")
-    return (
-        base.withColumn("available_date", known)
-        .withColumn("availability_source", source)
-        .withColumn("free_cash_flow", free_cash_flow("operating_cash_flow", "capex"))
-        .dropna(subset=["ticker", "available_date"])
+    flat = base.selectExpr(
+        "ticker", "start_date", "end_date", "filing_date", "timeframe", "fiscal_period", "fiscal_year",
+        f"coalesce(filing_date, date_add(end_date, {lag_days})) AS available_date",
+        "CASE WHEN filing_date IS NULL THEN 'end_date_plus_lag' ELSE 'filing_date' END AS availability_source",
+        *[f"{sql_first_present(f'__{s}', keys)} AS {c}" for c, (s, keys) in ITEMS.items()],
+    )
+    return flat.withColumn("free_cash_flow", free_cash_flow("operating_cash_flow", "capex")).dropna(
+        subset=["ticker", "available_date"]
     )
 
 
@@ -139,15 +136,11 @@ def build_ttm(flat: DataFrame, min_quarters: int = 4) -> DataFrame:
     )
     out = keyed.join(four, ["ticker", "__id"])
 
-    def total(c: str) -> Column:
-        vals = F.filter(F.transform("__last4", lambda e: finite_or_null(e["__known"][c])), lambda x: x.isNotNull())
-        oldest_first = F.reverse(vals)
-        return F.when(
-            F.size(vals) >= min_quarters, F.aggregate(oldest_first, F.lit(0.0), lambda acc, x: acc + x)
-        )
-
-    out = out.withColumns({f"__ttm_{c}": total(c) for c in FLOW_COLUMNS})
-    out = out.withColumns({c: F.col(f"__ttm_{c}") for c in FLOW_COLUMNS})
+    total = lambda c: (
+        f"CASE WHEN size(filter(__last4, e -> {sql_is_finite(f'e.__known.{c}')})) >= {min_quarters} THEN "
+        f"aggregate(reverse(__last4), 0D, (a, e) -> a + coalesce({sql_finite(f'e.__known.{c}')}, 0D)) END AS {c}"
+    )
+    out = out.drop(*FLOW_COLUMNS).selectExpr("*", *[total(c) for c in FLOW_COLUMNS])
     return out.select(
         "ticker", "start_date", "end_date", "filing_date", "available_date", "availability_source",
         F.lit("ttm_from_quarterly").alias("timeframe"),
@@ -173,9 +166,8 @@ def daily_fundamentals(
     supplies the dates.
     """
     cols = columns or VALUE_COLUMNS
-    order = F.struct("end_date", "filing_date")
     filed = flat.groupBy("ticker", F.col("available_date").alias("date")).agg(
-        *[F.max_by(c, F.when(is_finite(c), order)).alias(c) for c in cols]
+        *[F.expr(f"max_by({c}, CASE WHEN {sql_is_finite(c)} THEN struct(end_date, filing_date) END) AS {c}") for c in cols]
     )
     filed = filed.withColumn("__kind", F.lit(0))
     asked = days.withColumn("__kind", F.lit(1)).withColumn("__offset", F.lit(0))
@@ -209,44 +201,44 @@ def daily_fundamentals(
 
 
 YEAR = 252
-RATIOS = [
-    "earnings_yield", "book_to_market", "sales_to_price", "cashflow_to_price", "fcf_yield", "ev_to_sales",
-    "ev_to_operating_income", "roe", "roa", "gross_margin", "operating_margin", "net_margin", "debt_to_equity",
-    "current_ratio", "cash_to_assets", "asset_turnover", "revenue_growth_yoy", "net_income_growth_yoy",
-]
+# Ratio: numerator, denominator, and what is taken off the quotient.
+_RATIOS = {
+    "earnings_yield": ("net_income", "market_cap", ""),
+    "book_to_market": ("equity", "market_cap", ""),
+    "sales_to_price": ("revenues", "market_cap", ""),
+    "cashflow_to_price": ("operating_cash_flow", "market_cap", ""),
+    "fcf_yield": ("free_cash_flow", "market_cap", ""),
+    "ev_to_sales": ("enterprise_value", "revenues", ""),
+    "ev_to_operating_income": ("enterprise_value", "operating_income", ""),
+    "roe": ("net_income", "equity", ""),
+    "roa": ("net_income", "assets", ""),
+    "gross_margin": ("gross_profit", "revenues", ""),
+    "operating_margin": ("operating_income", "revenues", ""),
+    "net_margin": ("net_income", "revenues", ""),
+    "debt_to_equity": ("debt", "equity", ""),
+    "current_ratio": ("current_assets", "current_liabilities", ""),
+    "cash_to_assets": ("cash", "assets", ""),
+    "asset_turnover": ("revenues", "assets", ""),
+    "revenue_growth_yoy": ("revenues", "revenues_lag", " - 1"),
+    "net_income_growth_yoy": ("net_income", "net_income_lag", " - 1"),
+}
+RATIOS = list(_RATIOS)
 
 
 def fundamental_factors(daily: DataFrame, close: str = "adj_close", keep: list[str] | None = None) -> DataFrame:
     """The 18 ratio factors; a missing input column makes its ratios null."""
     have = set(daily.columns)
-    g = lambda c: F.col(c) if c in have else F.lit(None).cast("double")
-    shares = F.when(is_finite(g("shares_diluted")), g("shares_diluted")).otherwise(g("shares_basic"))
-    mcap = F.col(close) * shares
-    ev = mcap + g("debt") - g("cash")
-    f = {
-        "earnings_yield": ieee_div(g("net_income"), mcap),
-        "book_to_market": ieee_div(g("equity"), mcap),
-        "sales_to_price": ieee_div(g("revenues"), mcap),
-        "cashflow_to_price": ieee_div(g("operating_cash_flow"), mcap),
-        "fcf_yield": ieee_div(g("free_cash_flow"), mcap),
-        "ev_to_sales": ieee_div(ev, g("revenues")),
-        "ev_to_operating_income": ieee_div(ev, g("operating_income")),
-        "roe": ieee_div(g("net_income"), g("equity")),
-        "roa": ieee_div(g("net_income"), g("assets")),
-        "gross_margin": ieee_div(g("gross_profit"), g("revenues")),
-        "operating_margin": ieee_div(g("operating_income"), g("revenues")),
-        "net_margin": ieee_div(g("net_income"), g("revenues")),
-        "debt_to_equity": ieee_div(g("debt"), g("equity")),
-        "current_ratio": ieee_div(g("current_assets"), g("current_liabilities")),
-        "cash_to_assets": ieee_div(g("cash"), g("assets")),
-        "asset_turnover": ieee_div(g("revenues"), g("assets")),
-        "revenue_growth_yoy": ieee_div(g("revenues"), g("revenues_lag")) - 1,
-        "net_income_growth_yoy": ieee_div(g("net_income"), g("net_income_lag")) - 1,
-    }
+    inputs = [*VALUE_COLUMNS, "revenues_lag", "net_income_lag"]
     keep = keep if keep is not None else [c for c in ("t", "tradable") if c in have]
-    return daily.select(
-        "ticker", "date", *keep, mcap.alias("market_cap"), ev.alias("enterprise_value"),
-        *[f[n].alias(n) for n in RATIOS],
+    base = daily.selectExpr(
+        "ticker", "date", *keep, *[c if c in have else f"CAST(NULL AS DOUBLE) AS {c}" for c in inputs],
+        f"{close} * CASE WHEN {sql_is_finite('shares_diluted') if 'shares_diluted' in have else 'false'} THEN "
+        f"{'shares_diluted' if 'shares_diluted' in have else 'CAST(NULL AS DOUBLE)'} ELSE "
+        f"{'shares_basic' if 'shares_basic' in have else 'CAST(NULL AS DOUBLE)'} END AS market_cap",
+    ).selectExpr("*", "market_cap + debt - cash AS enterprise_value")
+    return base.selectExpr(
+        "ticker", "date", *keep, "market_cap", "enterprise_value",
+        *[f"{sql_div(num, den)}{minus} AS {name}" for name, (num, den, minus) in _RATIOS.items()],
     )
 
 

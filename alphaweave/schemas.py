@@ -11,10 +11,8 @@ INTRADAY_BARS = (
 BAR_FIELDS = ["open", "high", "low", "close", "volume", "vwap", "transactions"]
 
 # One grouped-daily response: T ticker, t epoch milliseconds, o/h/l/c prices, v volume, vw vwap, n trades.
-GROUPED_DAILY = (
-    "results ARRAY<STRUCT<T: STRING, t: BIGINT, o: DOUBLE, h: DOUBLE, l: DOUBLE, c: DOUBLE, "
-    "v: DOUBLE, vw: DOUBLE, n: DOUBLE>>"
-)
+# Two keys differ only by case, so the items are read as maps.
+GROUPED_DAILY = "results ARRAY<MAP<STRING, STRING>>"
 TICKER_REFERENCE = (
     "results ARRAY<STRUCT<ticker: STRING, name: STRING, type: STRING, active: BOOLEAN, "
     "list_date: STRING, delisted_utc: STRING>>"

@@ -71,84 +71,52 @@ def filing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly filings per supplier as JSON text, with the vendor's irregularities.
 
     Item names vary by filing, some values cannot be read, some filing dates are
-    missing and some quarters are restated later.
+    missing and some quarters are restated later. Amounts are whole units of
+    1/10000 so that their text form is exact.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_quantity"
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS k", "trunc(to_date(l_shipdate), 'quarter') AS q", "bigint(round(l_extendedprice * 100)) AS px",
+        "bigint(round((1 - l_discount) * 100)) AS part", "bigint(round(l_tax * 100)) AS tax", "bigint(l_quantity) AS qty",
     )
-    q = F.trunc(F.to_date("l_shipdate"), "quarter")
-    agg = lines.groupBy(F.col("l_suppkey").alias("k"), q.alias("q")).agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"),
-        F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"),
-        F.sum("l_extendedprice").alias("gross"),
-        F.sum("l_quantity").alias("qty"),
+    agg = lines.groupBy("k", "q").agg(
+        F.expr("sum(px * part) AS rev"), F.expr("sum(px * tax) AS tax"), F.expr("sum(px) AS gross"), F.expr("sum(qty) AS qty")
     )
-    # Whole cents keep the text form exact in any engine.
-    agg = agg.select("k", "q", *[F.round(c, 2).alias(c) for c in ("rev", "tax", "gross", "qty")])
-    versions = agg.withColumn(
-        "version", F.explode(F.when(F.col("k") % 4 == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = agg.selectExpr(
+        "*", "explode(CASE WHEN k % 4 = 2 THEN array(0, 1) ELSE array(0) END) AS v", "date_sub(add_months(q, 3), 1) AS e"
+    ).selectExpr("*", "rev * (1 + v) AS rv", "k % 13 = 4 AND month(q) = 4 AS bad")
+    node = lambda name, amount: (
+        f"named_struct('key', {name}, 'value', map('value', CAST({amount} AS STRING), 'unit', 'USD'))"
     )
-    k, v = F.col("k"), F.col("version")
-    end = F.date_sub(F.add_months("q", 3), 1)
-    filed = F.date_add(end, (20 + k % 40 + v * 100).cast("int"))
-    money = lambda c: F.struct(F.format_string("%.2f", c).alias("value"), F.lit("USD").alias("unit"))
-    rev = F.col("rev") * (1 + v * F.lit(0.5))
-    month = F.month("q")
-    bad = (k % 13 == 4) & (month == 4)
-    node = lambda name, c: F.struct(F.lit(name).alias("key"), money(c).alias("value"))
-    pick = lambda cond, a, b: F.when(cond, a).otherwise(b)
-    unreadable = F.struct(
-        F.lit("revenues").alias("key"), F.struct(F.lit("n/a").alias("value"), F.lit("USD").alias("unit")).alias("value")
+    fixed = lambda *items: f"map_from_entries(array({', '.join(node(repr(n), a) for n, a in items)}))"
+    balance = fixed(
+        ("assets", "gross * 300"), ("current_assets", "gross * 100"), ("current_liabilities", "gross * 40 + 10000"),
+        ("long_term_debt", "gross * 80"), ("cash", "tax * 2"),
     )
-    income = F.map_from_entries(
-        F.concat(
-            F.array(pick(bad, unreadable, pick(k % 3 == 1, node("sales", rev), node("revenues", rev)))),
-            F.when(bad, F.array(node("sales", rev))).otherwise(F.slice(F.array(node("sales", rev)), 1, 0)),
-            F.array(
-                node("cost_of_revenue", F.col("gross") * 0.6),
-                node("gross_profit", rev - F.col("gross") * 0.6),
-                node("operating_income_loss", rev - F.col("gross") * 0.7),
-                node("net_income_loss", rev - F.col("gross") * 0.7 - F.col("tax")),
-                node("basic_average_shares", F.col("qty") * 10),
-            ),
-            F.when(k % 2 == 0, F.array(node("diluted_average_shares", F.col("qty") * 11))).otherwise(
-                F.slice(F.array(node("x", F.col("qty"))), 1, 0)
-            ),
-        )
+    equity_key = "CASE WHEN k % 3 = 0 THEN 'stockholders_equity' ELSE 'equity' END"
+    equity = f"map_from_entries(array({node(equity_key, 'gross * 150')}))"
+    income = fixed(
+        ("cost_of_revenue", "gross * 60"), ("gross_profit", "rv - gross * 60"), ("operating_income_loss", "rv - gross * 70"),
+        ("net_income_loss", "rv - gross * 70 - tax"), ("basic_average_shares", "qty * 10"),
     )
-    balance = F.map_from_entries(
-        F.array(
-            node("assets", F.col("gross") * 3),
-            node("current_assets", F.col("gross")),
-            node("current_liabilities", F.col("gross") * 0.4 + 1),
-            pick(k % 3 == 0, node("stockholders_equity", F.col("gross") * 1.5), node("equity", F.col("gross") * 1.5)),
-            node("long_term_debt", F.col("gross") * 0.8),
-            node("cash", F.col("tax") * 2),
-        )
+    sales_key = "CASE WHEN k % 3 = 1 AND NOT bad THEN 'sales' ELSE 'revenues' END"
+    sales = f"map_from_entries(array({node(sales_key, 'CASE WHEN bad THEN NULL ELSE rv END')}))"
+    unreadable = "map('revenues', map('value', 'n/a', 'unit', 'USD'), 'sales', map('value', CAST(rv AS STRING), 'unit', 'USD'))"
+    diluted = "map('diluted_average_shares', map('value', CAST(qty * 11 AS STRING), 'unit', 'shares'))"
+    none = "map_from_entries(slice(array(named_struct('key', 'x', 'value', map('value', 'x'))), 1, 0))"
+    cash_flow = fixed(("net_cash_flow_from_operating_activities", "rv - gross * 65"), ("capital_expenditures", "gross * -5"))
+    day = lambda c: f"date_format({c}, 'yyyy-MM-dd')"
+    return rows.selectExpr(
+        f"""to_json(named_struct(
+          'ticker', CASE WHEN k % 10 <> 9 THEN concat('S', k) END, 'tickers', array(concat('S', k)),
+          'start_date', {day('q')}, 'end_date', {day('e')},
+          'filing_date', CASE WHEN k % 6 <> 5 OR v <> 0 THEN {day('date_add(e, int(20 + k % 40 + v * 100))')} END,
+          'timeframe', 'quarterly', 'fiscal_period', concat('Q', quarter(q)), 'fiscal_year', CAST(year(q) AS STRING),
+          'financials', named_struct(
+            'balance_sheet', map_concat({balance}, {equity}),
+            'income_statement', map_concat(
+              {income}, CASE WHEN bad THEN {unreadable} ELSE {sales} END, CASE WHEN k % 2 = 0 THEN {diluted} ELSE {none} END),
+            'cash_flow_statement', {cash_flow}))) AS json"""
     )
-    cash_flow = F.map_from_entries(
-        F.array(
-            node("net_cash_flow_from_operating_activities", rev - F.col("gross") * 0.65),
-            node("capital_expenditures", F.col("gross") * -0.05),
-        )
-    )
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    doc = F.struct(
-        pick(k % 10 == 9, F.lit(None).cast("string"), F.concat(F.lit("S"), k.cast("string"))).alias("ticker"),
-        F.array(F.concat(F.lit("S"), k.cast("string"))).alias("tickers"),
-        day("q").alias("start_date"),
-        day(end).alias("end_date"),
-        pick((k % 6 == 5) & (v == 0), F.lit(None).cast("string"), day(filed)).alias("filing_date"),
-        F.lit("quarterly").alias("timeframe"),
-        F.concat(F.lit("Q"), F.quarter("q").cast("string")).alias("fiscal_period"),
-        F.year("q").cast("string").alias("fiscal_year"),
-        F.struct(
-            balance.alias("balance_sheet"),
-            income.alias("income_statement"),
-            cash_flow.alias("cash_flow_statement"),
-        ).alias("financials"),
-    )
-    return versions.select(F.to_json(doc).alias("json"))
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

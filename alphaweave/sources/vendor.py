@@ -24,16 +24,14 @@ def read_grouped_daily(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_grouped_daily(responses: DataFrame) -> DataFrame:
     """Explode grouped-daily responses into daily bars; epoch milliseconds become a UTC date."""
-    return responses.select(F.inline("results")).select(
-        F.to_date(millis_to_timestamp("t")).alias("date"),
-        F.col("T").alias("ticker"),
-        F.col("o").alias("open"),
-        F.col("h").alias("high"),
-        F.col("l").alias("low"),
-        F.col("c").alias("close"),
-        F.col("v").alias("volume"),
-        F.col("vw").alias("vwap"),
-        F.col("n").alias("transactions"),
+    item = responses.select(F.explode("results").alias("m"))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    # The vendor's key per field.
+    fields = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v", "vwap": "vw", "transactions": "n"}
+    return item.select(
+        F.to_date(millis_to_timestamp(get("t").try_cast("double").cast("bigint"))).alias("date"),
+        get("T").alias("ticker"),
+        *[get(k).try_cast("double").alias(name) for name, k in fields.items()],
     )
 
 

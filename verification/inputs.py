@@ -43,12 +43,15 @@ def month_factors(spark: SparkSession, sf: str, names: list[str]) -> tuple[DataF
 
 
 def rounded(df: DataFrame, digits: int = 8, **by_col: int) -> DataFrame:
-    """Round the double columns for comparison; per-column digits by keyword."""
+    """Round the double columns for comparison; per-column digits by keyword.
+
+    Scaling by 1 + 1e-13 moves exact decimal ties, which the two engines would
+    round differently; adding 0 turns -0.0 into 0.0.
+    """
     out = []
     for name, typ in df.dtypes:
         if typ == "double":
-            # Adding 0.0 turns -0.0 into 0.0.
-            out.append((F.round(F.col(name), by_col.get(name, digits)) + F.lit(0.0)).alias(name))
+            out.append(f"round(`{name}` * 1.0000000000001D, {by_col.get(name, digits)}) + 0D AS `{name}`")
         else:
-            out.append(F.col(name))
-    return df.select(*out)
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)

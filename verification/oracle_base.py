@@ -130,7 +130,12 @@ summary AS (
 
 
 def rnd(names: list[str], digits: int = 8) -> str:
-    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"{rd(n, digits)} AS {n}" for n in names)
+
+
+def rd(expr: str, digits: int = 8) -> str:
+    """The rounding of `inputs.rounded`."""
+    return f"round(({expr}) * 1.0000000000001e0, {digits}) + 0e0"
 
 
 SUMMARY_COLUMNS = [
