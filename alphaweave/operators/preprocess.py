@@ -6,12 +6,14 @@ one row per date; no task ever holds a whole cross-section.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import finite_or_null, group_quantiles, is_finite, join_stats, sql_finite
+from ..functions import finite_or_null, group_quantiles, join_stats, sql_finite, sql_is_finite
 
 
 def winsorize(
@@ -60,26 +62,16 @@ def coverage(df: DataFrame, names: list[str], cells: DataFrame | None = None) ->
     rows of `df` are the grid.
     """
     per_date = df.groupBy("date").agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count_if(is_finite(n)).alias(n) for n in names]
+        F.expr("count(1) AS __rows"), *[F.expr(f"count_if({sql_is_finite(n)}) AS {n}") for n in names]
     )
     packed = per_date.agg(
-        F.sum("__rows").alias("rows"),
-        *[F.struct(F.sum(n).alias("c"), F.count_if(F.col(n) > 0).alias("d")).alias(n) for n in names],
+        F.expr("sum(__rows) AS rows"),
+        *[F.expr(f"named_struct('c', sum({n}), 'd', count_if({n} > 0)) AS {n}") for n in names],
     )
-    out = packed.select(
-        "rows",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("k"), F.lit(n).alias("factor"),
-                        F.col(n)["c"].alias("finite_cells"), F.col(n)["d"].alias("finite_dates"),
-                    )
-                    for i, n in enumerate(names)
-                ]
-            )
-        ),
+    items = ", ".join(
+        f"named_struct('k', {i}, 'factor', '{n}', 'finite_cells', {n}.c, 'finite_dates', {n}.d)" for i, n in enumerate(names)
     )
+    out = packed.selectExpr("rows", f"inline(array({items}))")
     if cells is None:
         return out.withColumnRenamed("rows", "cells")
     return out.drop("rows").join(F.broadcast(cells), F.lit(True))
@@ -96,34 +88,38 @@ def grid_cells(cal: DataFrame, tickers: DataFrame) -> DataFrame:
 def factor_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation and overlap of every factor pair over pairwise-finite cells.
 
-    All pairs come out of one aggregation over rows that already hold all
-    factors side by side; pairs are chunked so one generated method stays small.
-    Returns (i, j, factor, with, corr, overlap) with i < j and factor = j.
+    Every task turns its rows into K x K sums by matrix products and hands on
+    only those; a sum over (i, j) completes them. Meant for z-scored columns,
+    whose sums do not cancel. Returns (i, j, factor, with, corr, overlap) with
+    i < j and factor = j.
     """
-    pairs = list(combinations(range(len(names)), 2))
-    frames = []
-    for start in range(0, len(pairs), 200):
-        chunk = pairs[start : start + 200]
-        aggs = []
-        for i, j in chunk:
-            a, b = finite_or_null(names[i]), finite_or_null(names[j])
-            both = a.isNotNull() & b.isNotNull()
-            x, y = F.when(both, a), F.when(both, b)
-            aggs.append(
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.count(x).alias("overlap"),
-                    F.corr(a, b).alias("corr"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"),
-                ).alias(f"p{i}_{j}")
-            )
-        frames.append(df.agg(*aggs).select(F.inline(F.array(*[F.col(f"p{i}_{j}") for i, j in chunk]))))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    label = F.array(*[F.lit(n) for n in names])
-    usable = (F.col("sx") > 1e-12) & (F.col("sy") > 1e-12)
-    return out.select(
-        "i", "j", F.element_at(label, F.col("j") + 1).alias("factor"), F.element_at(label, F.col("i") + 1).alias("with"),
-        F.when(usable, F.col("corr")).alias("corr"), "overlap",
+    k = len(names)
+    upper = np.triu_indices(k, 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            m = np.isfinite(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            sq = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
+        yield pd.DataFrame(
+            {"i": upper[0], "j": upper[1]} | {c: total[a][upper] for a, c in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}
+        )
+
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    part = df.select(*names).mapInPandas(sums, schema)
+    agg = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    agg = agg.selectExpr(
+        "i", "j", "bigint(n) AS overlap", "try_divide(sxy, n) - try_divide(sx, n) * try_divide(sy, n) AS cov",
+        "sqrt(greatest(try_divide(sxx, n) - power(try_divide(sx, n), 2), 0D)) AS dx",
+        "sqrt(greatest(try_divide(syy, n) - power(try_divide(sy, n), 2), 0D)) AS dy",
+    )
+    label = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    return agg.selectExpr(
+        "i", "j", f"{label}[j] AS factor", f"{label}[i] AS with",
+        "CASE WHEN dx > 1e-12 AND dy > 1e-12 THEN cov / (dx * dy) END AS corr", "overlap",
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alphaweave.operators.preprocess import preprocess
+from alphaweave.operators.ridge import estimate_factor_returns, factor_returns_long
 from alphaweave.operators.price_factors import price_factors, with_forward_return
 from alphaweave.operators.universe import calendar, with_adj_close, with_t, with_tradable
 from alphaweave.session import materialize
@@ -55,3 +57,30 @@ def rounded(df: DataFrame, digits: int = 8, **by_col: int) -> DataFrame:
         else:
             out.append(f"`{name}`")
     return df.selectExpr(*out)
+
+
+FACTORS = ["mom_1", "mom_5", "intraday_return"]
+MIN_NAMES = 5
+
+
+class Model:
+    """The small factor model most queries share: three factors on the wide panel."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.bound = adapters.supplier_bound(spark, sf)
+        self.raw, self.cal = month_factors(spark, sf, FACTORS)
+        self.names = FACTORS
+
+    def z(self) -> DataFrame:
+        return preprocess(self.raw, FACTORS, MIN_NAMES, max_names=self.bound)
+
+    def exposures(self) -> DataFrame:
+        """Neutral-filled exposures, written once."""
+        z = self.z()
+        others = [c for c in z.columns if c not in FACTORS]
+        return materialize(z.selectExpr(*others, *[f"coalesce({n}, 0D) AS {n}" for n in FACTORS]))
+
+    def factor_returns(self, x: DataFrame, **kw) -> DataFrame:
+        """Long factor returns, dense over the calendar."""
+        fr = estimate_factor_returns(x, FACTORS, MIN_NAMES, **({"ridge": 0.5} | kw))
+        return materialize(factor_returns_long(fr, FACTORS, self.cal))

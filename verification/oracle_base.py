@@ -141,3 +141,61 @@ def rd(expr: str, digits: int = 8) -> str:
 SUMMARY_COLUMNS = [
     "mean_return", "volatility", "sharpe", "total_return", "max_drawdown", "win_rate", "avg_gross_exposure", "avg_turnover",
 ]
+
+
+# ---- the shared three-factor model ---------------------------------------------------------
+
+FACTORS = ["mom_1", "mom_5", "intraday_return"]
+RAW3 = month_factors(mom_1=MOM1, mom_5=MOM5, intraday_return=INTRADAY)
+Z3 = f"{RAW3}, {preprocess(FACTORS, 5)}"
+X3 = f"""{Z3}, x AS (
+  SELECT ticker, date, t, tradable, fwd_ret, close, open, volume,
+    {", ".join(f"coalesce({n}, 0) AS {n}" for n in FACTORS)} FROM z)"""
+
+
+def ridge3(lam: float, min_names: int = 5) -> str:
+    """Closed-form three-factor ridge per date (Cramer's rule); `beta` has one row per date, `fr` the long dense form."""
+    f = ["mom_1", "mom_5", "intraday_return"]
+    g = [f"sum({f[i]} * {f[j]}) + {lam if i == j else 0.0}e0 AS g{i}{j}" for i in range(3) for j in range(i, 3)]
+    rhs = [f"sum({f[i]} * y) AS b{i}" for i in range(3)]
+
+    def det(cols: list[list[str]]) -> str:
+        a, b, c = cols
+        return (
+            f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) "
+            f"+ {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+        )
+
+    col = [["g00", "g01", "g02"], ["g01", "g11", "g12"], ["g02", "g12", "g22"]]
+    b = ["b0", "b1", "b2"]
+    d = det(col)
+    sol = [f"CASE WHEN n >= {min_names} THEN {det([b if k == i else col[k] for k in range(3)])} / {d} END AS {f[i]}" for i in range(3)]
+    long = " UNION ALL ".join(f"SELECT c.date, c.t, '{n}' AS factor, {n} AS f FROM cal c LEFT JOIN beta USING (date)" for n in f)
+    return f"""rows3 AS (
+  SELECT *, fwd_ret - avg(fwd_ret) OVER (PARTITION BY date) AS y FROM x WHERE tradable AND fwd_ret IS NOT NULL),
+gram AS (SELECT date, count(*) AS n, {", ".join(g + rhs)} FROM rows3 GROUP BY date),
+beta AS (SELECT d.date, coalesce(n, 0) AS n_obs, {", ".join(sol)} FROM (SELECT DISTINCT date FROM x) d LEFT JOIN gram USING (date)),
+fr AS ({long})"""
+
+
+SEEN = "seen AS (SELECT c.t, max(CASE WHEN f IS NOT NULL THEN fr.t END) AS last_any FROM cal c LEFT JOIN fr ON fr.t < c.t GROUP BY c.t)"
+
+
+def forecast(method: str, lookback: int = 20, hl: float = 20.0, mp: int = 5) -> str:
+    """`pred` (date, t, factor, f_pred) from `fr`."""
+    if method == "latest":
+        value = "SELECT a.date, a.t, a.factor, b.f AS v FROM fr a JOIN seen USING (t) LEFT JOIN fr b ON b.factor = a.factor AND b.t = last_any"
+    else:
+        weight = f"pow(0.5e0, (a.t - 1 - b.t) / {hl}e0)" if method == "ewma" else "1e0"
+        value = f"""SELECT a.date, a.t, a.factor, CASE WHEN count(b.f) >= {mp} THEN sum(b.f * {weight}) / sum({weight}) END AS v
+    FROM fr a LEFT JOIN fr b ON b.factor = a.factor AND b.t BETWEEN a.t - {lookback} AND a.t - 1 AND b.f IS NOT NULL GROUP BY 1, 2, 3"""
+    return f"""{SEEN},
+pred AS (SELECT v.date, v.t, v.factor, CASE WHEN last_any IS NOT NULL THEN coalesce(v, 0) END AS f_pred
+  FROM ({value}) v JOIN seen USING (t))"""
+
+
+PWIDE = "pw AS (SELECT t, " + ", ".join(f"max(f_pred) FILTER (WHERE factor = '{n}') AS fp_{n}" for n in FACTORS) + " FROM pred GROUP BY t)"
+ALPHA_EXPR = "CASE WHEN " + " OR ".join(f"fp_{n} IS NOT NULL" for n in FACTORS) + " THEN " + " + ".join(
+    f"{n} * coalesce(fp_{n}, 0)" for n in FACTORS
+) + " END"
+SCORED = f"{PWIDE}, scored AS (SELECT x.*, CASE WHEN tradable THEN {ALPHA_EXPR} END AS score FROM x LEFT JOIN pw USING (t))"
