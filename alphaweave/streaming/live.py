@@ -17,7 +17,7 @@ from ..operators.price_factors import PRICE_FACTORS, price_factors
 from ..operators.universe import calendar, with_adj_close
 from ..session import materialize
 from ..sources.bars import normalize_bars
-from ..sources.sinks import append_log, path_exists, upsert_bars
+from ..sources.sinks import path_exists, upsert_bars
 
 
 def bar_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -127,8 +127,8 @@ def batch_alpha(exposures: DataFrame, names: list[str], forecast: dict[str, floa
 class Rebalancer:
     """One micro-batch of the live loop; state lives in tables under `root`.
 
-    Tables: bars (upserted), holding (bars held per position), orders and
-    events (appended). Re-running a batch id rewrites the same keys.
+    Tables: bars (upserted); positions, holding, orders, risk checks and events
+    partitioned by batch id. Re-running a batch rewrites its own partitions.
     """
 
     def __init__(self, spark: SparkSession, root: str, cfg: LiveConfig, forecast: dict[str, float], names: list[str] | None = None, equity: float | None = None):
@@ -136,9 +136,20 @@ class Rebalancer:
         self.forecast, self.names = forecast, names
         self.equity = equity if equity is not None else cfg.starting_equity
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _state(self, name: str, schema: str, batch_id: int) -> DataFrame:
+        """State as the last earlier batch left it, so a replayed batch starts from the same rows."""
         path = f"{self.root}/{name}"
-        return self.spark.read.parquet(path) if path_exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+        last = rows.agg(F.max("batch_id")).first()[0]
+        return rows.where(F.col("batch_id") == (last if last is not None else -1)).drop("batch_id")
+
+    def _save(self, name: str, df: DataFrame, batch_id: int) -> None:
+        """Overwrite only this batch's partition."""
+        df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch_id").parquet(f"{self.root}/{name}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         upsert_bars(normalize_bars(batch), f"{self.root}/bars", ("timestamp", "ticker"))
@@ -149,8 +160,8 @@ class Rebalancer:
             F.broadcast(history.agg(F.max("timestamp").alias("timestamp"))), "timestamp", "left_semi"
         )
         quotes = materialize(od.latest_bars(newest))
-        positions = self._table("positions", "ticker string, qty bigint")
-        holding = self._table("holding", "ticker string, bars_held int")
+        positions = self._state("positions", "ticker string, qty bigint", batch_id)
+        holding = self._state("holding", "ticker string, bars_held int", batch_id)
         alpha = od.standardize(materialize(batch_alpha(x, used, self.forecast)))
         cands = materialize(od.signal_filter(alpha, quotes, self.cfg))
         current = materialize(od.weights_from_positions(positions, quotes, self.equity))
@@ -159,22 +170,14 @@ class Rebalancer:
             od.generate_orders(positions, targets, quotes, self.equity, self.cfg), self.equity, self.cfg.max_position_weight
         )
         orders = materialize(orders)
-        stamp = lambda df: df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         safe = orders.where("ok")
-        # Overwriting the batch's own partition keeps a replayed batch from doubling rows.
-        for name, df in (("risk_checks", orders), ("orders", safe)):
-            stamp(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
-                f"{self.root}/{name}"
-            )
-        materialize(od.next_holding(holding, targets)).write.mode("overwrite").parquet(f"{self.root}/holding")
-        fills = od.positions_from_fills(
-            safe.select("ticker", "side", "quantity").unionByName(
-                positions.selectExpr("ticker", "CASE WHEN qty >= 0 THEN 'BUY' ELSE 'SELL' END AS side", "abs(qty) AS quantity")
-            )
-        )
-        materialize(fills).write.mode("overwrite").parquet(f"{self.root}/positions")
-        events = attach_row(od.alpha_stats(cands), od.turnover_between(current, targets))
-        append_log(stamp(events), f"{self.root}/events")
+        held = positions.selectExpr("ticker", "CASE WHEN qty >= 0 THEN 'BUY' ELSE 'SELL' END AS side", "abs(qty) AS quantity")
+        fills = od.positions_from_fills(safe.select("ticker", "side", "quantity").unionByName(held))
+        self._save("risk_checks", orders, batch_id)
+        self._save("orders", safe, batch_id)
+        self._save("holding", materialize(od.next_holding(holding, targets)), batch_id)
+        self._save("positions", materialize(fills), batch_id)
+        self._save("events", attach_row(od.alpha_stats(cands), od.turnover_between(current, targets)), batch_id)
 
 
 def start(

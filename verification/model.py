@@ -152,7 +152,7 @@ def ridge_gcv_factor_returns(spark, sf):
     return fr.select("date", "selected_ridge", "n_obs", *[F.col("f")[i].alias(n) for i, n in enumerate(FACTORS)])
 
 
-LAMBDAS = [0.0, 0.5, 50.0]
+LAMBDAS = [0.05, 0.5, 50.0]
 
 
 def diag(spark, sf):
@@ -193,7 +193,8 @@ def ridge_diagnostics_fit(spark, sf):
 @query("ridge_diagnostics_full")
 def ridge_diagnostics_full(spark, sf):
     """All diagnostics with warning flags."""
-    return rg.warning_flags(diag(spark, sf)).drop("f")
+    d = rg.ridge_diagnostics(Model(spark, sf).exposures(), FACTORS, [0.0, *LAMBDAS], MIN_NAMES)
+    return rg.warning_flags(materialize(d)).drop("f")
 
 
 @query(
