@@ -60,7 +60,12 @@ FLOW_COLUMNS = [
 
 
 def parse_filing_json(lines: DataFrame, col: str = "json") -> DataFrame:
-    return lines.select(F.from_json(col, FILING).alias("r")).select("r.*")
+    """Filing records from JSON text.
+
+    The record goes through `inline`: a generator is not merged into later
+    projections, so a line is parsed once however many items are read from it.
+    """
+    return lines.select(F.inline(F.array(F.from_json(col, FILING))))
 
 
 def flatten_filings(filings: DataFrame, lag_days: int = 60) -> DataFrame:

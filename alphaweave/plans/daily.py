@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +23,82 @@ from ..session import materialize
 from ..sources.sinks import path_exists, write_csv_report, write_json
 
 
-@dataclass
 class BacktestTables:
-    """Lazy result tables of one backtest."""
+    """Result tables of one backtest. `daily` is ready; reports are derived when first asked for."""
+
+    def __init__(
+        self, cfg: BacktestConfig, days: DataFrame, names: list[str], panel: DataFrame, info: DataFrame, table: DataFrame,
+        book: DataFrame, daily: DataFrame, exposures: DataFrame, factor_returns: DataFrame, pred: DataFrame,
+        max_names: int | None, warnings: list[str],
+    ):
+        self.cfg, self.days, self.names, self.daily, self.book, self.warnings = cfg, days, names, daily, book, warnings
+        self._panel, self._info, self._table = panel, info, table
+        self._x, self._f, self._pred, self._max_names = exposures, factor_returns, pred, max_names
+
+    @cached_property
+    def _positions(self) -> DataFrame:
+        """The scored panel with the final and the previous weight; carried names appear as extra rows."""
+        names = self.names
+        prev = pf.previous_weights(self.book, self.days).select("t", "ticker", F.col("weight").alias("__w"), "previous_weight")
+        full = (
+            self._panel.join(prev, ["t", "ticker"], "full_outer")
+            .withColumns({"weight": F.coalesce("__w", F.lit(0.0)), "previous_weight": F.coalesce("previous_weight", F.lit(0.0))})
+            .drop("__w", "date")
+            .join(F.broadcast(self.days), "t")
+        )
+        return materialize(full.withColumns({f"c_{n}": F.coalesce(f"c_{n}", F.lit(0.0)) for n in names}))
 
-    daily: DataFrame
-    orders: DataFrame
-    target_positions: DataFrame
-    current_positions: DataFrame
-    factor_report: DataFrame
-    alpha_rankings: DataFrame
-    quantile_summary: DataFrame
-    residuals: DataFrame
-    outliers: DataFrame
-    execution_quality: DataFrame
-    risk_summary: DataFrame
-    metadata: DataFrame
-    warnings: list[str] = field(default_factory=list)
+    @cached_property
+    def alpha_rankings(self) -> DataFrame:
+        return materialize(rk.alpha_rankings(self._positions, self.names, self.cfg, self._max_names))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        prices = self._table.select("ticker", "t", "signal_price", "execution_price", "exit_price", "execution_date", "exit_date")
+        return self.alpha_rankings.where("side <> ''").join(prices, ["ticker", "t"], "left").withColumn(
+            "holding_period_days", F.lit(self.cfg.holding_period_days)
+        )
+
+    @property
+    def target_positions(self) -> DataFrame:
+        return rk.target_positions(self.alpha_rankings)
+
+    @property
+    def current_positions(self) -> DataFrame:
+        return rk.current_positions(self.alpha_rankings)
+
+    @property
+    def execution_quality(self) -> DataFrame:
+        return order_costs(self.orders, self.cfg)
+
+    @property
+    def factor_report(self) -> DataFrame:
+        return factor_history(self._f, self._pred)
+
+    @cached_property
+    def quantile_summary(self) -> DataFrame:
+        realized = self._positions.join(self._table.select("t", "ticker", "realized"), ["t", "ticker"], "left")
+        return rk.quantile_summary(realized, self._info, self._max_names)
+
+    @cached_property
+    def _residual_scores(self) -> DataFrame:
+        return rs.residual_zscores(materialize(rs.residuals(self._x, self._f, self.names)))
+
+    @property
+    def residuals(self) -> DataFrame:
+        return self._residual_scores.select("date", "ticker", "residual", "residual_zscore")
+
+    @property
+    def outliers(self) -> DataFrame:
+        return rs.outliers(self._residual_scores, self.cfg.residual_outlier_z_threshold)
+
+    @property
+    def risk_summary(self) -> DataFrame:
+        return rk.risk_summary(self.book, self.daily, self.days.agg(F.max("t")).first()[0])
+
+    @property
+    def metadata(self) -> DataFrame:
+        return _metadata(self.days, self._panel, self.names, self.cfg)
 
 
 def _slice_calendar(cal: DataFrame, cfg: BacktestConfig) -> DataFrame:
@@ -100,6 +160,8 @@ def run_backtest(
     shift = days.select("date", "t")
     on_slice = lambda df: df.drop("t").join(F.broadcast(shift), "date")
     x, pred, f, px = on_slice(exposures), on_slice(pred), on_slice(factor_returns), on_slice(bars)
+    # The quotes are read for prices and liquidity here and for fills below.
+    px = materialize(px.select("ticker", "t", "open", "close", "volume"))
     adj = on_slice(adjusted_bars) if adjusted_bars is not None else None
     days = shift
 
@@ -142,36 +204,9 @@ def run_backtest(
         )
     )
 
-    prev = pf.previous_weights(book, days).select("t", "ticker", F.col("weight").alias("__w"), "previous_weight")
-    full = (
-        panel.join(prev, ["t", "ticker"], "full_outer")
-        .withColumns({"weight": F.coalesce("__w", F.lit(0.0)), "previous_weight": F.coalesce("previous_weight", F.lit(0.0))})
-        .drop("__w", "date")
-        .join(F.broadcast(days), "t")
-    )
-    full = materialize(full.withColumns({f"c_{n}": F.coalesce(f"c_{n}", F.lit(0.0)) for n in names}))
-    rankings = materialize(rk.alpha_rankings(full, names, cfg, max_names))
-    prices = table.select("ticker", "t", "signal_price", "execution_price", "exit_price", "execution_date", "exit_date")
-    orders = rankings.where("side <> ''").join(prices, ["ticker", "t"], "left").withColumn(
-        "holding_period_days", F.lit(cfg.holding_period_days)
-    )
-    realized = full.join(table.select("t", "ticker", "realized"), ["t", "ticker"], "left")
-    resid = rs.residual_zscores(rs.residuals(x, f, names))
-    last_t = days.agg(F.max("t")).first()[0]
     return BacktestTables(
-        daily=daily,
-        orders=orders,
-        target_positions=rk.target_positions(rankings),
-        current_positions=rk.current_positions(rankings),
-        factor_report=factor_history(f, pred),
-        alpha_rankings=rankings,
-        quantile_summary=rk.quantile_summary(realized, info, max_names),
-        residuals=resid.select("date", "ticker", "residual", "residual_zscore"),
-        outliers=rs.outliers(resid, cfg.residual_outlier_z_threshold),
-        execution_quality=order_costs(orders, cfg),
-        risk_summary=rk.risk_summary(book, daily, last_t),
-        metadata=_metadata(days, panel, names, cfg),
-        warnings=point_in_time_warnings(meta) if cfg.use_point_in_time_universe else [],
+        cfg, days, names, panel, info, table, book, daily, x, f, pred, max_names,
+        point_in_time_warnings(meta) if cfg.use_point_in_time_universe else [],
     )
 
 

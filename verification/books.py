@@ -17,7 +17,7 @@ from alphaweave.session import materialize
 from alphaweave.sources import adapters
 
 from . import oracle_base as b
-from .inputs import FACTORS, Model, month_panel, rounded
+from .inputs import FACTORS, Model, rounded
 from .market import META_CTE
 from .model import FR, LAM  # noqa: F401
 from .registry import query
@@ -41,7 +41,7 @@ class Desk:
         self.pred = materialize(
             predict_factor_returns(self.f, cfg.forecast_method, cfg.lookback, cfg.ewma_halflife, cfg.min_periods)
         )
-        self.bars, _ = month_panel(spark, sf)
+        self.bars = self.m.bars
         self.meta = adapters.supplier_meta(spark, sf)
         self.panel = materialize(scored_panel(self.x, self.pred, FACTORS, self.bars, self.meta, cfg))
         weighted, self.info = pf.rank_weights(self.panel, cfg, self.m.bound)
@@ -319,8 +319,7 @@ def full_backtest_daily(spark, sf):
     """The whole close-to-next-open backtest without feedback rules."""
     m = Model(spark, sf)
     x = m.exposures()
-    bars, _ = month_panel(spark, sf)
-    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, bars, CFG, adapters.supplier_meta(spark, sf), max_names=m.bound)
+    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, adapters.supplier_meta(spark, sf), max_names=m.bound)
     return rounded(res.daily.select("signal_date", "portfolio_return", "turnover", "transaction_cost", "cumulative_return"))
 
 
@@ -361,9 +360,8 @@ def after_close_targets(spark, sf):
     """Order plan of the last date against yesterday's recomputed book."""
     m = Model(spark, sf)
     x = m.exposures()
-    bars, _ = month_panel(spark, sf)
     last = str(m.cal.agg(F.max("date")).first()[0])
-    plan = after_close_plan(x, m.factor_returns(x), FACTORS, m.cal, bars, CFG, last, max_names=m.bound)
+    plan = after_close_plan(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, last, max_names=m.bound)
     return plan.target_positions.drop("reason_text")
 
 

@@ -36,12 +36,20 @@ def week_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def month_factors(spark: SparkSession, sf: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Masked raw factors with forward returns on the wide panel."""
-    panel, cal = month_panel(spark, sf)
-    panel = with_forward_return(panel, 1, 10.0)
+    """Masked raw factors with forward returns on the wide panel, and the calendar; both written once."""
+    raw, cal, _ = month_tables(spark, sf, names)
+    return raw, cal
+
+
+def month_tables(spark: SparkSession, sf: str, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `month_factors`, with the bar panel. Bars are the first written table: the raw rows are read once."""
+    bars = materialize(month_bars(spark, sf))
+    cal = materialize(calendar(bars))
+    panel = with_tradable(with_adj_close(with_t(bars, cal)))
     keep = ["tradable", "fwd_ret", "close", "open", "volume"]
-    raw = price_factors(panel, names, keep)
-    return materialize(raw.withColumns({n: F.when(F.col("tradable"), F.col(n)) for n in names})), materialize(cal)
+    raw = price_factors(with_forward_return(panel, 1, 10.0), names, keep)
+    masked = [f"CASE WHEN tradable THEN {n} END AS {n}" for n in names]
+    return materialize(raw.selectExpr("ticker", "date", "t", *keep, *masked)), cal, panel
 
 
 def rounded(df: DataFrame, digits: int = 8, **by_col: int) -> DataFrame:
@@ -68,7 +76,7 @@ class Model:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.bound = adapters.supplier_bound(spark, sf)
-        self.raw, self.cal = month_factors(spark, sf, FACTORS)
+        self.raw, self.cal, self.bars = month_tables(spark, sf, FACTORS)
         self.names = FACTORS
 
     def z(self) -> DataFrame:
