@@ -73,7 +73,7 @@ def kalman_from_stocks(
     for n in names:
         ok = ok & is_finite(n)
     rows = exposures.where(ok).select("date", F.array(*names).alias("x"), F.col(ret).alias("y"))
-    tri = cal.join(F.broadcast(triangles(rows, k)), "date", "left").withColumn("model", F.lit(0))
+    tri = cal.join(triangles(rows, k), "date", "left").withColumn("model", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import BacktestConfig
 from ..functions import finite_or_null, group_quantiles, is_finite, join_stats
+from .keyed import attach_row
 
 
 def quantile_long_short(
@@ -174,7 +175,7 @@ def turnover(weights: DataFrame, cal: DataFrame, keys: list[str] | None = None)
     if keys:
         grid = weights.select(*keys).distinct()
         days = cal.agg(F.collect_list(F.struct("t", "date")).alias("__d"))
-        base = grid.join(F.broadcast(days), F.lit(True)).select(*keys, F.inline("__d"))
+        base = attach_row(grid, days).select(*keys, F.inline("__d"))
         return base.join(per_day, [*keys, "t"], "left").select(
             *keys, "date", "t", F.coalesce("turnover", F.lit(0.0)).alias("turnover")
         )

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null, group_quantiles, join_stats, sql_finite, sql_is_finite
+from .keyed import attach_row
 
 
 def winsorize(
@@ -74,15 +75,13 @@ def coverage(df: DataFrame, names: list[str], cells: DataFrame | None = None) ->
     out = packed.selectExpr("rows", f"inline(array({items}))")
     if cells is None:
         return out.withColumnRenamed("rows", "cells")
-    return out.drop("rows").join(F.broadcast(cells), F.lit(True))
+    return attach_row(out.drop("rows"), cells)
 
 
 def grid_cells(cal: DataFrame, tickers: DataFrame) -> DataFrame:
     """T x N as one row, without building the grid."""
     n = tickers.select("ticker").distinct().agg(F.count("*").alias("__n"))
-    return cal.agg(F.count("*").alias("__t")).join(F.broadcast(n), F.lit(True)).select(
-        (F.col("__t") * F.col("__n")).alias("cells")
-    )
+    return attach_row(cal.agg(F.count("*").alias("__t")), n).select((F.col("__t") * F.col("__n")).alias("cells"))
 
 
 def factor_correlations(df: DataFrame, names: list[str]) -> DataFrame:

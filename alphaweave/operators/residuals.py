@@ -74,7 +74,7 @@ def ticker_coverage(resid: DataFrame, cal: DataFrame, threshold: float = 0.5) ->
         F.count("residual").alias("__n"), F.avg(F.col("residual") * F.col("residual")).alias("mean_squared_residual")
     )
     share = F.col("__n") / F.col("__T")
-    return per.join(F.broadcast(days), F.lit(True)).select(
+    return attach_row(per, days).select(
         "ticker", share.alias("finite_residual_fraction"), "mean_squared_residual",
         (share < threshold).alias("below_coverage_threshold"),
     )

@@ -67,8 +67,11 @@ def upsert_bars(new: DataFrame, path: str, keys: tuple[str, str] = ("date", "tic
         merged = materialize(upsert(touched, new, list(keys)))
     else:
         merged = upsert(new.limit(0), new, list(keys))
+    # The hash bucket splits a busy day over several tasks and files.
     (
-        merged.repartition("day")
+        merged.withColumn("__b", F.pmod(F.xxhash64("ticker"), F.lit(16)))
+        .repartition("day", "__b")
+        .drop("__b")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

@@ -136,7 +136,7 @@ def stamp(minutes):
 
 def intraday(spark, n=80, tickers=("A", "B", "C")):
     rows = [
-        (stamp(15 * i), tk, 10.0 + k + (i * 7 % 5) / 10, 11.0 + k, 9.0 + k, 10.2 + k + (i * (k + 3) % 7) / 10, None if tk == "C" else 1000.0 + i)
+        (stamp(15 * i), tk, 10.0 + k + (i * 7 % 5) / 10, 11.0 + k, 9.0 + k, 10.2 + k + (i * (k + 3) % 7) / 10, None if tk == "C" else 1000.0 + float(i ** (k + 1)))
         for i in range(n) for k, tk in enumerate(tickers)
     ]
     return spark.createDataFrame(rows, "timestamp timestamp, ticker string, open double, high double, low double, close double, volume double")
@@ -166,7 +166,9 @@ def test_normalize_bars(spark):
 def test_stream_drops_late_rows_and_counts_them(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     schema = "ts timestamp, ticker string, price double, event_id bigint"
-    batches = [[(stamp(0), "A", 1.0, 1), (stamp(5), "A", 2.0, 2)], [(stamp(120), "A", 3.0, 3)], [(stamp(1), "A", 9.0, 4)], [(stamp(300), "A", 4.0, 5)]]
+    batches = [[(stamp(0), "A", 1.0, 1), (stamp(5), "A", 2.0, 2)], [(stamp(120), "A", 3.0, 3)], [(stamp(300), "A", 4.0, 4)]]
+    # Lateness is judged by the watermark of the batch before, so the late row comes two batches later.
+    batches += [[(stamp(1), "A", 9.0, 5)], [(stamp(600), "A", 5.0, 6)]]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"b{i}"))
     stream = live.bar_stream(spark, str(src / "*"), schema, maxFilesPerTrigger="1", latestFirst="false")

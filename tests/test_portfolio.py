@@ -274,3 +274,21 @@ def test_dates_check(spark):
         check_dates(dup, "ewma")
     with pytest.raises(ValueError, match="oracle"):
         check_dates(calendar(cal_of(spark)), "oracle")
+
+
+def test_drawdown_scale_column_equals_the_state_rule(spark):
+    from alphaweave.operators.book import RiskState
+
+    cfg = replace(CFG, max_drawdown_limit=0.2, drawdown_control_start=0.05, min_risk_scale=0.25, max_leverage_multiplier=1.5)
+    state = RiskState(cfg)
+    df = spark.createDataFrame([(x / 100,) for x in range(0, 30, 3)], "dd double")
+    for r in df.select("dd", perf.drawdown_scale(F.col("dd"), cfg).alias("s")).collect():
+        state.equity, state.peak = 1.0 - r["dd"], 1.0
+        assert abs(r["s"] - state.scales()["drawdown_scale"]) < 1e-12
+
+
+def test_plans_broadcast_only_day_tables_and_read_few_columns(spark):
+    """Weights of a scored table add no exchange of the names beyond per-day aggregates."""
+    df = alphas(spark, [(i * 37 % 23 - 11) / 100 for i in range(23)])
+    plan = pf.rank_weights(df, CFG, 50)[0]._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "Window [" not in plan

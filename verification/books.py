@@ -355,14 +355,30 @@ def risk_sweep(spark, sf):
     ).select("date", "gross_return", "half", "full", "double")
 
 
-@query("after_close_targets")
+PLAN = f"""{TARGET.replace("tradable AND m.ticker IS NOT NULL AND coalesce(x.date >= listed, true) AND coalesce(x.date < delisted, true) AS tradable", "tradable")}, {BUCKETS},
+day AS (
+  SELECT bk.*, w.weight, coalesce(p.weight, 0) AS prev, CASE WHEN bk.alpha IS NOT NULL THEN row_number() OVER (ORDER BY bk.alpha DESC NULLS LAST, bk.ticker) END AS alpha_rank
+  FROM bk JOIN weights0 w ON w.ticker = bk.ticker AND w.t = bk.t LEFT JOIN weights0 p ON p.ticker = bk.ticker AND p.t = bk.t - 1 WHERE bk.t = (SELECT max(t) FROM cal)),
+ranked AS (SELECT *, CASE WHEN alpha IS NOT NULL THEN CASE WHEN weight < 0 THEN -alpha ELSE alpha END * 10000 - 3 END AS net_bps FROM day)"""
+
+
+@query(
+    "after_close_targets",
+    f"""WITH {PLAN} SELECT date AS signal_date, ticker, {b.rd('weight', 10)} AS target_weight, {b.rd('prev', 10)} AS current_weight, {b.rd('weight - prev', 10)} AS order_weight_delta,
+  {b.rd('alpha')} AS alpha_score, {b.rd('net_bps', 6)} AS net_alpha_after_cost_bps, coalesce(net_bps >= 5, false) AS passes_cost_threshold,
+  alpha_rank, quantile_bucket, coalesce(price >= {CFG.min_price}, false) AS price_flag FROM ranked""",
+)
 def after_close_targets(spark, sf):
     """Order plan of the last date against yesterday's recomputed book."""
     m = Model(spark, sf)
     x = m.exposures()
     last = str(m.cal.agg(F.max("date")).first()[0])
     plan = after_close_plan(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, last, max_names=m.bound)
-    return plan.target_positions.drop("reason_text")
+    t = plan.target_positions.select(
+        "signal_date", "ticker", "target_weight", "current_weight", "order_weight_delta", "alpha_score",
+        "net_alpha_after_cost_bps", "passes_cost_threshold", "alpha_rank", "quantile_bucket", "price_flag",
+    )
+    return rounded(t, target_weight=10, current_weight=10, order_weight_delta=10, net_alpha_after_cost_bps=6)
 
 
 @query(
