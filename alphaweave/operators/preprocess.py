@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite_or_null, group_quantiles, join_stats, sql_finite, sql_is_finite
 from .keyed import attach_row
+from .universe import densify
 
 
 def winsorize(
@@ -143,6 +144,19 @@ def greedy_duplicates(pairs: list[Row], kept: list[str], threshold: float, min_o
     return dropped
 
 
+def dense_exposures(exposures: DataFrame, names: list[str], cal: DataFrame) -> DataFrame:
+    """Exposures on the full date x ticker grid: absent cells get the neutral 0 and are not tradable.
+
+    Only needed where reports must rank and bucket names on days without a bar.
+    """
+    others = [c for c in exposures.columns if c not in ("date", "t", "ticker", *names)]
+    grid = densify(exposures, cal, exposures, [*others, *names])
+    return grid.withColumns(
+        {n: F.coalesce(n, F.lit(0.0)) for n in names}
+        | ({"tradable": F.coalesce("tradable", F.lit(False))} if "tradable" in others else {})
+    )
+
+
 class Preprocessed:
     """Cleaned factor table, the kept factor names in order, and the diagnostics table."""
 

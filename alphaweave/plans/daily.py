@@ -296,6 +296,7 @@ def after_close_plan(
         turn = both.agg(0.5 * F.sum(F.abs(F.col("__w") - F.col("__p")))).first()[0] or 0.0
         if turn > cfg.turnover_cap and turn > 0:
             both = both.withColumn("__w", F.col("__p") + (F.col("__w") - F.col("__p")) * (cfg.turnover_cap / turn))
+    both = both.where("__w <> 0 OR __p <> 0")
     day = cal.where(F.col("t") == t).select("t", "date")
     full = attach_row(
         panel.where(F.col("t") == t).drop("t", "date").join(both, "ticker", "full_outer")

@@ -11,7 +11,7 @@ from ..operators import fundamentals as fund
 from ..operators import performance as perf
 from ..operators import portfolio as pf
 from ..operators.forecast import predict_factor_returns, score
-from ..operators.preprocess import Preprocessed, build_exposures, grid_cells
+from ..operators.preprocess import Preprocessed, build_exposures, dense_exposures, grid_cells
 from ..operators.price_factors import PRICE_FACTORS, price_factors, with_forward_return
 from ..operators.ridge import estimate_factor_returns, factor_returns_long
 from ..operators.universe import apply_mask, calendar, with_adj_close, with_t, with_tradable
@@ -35,11 +35,13 @@ class FactorBuild:
 def build_factors(
     bars: DataFrame, flat_filings: DataFrame | None = None, price_names: list[str] | None = None, horizon: int = 1,
     max_abs_forward_return: float | None = 1.0, min_names: int = 30, ridge: float | str = 1e-4,
-    grid: list[float] | None = None, max_names: int | None = None, **exposure_options,
+    grid: list[float] | None = None, max_names: int | None = None, dense: bool = False, **exposure_options,
 ) -> FactorBuild:
     """Bars (and flat or trailing filings) to exposures and factor returns.
 
-    Written once on the way: the calendar and the raw factor table, which every
+    `dense` puts the exposures on the full date x ticker grid, where a name
+    without a bar has a neutral, untradable row; without it such cells are
+    absent. Written once on the way: the calendar and the raw factor table, which every
     per-date statistic reads again, and the exposures.
     """
     cal = materialize(calendar(bars))
@@ -55,7 +57,7 @@ def build_factors(
     raw = materialize(apply_mask(raw, names))
     cells = grid_cells(cal, raw)
     built: Preprocessed = build_exposures(raw, names, min_names, max_names=max_names, cells=cells, **exposure_options)
-    exposures = materialize(built.table)
+    exposures = materialize(dense_exposures(built.table, built.names, cal) if dense else built.table)
     fr = materialize(estimate_factor_returns(exposures, built.names, min_names, ridge, grid=grid))
     long = factor_returns_long(fr, built.names, cal)
     return FactorBuild(cal, exposures, built.names, built.diagnostics, fr, long, raw, cells)

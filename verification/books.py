@@ -358,7 +358,10 @@ def risk_sweep(spark, sf):
 PLAN = f"""{TARGET.replace("tradable AND m.ticker IS NOT NULL AND coalesce(x.date >= listed, true) AND coalesce(x.date < delisted, true) AS tradable", "tradable")}, {BUCKETS},
 day AS (
   SELECT bk.*, w.weight, coalesce(p.weight, 0) AS prev, CASE WHEN bk.alpha IS NOT NULL THEN row_number() OVER (ORDER BY bk.alpha DESC NULLS LAST, bk.ticker) END AS alpha_rank
-  FROM bk JOIN weights0 w ON w.ticker = bk.ticker AND w.t = bk.t LEFT JOIN weights0 p ON p.ticker = bk.ticker AND p.t = bk.t - 1 WHERE bk.t = (SELECT max(t) FROM cal)),
+  FROM bk JOIN weights0 w ON w.ticker = bk.ticker AND w.t = bk.t LEFT JOIN weights0 p ON p.ticker = bk.ticker AND p.t = bk.t - 1 WHERE bk.t = (SELECT max(t) FROM cal)
+  UNION ALL BY NAME
+  SELECT (SELECT max(date) FROM cal) AS date, p.ticker, p.weight AS prev, 0 AS weight FROM weights0 p
+  WHERE p.t = (SELECT max(t) - 1 FROM cal) AND p.weight <> 0 AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.ticker = p.ticker AND bk.t = p.t + 1)),
 ranked AS (SELECT *, CASE WHEN alpha IS NOT NULL THEN CASE WHEN weight < 0 THEN -alpha ELSE alpha END * 10000 - 3 END AS net_bps FROM day)"""
 
 

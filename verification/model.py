@@ -63,6 +63,18 @@ def zscored_factors(spark, sf):
     return rounded(Model(spark, sf).z().select("ticker", "date", *FACTORS))
 
 
+@query(
+    "dense_exposures",
+    f"WITH {b.X3} SELECT g.ticker, g.date, coalesce(tradable, false) AS tradable, "
+    + ", ".join(f"{b.rd(f'coalesce({n}, 0)')} AS {n}" for n in FACTORS)
+    + " FROM (SELECT ticker, date FROM (SELECT DISTINCT ticker FROM x), cal) g LEFT JOIN x USING (ticker, date)",
+)
+def dense_exposures(spark, sf):
+    """Full grid: names without a bar are neutral and untradable."""
+    m = Model(spark, sf)
+    return rounded(pp.dense_exposures(m.exposures(), FACTORS, m.cal).select("ticker", "date", "tradable", *FACTORS))
+
+
 @query("neutral_exposures", f"WITH {b.X3} SELECT ticker, date, {RF} FROM x")
 def neutral_exposures(spark, sf):
     return rounded(Model(spark, sf).exposures().select("ticker", "date", *FACTORS))
