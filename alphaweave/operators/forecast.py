@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import add_all, finite_or_null, is_finite
+from ..functions import add_all, finite_or_null, half_life_weight, is_finite
 
 METHODS = ("latest", "rolling", "ewma", "zero", "oracle")
 
@@ -23,7 +23,7 @@ def ewma_of(history: Column, t: Column, half_life: float, min_periods: int) -> C
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
 
     def step(acc, e):
-        w = F.pow(F.lit(0.5), (t - 1 - e["t"]) / F.lit(float(half_life)))
+        w = half_life_weight(t - 1 - e["t"], half_life)
         return F.struct((acc["s"] + w * e["f"]).alias("s"), (acc["w"] + w).alias("w"))
 
     return F.when(F.size(history) >= min_periods, F.aggregate(history, zero, step, lambda a: a["s"] / a["w"]))

@@ -71,6 +71,7 @@ def alpha_rankings(
     place = (
         "CASE WHEN weight > 0 THEN 'top decile' WHEN weight < 0 THEN 'bottom decile' ELSE 'cost-adjusted no-position band' END"
     )
+    # Wording and number formats of the reason text.
     reason = (
         "CASE WHEN side = '' THEN '' ELSE format_string('%s because predicted alpha is in the %s. "
         "Net alpha after estimated %.1f bps trading cost is %.2f bps versus threshold %.2f bps. "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import INF, label_or_placeholder, safe_double
+from ..functions import label_or_placeholder, safe_double
 from ..operators.keyed import keep_last
 from ..schemas import BAR_FIELDS
 
@@ -113,7 +113,3 @@ def latest_positions(positions: DataFrame, account: str | None = None, order: li
         positions = positions.where(F.col("account") == account)
     last = keep_last(positions, ["ticker"], order or ["qty"])
     return last.select("ticker", F.col("qty").cast("long").alias("qty"))
-
-
-def finite_rows(df: DataFrame, col: str) -> DataFrame:
-    return df.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < INF))
