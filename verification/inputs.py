@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from alphaweave.operators.preprocess import preprocess
 from alphaweave.operators.ridge import estimate_factor_returns, factor_returns_long
