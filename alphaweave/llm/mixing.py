@@ -108,7 +108,8 @@ def _round(df: DataFrame, seed: int, last: bool) -> DataFrame:
     """One flight over every block of every source; in the `last` round the open units land."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "doc_id", "size"], kind="stable")
+        # Long documents fly first, so that short ones are left to meet the totals with.
+        rows = rows.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
         size = rows["size"].astype(float).tolist()
         pi = fly(size, rows["pi"].tolist(), rows["draw"].tolist(), LANDING if last else 3)
         return rows.assign(pi=land(size, pi) if last else pi)
