@@ -29,7 +29,7 @@ END_ID = 1
 GROUP_PIECES = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text tokenized at once, and words a worker remembers the ids of.
-BATCH_BYTES, CACHE_WORDS = 4 << 20, 1_200_000
+BATCH_BYTES, CACHE_WORDS = 2 << 20, 900_000
 
 
 class WordIds:
