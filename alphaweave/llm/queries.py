@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, secrets
+from . import language_id, mixing, packing, pseudonyms, secrets
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonyms.pseudonymize(documents(spark, sf_dir, "doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join("pii", ",").alias("pii"))
