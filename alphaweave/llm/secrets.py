@@ -5,7 +5,7 @@ class hex, one that mixes capitals, small letters and digits of class b64; other
 characters slides over the candidate; the counts of its characters and the sum of n * log2(n) change by the character
 that leaves and the one that enters. From the first to the last window whose Shannon entropy reaches the class's
 threshold the string is a span, unless the allow list explains it: UUIDs, placeholders, alphabets, paths, or a label
-such as `sha256` or `commit` right before it. Spans that touch one of a fixed pattern are not added again.
+such as `sha256` or `commit` right before it. Spans within one of a fixed pattern are not added again.
 
 Everything is a column expression over one row, so nothing is shuffled. Places are in code points, end exclusive.
 
@@ -91,8 +91,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rated = F.transform(suspect, lambda m: F.struct(m["start"].alias("at"), kind(m["match"]).alias("kind"), hot_range(m["match"], bits(m["match"])).alias("hot")))
     spans = F.transform(F.filter(rated, lambda m: m["hot"]["lo"].isNotNull()), lambda m: _span(m["kind"], 3, m["at"] + m["hot"]["lo"], m["at"] + m["hot"]["hi"]))
     found = docs.withColumn("base", base).withColumn("spans_by_entropy", spans)
-    touches = lambda a: F.exists("base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"]))
-    return found.withColumn("added", F.filter("spans_by_entropy", lambda a: ~touches(a))).drop("spans_by_entropy")
+    known = lambda a: F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]))
+    return found.withColumn("added", F.filter("spans_by_entropy", lambda a: ~known(a))).drop("spans_by_entropy")
 
 
 def joined(spans: Column) -> Column:
