@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, pseudonyms, secrets
+from . import fingerprints, language_id, mixing, packing, pseudonyms, secrets
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonyms.pseudonymize(documents(spark, sf_dir, "doc_id", "text"))
     return done.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join("pii", ",").alias("pii"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir, "doc_id", "text"))
