@@ -13,6 +13,7 @@ from alphaweave.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in rows, that an operator sends to every executor. Larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -26,9 +27,16 @@ def fold(key: Column, n: int) -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the cluster's shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    # The table takes the place of the shuffle files behind it.
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, mixing, packing, pseudonyms, secrets, toxicity, vector_dedup
+from . import fingerprints, jaccard_join, katz, language_id, mixing, packing, pseudonyms, secrets, toxicity, vector_dedup
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir, "doc_id", "text"), shingle=4, percent=85)
+
+
+@query
+def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir, "doc_id", "text"))
