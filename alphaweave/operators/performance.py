@@ -149,9 +149,11 @@ def risk_ratios(daily: DataFrame, periods_per_year: int = 252) -> DataFrame:
     )
 
 
-def trailing_risk(daily: DataFrame, vol_days: int = 20, var_days: int = 60, confidence: float = 0.95) -> DataFrame:
+def trailing_risk(
+    daily: DataFrame, vol_days: int = 20, var_days: int = 60, confidence: float = 0.95, keys: list[str] | None = None,
+) -> DataFrame:
     """Annualised volatility and historical VaR of the returns before each day."""
-    w = Window.orderBy("t")
+    w = Window.partitionBy(*(keys or [])).orderBy("t")
     r = F.col("portfolio_return")
     vol_w, var_w = w.rowsBetween(-vol_days, -1), w.rowsBetween(-var_days, -1)
     var = F.greatest(F.lit(0.0), -F.percentile(r, F.lit(1.0 - confidence)).over(var_w))
@@ -162,11 +164,12 @@ def trailing_risk(daily: DataFrame, vol_days: int = 20, var_days: int = 60, conf
     )
 
 
-def drawdown_scale(drawdown: Column, cfg: BacktestConfig) -> Column:
-    """Full size up to the start, minimum at the limit, linear in between."""
-    top, bottom = cfg.max_leverage_multiplier, cfg.min_risk_scale
+def drawdown_scale(drawdown: Column | float, cfg: BacktestConfig) -> Column | float:
+    """Full size up to the start, minimum at the limit, linear in between; for a column or a number."""
+    top, bottom = float(cfg.max_leverage_multiplier), float(cfg.min_risk_scale)
+    as_column = isinstance(drawdown, Column)
+    least, greatest, lit = (F.least, F.greatest, F.lit) if as_column else (min, max, float)
     if cfg.max_drawdown_limit is None:
-        return F.lit(float(top))
-    start, limit = cfg.drawdown_control_start, cfg.max_drawdown_limit
-    sloped = top - (drawdown - start) / (limit - start) * (top - bottom)
-    return F.when(drawdown <= start, float(top)).when(drawdown >= limit, float(bottom)).otherwise(sloped)
+        return lit(top)
+    spent = (drawdown - cfg.drawdown_control_start) / (cfg.max_drawdown_limit - cfg.drawdown_control_start)
+    return top - (top - bottom) * greatest(lit(0.0), least(lit(1.0), spent))

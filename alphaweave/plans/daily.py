@@ -122,7 +122,7 @@ def scored_panel(
 
 
 def capped_targets(
-    weighted: DataFrame, cal: DataFrame, cfg: BacktestConfig, portfolio: str = "main", fold_rows: int | None = None
+    weighted: DataFrame, cal: DataFrame, cfg: BacktestConfig, portfolio: str = "main"
 ) -> DataFrame:
     """Targets after the turnover cap (a recursion over days) and the price floor."""
     if cfg.turnover_cap is None:
@@ -131,8 +131,7 @@ def capped_targets(
         F.coalesce(F.col("price") >= cfg.min_price, F.lit(False)) if cfg.min_price > 0 else F.lit(True)
     )
     targets = weighted.select(F.lit(portfolio).alias("portfolio_id"), "t", "ticker", "weight", ok.alias("price_ok"))
-    options = {} if fold_rows is None else {"fold_rows": fold_rows}
-    book, _ = run_book(targets, cal, cfg, risk=False, floor=cfg.min_price > 0, **options)
+    book, _ = run_book(targets, cal, cfg, risk=False, floor=cfg.min_price > 0)
     held = book.select("t", "ticker", F.col("weight").alias("__w"))
     # A carried name may have no row on a day; it then appears as an extra row.
     return weighted.drop("weight").join(held, ["t", "ticker"], "full_outer").withColumn(

@@ -276,15 +276,12 @@ def test_dates_check(spark):
         check_dates(calendar(cal_of(spark)), "oracle")
 
 
-def test_drawdown_scale_column_equals_the_state_rule(spark):
-    from alphaweave.operators.book import RiskState
-
+def test_drawdown_scale_of_columns_and_numbers(spark):
     cfg = replace(CFG, max_drawdown_limit=0.2, drawdown_control_start=0.05, min_risk_scale=0.25, max_leverage_multiplier=1.5)
-    state = RiskState(cfg)
     df = spark.createDataFrame([(x / 100,) for x in range(0, 30, 3)], "dd double")
     for r in df.select("dd", perf.drawdown_scale(F.col("dd"), cfg).alias("s")).collect():
-        state.equity, state.peak = 1.0 - r["dd"], 1.0
-        assert abs(r["s"] - state.scales()["drawdown_scale"]) < 1e-12
+        assert abs(r["s"] - perf.drawdown_scale(r["dd"], cfg)) < 1e-12
+    assert perf.drawdown_scale(0.05, cfg) == 1.5 and perf.drawdown_scale(0.2, cfg) == 0.25 and abs(perf.drawdown_scale(0.125, cfg) - 0.875) < 1e-12
 
 
 def test_plans_broadcast_only_day_tables_and_read_few_columns(spark):

@@ -146,23 +146,70 @@ def book_rows(spark, T=12, N=8):
     return spark.createDataFrame(rows, "portfolio_id string, t int, ticker string, weight double, realized double, price_ok boolean"), T
 
 
-def test_stepwise_book_equals_fold(spark):
+def book_by_hand(rows, T, cfg, risk, floor):
+    """The recursion in plain loops over dicts."""
+    out, scales = {}, {}
+    for p in sorted({r["portfolio_id"] for r in rows}):
+        prev, nets = {}, []
+        for t in range(T):
+            today = {r["ticker"]: r for r in rows if r["portfolio_id"] == p and r["t"] == t}
+            top, s = cfg.max_leverage_multiplier, 1.0
+            if risk:
+                vol, var = nets[-cfg.volatility_lookback_days :], nets[-cfg.var_lookback_days :]
+                parts = [top]
+                if cfg.volatility_target_annual and len(vol) > 1:
+                    parts.append(cfg.volatility_target_annual / (np.std(vol, ddof=1) * 252**0.5))
+                if cfg.max_daily_var and len(var) > 1 and -np.quantile(var, 1 - cfg.var_confidence) > 1e-12:
+                    parts.append(cfg.max_daily_var / -np.quantile(var, 1 - cfg.var_confidence))
+                equity = np.cumprod([1.0, *(1 + x for x in nets)])
+                dd = 1 - equity[-1] / equity.max()
+                if cfg.max_drawdown_limit:
+                    part = (dd - cfg.drawdown_control_start) / (cfg.max_drawdown_limit - cfg.drawdown_control_start)
+                    parts.append(top - min(1.0, max(0.0, part)) * (top - cfg.min_risk_scale))
+                s = max(cfg.min_risk_scale, min(parts))
+                scales[p, t] = s, dd
+            names = set(prev) | set(today)
+            target = {n: today[n]["weight"] * s if n in today else 0.0 for n in names}
+            turn = 0.5 * sum(abs(target[n] - prev.get(n, 0.0)) for n in names)
+            share = cfg.turnover_cap / turn if cfg.turnover_cap is not None and turn > cfg.turnover_cap else 1.0
+            book = {n: prev.get(n, 0.0) + share * (target[n] - prev.get(n, 0.0)) for n in names}
+            if floor:
+                book = {n: w if n in today and today[n]["price_ok"] else 0.0 for n, w in book.items()}
+            gain = sum(w * today[n]["realized"] for n, w in book.items() if n in today and np.isfinite(today[n]["realized"]))
+            traded = 0.5 * sum(abs(book[n] - prev.get(n, 0.0)) for n in names)
+            rate = (cfg.transaction_cost_bps + cfg.slippage_bps + cfg.turnover_penalty_bps) / 1e4 * 2
+            nets.append(gain - traded * rate if any(abs(w) > 1e-15 for w in book.values()) else 0.0)
+            prev = {n: w for n, w in book.items() if abs(w) > 1e-15}
+            out.update({(p, t, n): w for n, w in prev.items()})
+    return out, scales
+
+
+def test_books_equal_the_plain_recursion(spark):
     rows, T = book_rows(spark, T=6)
+    # A return that is not finite counts as none, with feedback and without.
+    rows = rows.withColumn("realized", F.expr("CASE WHEN t = 1 AND ticker = 'T0' THEN double('Infinity') WHEN t = 2 AND ticker = 'T1' THEN double('NaN') ELSE realized END"))
     cal = spark.createDataFrame([(d, t) for t, d in enumerate(business_days("2024-01-02", T))], "date date, t int")
-    cfg = replace(BacktestConfig(), turnover_cap=0.1, max_daily_var=0.01, var_lookback_days=3, max_drawdown_limit=0.2, volatility_target_annual=0.3)
-    for risk, floor in ((True, False), (False, True)):
-        fold_w, fold_s = run_book(rows, cal, cfg, risk, floor)
-        step_w, step_s = run_book(rows, cal, cfg, risk, floor, fold_rows=1)
-        key = lambda r: (r["portfolio_id"], r["t"], r["ticker"])
-        a = {key(r): r["weight"] for r in fold_w.collect()}
-        b = {key(r): r["weight"] for r in step_w.collect()}
-        assert a.keys() == b.keys()
-        for k in a:
-            assert abs(a[k] - b[k]) < 1e-12
+    capped = replace(BacktestConfig(), turnover_cap=0.1, max_daily_var=0.01, var_lookback_days=3, max_drawdown_limit=0.2, volatility_target_annual=0.3)
+    free = replace(BacktestConfig(), var_lookback_days=3)
+    for cfg, risk, floor in ((capped, True, False), (capped, False, True), (free, True, False), (free, False, True)):
+        weights, scales = run_book(rows, cal, cfg, risk, floor)
+        got = {(r["portfolio_id"], r["t"], r["ticker"]): r["weight"] for r in weights.collect() if abs(r["weight"]) > 1e-15}
+        expect, by_day = book_by_hand(rows.collect(), T, cfg, risk, floor)
+        assert got.keys() == expect.keys()
+        for k, w in expect.items():
+            assert abs(got[k] - w) < 1e-12
         if risk:
-            sa = {(r["portfolio_id"], r["t"]): r["risk_scale"] for r in fold_s.collect()}
-            sb = {(r["portfolio_id"], r["t"]): r["risk_scale"] for r in step_s.collect()}
-            assert sa.keys() == sb.keys() and all(abs(sa[k] - sb[k]) < 1e-12 for k in sa)
+            found = {(r["portfolio_id"], r["t"]): (r["risk_scale"], r["drawdown"]) for r in scales.collect()}
+            assert found.keys() == by_day.keys()
+            for k in found:
+                np.testing.assert_allclose(found[k], by_day[k], rtol=0, atol=1e-12)
+
+
+def test_book_without_feedback_stays_columns(spark):
+    rows, T = book_rows(spark, T=3)
+    cal = spark.createDataFrame([(d, t) for t, d in enumerate(business_days("2024-01-02", T))], "date date, t int")
+    for df in run_book(rows, cal, BacktestConfig(), risk=True):
+        assert "Pandas" not in df._jdf.queryExecution().toString()
 
 
 def test_stock_kalman_matches_the_full_matrix_form(spark):
