@@ -19,16 +19,11 @@ class ExecutionResult:
     violations: DataFrame
 
     def check(self, limit: int = 8) -> ExecutionResult:
-        """Raise when an active position breaks a price rule; one action."""
-        found = (
-            self.violations.groupBy("rule")
-            .agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("sample")), 1, limit).alias("samples"))
-            .collect()
-            if self.violations is not None
-            else []
-        )
+        """Raise when an active position breaks a price rule; a broken rule costs a second action for its first samples."""
+        found = self.violations.groupBy("rule").agg(F.count("*").alias("n")).collect() if self.violations is not None else []
         for row in found:
-            raise RuntimeError(f"{row['rule']}: count={row['n']}, sample={', '.join(row['samples'])}")
+            broken = self.violations.where(F.col("rule") == row["rule"]).select("sample").distinct().orderBy("sample").limit(limit)
+            raise RuntimeError(f"{row['rule']}: count={row['n']}, sample={', '.join(r['sample'] for r in broken.collect())}")
         return self
 
 

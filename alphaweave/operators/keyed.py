@@ -37,9 +37,10 @@ def last_non_null(df: DataFrame, keys: list[str], fields: list[str], order: list
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union in which a new row replaces the old row of the same key."""
-    both = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)), allowMissingColumns=True)
-    return keep_last(both, keys, ["__src"]).drop("__src")
+    """Union in which a new row replaces the old row of the same key; of several new rows the last one does."""
+    rows = [x.withColumns({"__src": F.lit(i), "__at": F.monotonically_increasing_id()}) for i, x in enumerate((old, new))]
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True)
+    return keep_last(both, keys, ["__src", "__at"]).drop("__src", "__at")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

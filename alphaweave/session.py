@@ -32,11 +32,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a throw-away one only where none is configured."""
+    """The cluster's shared folder; without one configured, a throw-away folder that only a local session can use."""
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_dir

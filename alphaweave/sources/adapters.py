@@ -47,13 +47,11 @@ def supplier_bound(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "supplier").count()
 
 
-def brand_bound(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "part").count()
-
-
-def supplier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticker metadata with listing periods by arithmetic on the key; some suppliers have none."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 11 <> 7")
+def supplier_meta(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """Ticker metadata with listing periods by arithmetic on the key; with `gaps` some tickers have none at all."""
+    s = table(spark, sf_dir, "supplier")
+    if gaps:
+        s = s.where("s_suppkey % 11 <> 7")
     k = F.col("s_suppkey")
     listed = F.when(k % 3 != 0, F.date_add(F.lit("1995-06-01").cast("date"), ((k * 37) % 900).cast("int")))
     delisted = F.when(k % 5 == 1, F.date_add(F.lit("1998-06-01").cast("date"), ((k * 53) % 1000).cast("int")))

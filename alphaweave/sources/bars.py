@@ -30,7 +30,7 @@ def read_bars_on(
     day_col = F.to_date(F.lit(day))
     rows = raw.where((F.col("date") >= day_col) & (F.col("date") < F.date_add(day_col, 1)))
     rows = rows.withColumn("date", F.to_date("date"))
-    one = keep_last(rows, ["ticker"], order or ["date"])
+    one = keep_last(rows.withColumn("__at", F.monotonically_increasing_id()), ["ticker"], [*(order or []), "__at"]).drop("__at")
     return tickers.select("ticker").join(one, "ticker", "left")
 
 
@@ -89,7 +89,7 @@ def normalize_bars(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     The timestamp falls back to `date`, unreadable numbers become null, absent
     columns are added as null, rows without a key are dropped and the last row
-    per (timestamp, ticker) wins under `order`.
+    per (timestamp, ticker) wins: under `order`, and among equals by its place in `df`.
     """
     if "timestamp" not in df.columns and "date" in df.columns:
         df = df.withColumn("timestamp", F.col("date"))
@@ -102,14 +102,16 @@ def normalize_bars(df: DataFrame, order: list[str] | None = None) -> DataFrame:
             for c in BAR_FIELDS
         ],
         *[F.col(c) for c in order],
+        F.monotonically_increasing_id().alias("__at"),
     ]
     out = df.select(*cols).dropna(subset=["timestamp", "ticker"])
-    return keep_last(out, ["timestamp", "ticker"], order or BAR_FIELDS).select("timestamp", "ticker", *BAR_FIELDS)
+    return keep_last(out, ["timestamp", "ticker"], [*order, "__at"]).select("timestamp", "ticker", *BAR_FIELDS)
 
 
 def latest_positions(positions: DataFrame, account: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Last staged whole-share quantity per ticker, optionally of one account."""
     if account is not None:
         positions = positions.where(F.col("account") == account)
-    last = keep_last(positions, ["ticker"], order or ["qty"])
+    placed = positions.withColumn("__at", F.monotonically_increasing_id())
+    last = keep_last(placed, ["ticker"], [*(order or []), "__at"])
     return last.select("ticker", F.col("qty").cast("long").alias("qty"))

@@ -124,11 +124,26 @@ def batch_alpha(exposures: DataFrame, names: list[str], forecast: dict[str, floa
     return exposures.select("ticker", total.alias("alpha"))
 
 
+def rebuilt_bars(ticks: DataFrame, batch_id: int, path: str, minutes: int) -> DataFrame:
+    """Whole bars of the days that a micro-batch of ticks touches, from all ticks stored so far.
+
+    The batch's ticks go to a folder of their own, which a replay replaces; ticks
+    of a day may so arrive in any number of batches and in any order.
+    """
+    spark = ticks.sparkSession
+    ticks.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+    known = spark.read.parquet(path).where(F.col("batch_id") <= batch_id)
+    days = known.where(F.col("batch_id") == batch_id).select("day").distinct()
+    return tumbling_bars(known.join(F.broadcast(days), "day", "left_semi").drop("day", "batch_id"), minutes)
+
+
 class Rebalancer:
     """One micro-batch of the live loop; state lives in tables under `root`.
 
     Tables: bars (upserted); positions, holding, orders, risk checks and events
-    partitioned by batch id. Re-running a batch rewrites its own partitions.
+    in one folder per batch, written even when empty, and `batches`, one row per
+    batch that is complete. A replayed batch starts from the last complete batch
+    before it and replaces its own folders whole.
     """
 
     def __init__(self, spark: SparkSession, root: str, cfg: LiveConfig, forecast: dict[str, float], names: list[str] | None = None, equity: float | None = None):
@@ -138,18 +153,17 @@ class Rebalancer:
 
     def _state(self, name: str, schema: str, batch_id: int) -> DataFrame:
         """State as the last earlier batch left it, so a replayed batch starts from the same rows."""
-        path = f"{self.root}/{name}"
-        if not path_exists(self.spark, path):
+        done = f"{self.root}/batches"
+        last = None
+        if path_exists(self.spark, done):
+            batches = self.spark.read.schema("id bigint").parquet(done)
+            last = batches.where(F.col("id") < batch_id).agg(F.max("id")).first()[0]
+        if last is None:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-        last = rows.agg(F.max("batch_id")).first()[0]
-        return rows.where(F.col("batch_id") == (last if last is not None else -1)).drop("batch_id")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch_id={last}")
 
     def _save(self, name: str, df: DataFrame, batch_id: int) -> None:
-        """Overwrite only this batch's partition."""
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         upsert_bars(normalize_bars(batch), f"{self.root}/bars", ("timestamp", "ticker"))
@@ -178,12 +192,14 @@ class Rebalancer:
         self._save("holding", materialize(od.next_holding(holding, targets)), batch_id)
         self._save("positions", materialize(fills), batch_id)
         self._save("events", attach_row(od.alpha_stats(cands), od.turnover_between(current, targets)), batch_id)
+        self._save("batches", self.spark.createDataFrame([(batch_id,)], "id bigint"), batch_id)
 
 
 def start(
-    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, interval: str = "5 minutes"
+    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, interval: str = "5 minutes",
+    mode: str = "append",
 ) -> StreamingQuery:
     """Run the sink per micro-batch: everything available and stop, or on an interval."""
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 

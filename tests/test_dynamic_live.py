@@ -14,7 +14,7 @@ from alphaweave.operators import dynamic as dy
 from alphaweave.operators import orders as od
 from alphaweave.operators import residuals as rs
 from alphaweave.sources import sinks
-from alphaweave.sources.bars import load_factor_tables, normalize_bars, read_bars_on, read_dimension
+from alphaweave.sources.bars import latest_positions, load_factor_tables, normalize_bars, read_bars_on, read_dimension
 from alphaweave.streaming import live
 
 
@@ -195,6 +195,48 @@ def test_rebalance_replay_changes_nothing(spark, tmp_path):
     assert max(ages.values()) == 2
 
 
+def test_a_batch_that_closes_everything_leaves_nothing_open(spark, tmp_path):
+    cfg = LiveConfig(min_factor_names=2, min_exposure_coverage=0.3, min_dollar_volume=0.0, alpha_z_threshold=0.0, min_order_dollars=1.0)
+    step = live.Rebalancer(spark, str(tmp_path / "live"), cfg, {"mom_1": 0.05}, ["mom_1", "intraday_return"])
+    schema = "ticker string, qty bigint"
+    empty = spark.createDataFrame([], schema)
+    # An empty first state has a schema, and an empty later one hides the book before it.
+    step._save("positions", empty, 0)
+    step._save("batches", spark.createDataFrame([(0,)], "id bigint"), 0)
+    assert step._state("positions", schema, 1).count() == 0
+    step._save("positions", spark.createDataFrame([("A", 5)], schema), 1)
+    step._save("batches", spark.createDataFrame([(1,)], "id bigint"), 1)
+    assert step._state("positions", schema, 2).count() == 1
+    step._save("positions", empty, 2)
+    step._save("batches", spark.createDataFrame([(2,)], "id bigint"), 2)
+    assert step._state("positions", schema, 3).count() == 0
+    # A replay that now closes everything replaces what the first run left.
+    step._save("positions", empty, 1)
+    assert step._state("positions", schema, 2).count() == 0
+
+
+def test_split_days_give_the_bars_of_whole_days(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 2) + dt.timedelta(minutes=m)
+    ticks = [(at(30 * i), "A", 10.0 + (i * 7) % 5, i) for i in range(12)]
+    schema = "ts timestamp, ticker string, price double, event_id long"
+    key = lambda df: sorted((r["timestamp"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in df.collect())
+    whole = live.tumbling_bars(spark.createDataFrame(ticks, schema), 1440)
+    path = str(tmp_path / "ticks")
+    # The later half arrives first; replaying it changes nothing.
+    for batch_id, part in ((0, ticks[6:]), (0, ticks[6:]), (1, ticks[:6])):
+        got = live.rebuilt_bars(spark.createDataFrame(part, schema), batch_id, path, 1440)
+        last = key(got)
+    assert last == key(whole)
+
+
+def test_the_last_row_wins_by_place_not_by_value(spark):
+    at = dt.datetime(2024, 1, 2)
+    rows = [(at, "A", 20.0), (at, "A", 10.0)]
+    assert normalize_bars(spark.createDataFrame(rows, "timestamp timestamp, ticker string, open double").coalesce(1)).first()["open"] == 10.0
+    staged = spark.createDataFrame([("A", 9), ("A", 4)], "ticker string, qty int").coalesce(1)
+    assert latest_positions(staged).first()["qty"] == 4
+
+
 def test_upsert_rewrites_only_touched_days(spark, tmp_path):
     path = str(tmp_path / "bars")
     sinks.upsert_bars(normalize_bars(intraday(spark, 4)), path, ("timestamp", "ticker"))

@@ -42,7 +42,7 @@ class Desk:
             predict_factor_returns(self.f, cfg.forecast_method, cfg.lookback, cfg.ewma_halflife, cfg.min_periods)
         )
         self.bars = self.m.bars
-        self.meta = adapters.supplier_meta(spark, sf)
+        self.meta = adapters.supplier_meta(spark, sf, gaps=True)
         self.panel = materialize(scored_panel(self.x, self.pred, FACTORS, self.bars, self.meta, cfg))
         weighted, self.info = pf.rank_weights(self.panel, cfg, self.m.bound)
         self.weighted = materialize(pf.apply_price_floor(weighted, cfg.min_price))
@@ -319,7 +319,7 @@ def full_backtest_daily(spark, sf):
     """The whole close-to-next-open backtest without feedback rules."""
     m = Model(spark, sf)
     x = m.exposures()
-    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, adapters.supplier_meta(spark, sf), max_names=m.bound)
+    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, adapters.supplier_meta(spark, sf, gaps=True), max_names=m.bound)
     return rounded(res.daily.select("signal_date", "portfolio_return", "turnover", "transaction_cost", "cumulative_return"))
 
 

@@ -271,13 +271,12 @@ def tumbling_bars(spark, sf):
     return rounded(bars.select("timestamp", "ticker", "open", "high", "low", "close", "volume"), 6)
 
 
-@query("tumbling_bars_stream", f"WITH {TICK_SQL.format(sec=86400)} SELECT timestamp, ticker, {b.rnd(['open', 'high', 'low', 'close', 'volume'], 6)} FROM ib WHERE timestamp < (SELECT date_trunc('day', max(ts)) FROM ticks)")
+@query("tumbling_bars_stream", f"WITH {TICK_SQL.format(sec=86400)} SELECT timestamp, ticker, {b.rnd(['open', 'high', 'low', 'close', 'volume'], 6)} FROM ib")
 def tumbling_bars_stream(spark, sf):
-    """Daily bars from a file stream; windows come out when the watermark has passed them."""
+    """Daily bars from a file stream; windows still open come out too and are replaced as they grow."""
     out, cp = scratch(spark, "bars"), scratch(spark, "cp")
     bars = live.tumbling_bars(tick_stream(spark, sf), 1440, "15 minutes")
-    q = bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    live.start(bars, live.upsert_sink(out), cp, mode="update").awaitTermination()
     got = spark.read.parquet(out)
     return rounded(got.select("timestamp", "ticker", "open", "high", "low", "close", "volume"), 6)
 
@@ -357,8 +356,7 @@ def live_rebalance_stream(spark, sf):
     step = live.Rebalancer(spark, root, cfg, {"mom_1": 0.01, "intraday_return": -0.02}, ["mom_1", "intraday_return", "hl_range_20"])
 
     def sink(batch, batch_id):
-        bars = live.tumbling_bars(batch, 1440)
-        step(materialize(bars), batch_id)
+        step(materialize(live.rebuilt_bars(batch, batch_id, f"{root}/ticks", 1440)), batch_id)
 
     live.start(tick_stream(spark, sf), sink, cp).awaitTermination()
     return spark.read.parquet(f"{root}/orders").select("batch_id", "ticker", "side", "quantity", "limit_price")

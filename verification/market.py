@@ -81,17 +81,19 @@ def grouped_daily_range(spark, sf):
     return rounded(vendor.parse_grouped_daily_range(grouped_responses(spark, sf), "1996-01-01", "1999-12-31"), 6)
 
 
-META_CTE = """meta AS (
+ALL_META = """meta AS (
   SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS ticker, s_name AS name,
     CASE WHEN s_suppkey % 7 = 3 THEN NULL WHEN s_suppkey % 7 = 5 THEN 'ETF' ELSE 'CS' END AS type,
     CASE WHEN s_suppkey % 3 <> 0 THEN CAST(DATE '1995-06-01' + CAST((s_suppkey * 37) % 900 AS INTEGER) AS DATE) END AS listed,
     CASE WHEN s_suppkey % 5 = 1 THEN CAST(DATE '1998-06-01' + CAST((s_suppkey * 53) % 1000 AS INTEGER) AS DATE) END AS delisted
-  FROM supplier WHERE s_suppkey % 11 <> 7)"""
+  FROM supplier)"""
+# The point-in-time queries meet tickers without any metadata.
+META_CTE = ALL_META.replace("FROM supplier)", "FROM supplier WHERE s_suppkey % 11 <> 7)")
 
 
 @query(
     "ticker_reference_json",
-    f"WITH {META_CTE} SELECT ticker, name, type, delisted IS NULL AS active, strftime(listed, '%Y-%m-%d') AS list_date, "
+    f"WITH {ALL_META} SELECT ticker, name, type, delisted IS NULL AS active, strftime(listed, '%Y-%m-%d') AS list_date, "
     "strftime(delisted, '%Y-%m-%d') AS delisted_utc FROM meta WHERE type IS NULL OR type IN ('CS', 'Common Stock', 'COMMON')",
 )
 def ticker_reference_json(spark, sf):
@@ -141,7 +143,7 @@ PIT = f"""WITH {b.MONTH_BARS}, {META_CTE}, pit AS (
 @query("point_in_time_mask", f"{PIT} SELECT * FROM pit")
 def point_in_time_mask(spark, sf):
     bars = uni.with_tradable(uni.with_adj_close(month_bars(spark, sf)))
-    return uni.point_in_time(bars, adapters.supplier_meta(spark, sf)).select("ticker", "date", "tradable")
+    return uni.point_in_time(bars, adapters.supplier_meta(spark, sf, gaps=True)).select("ticker", "date", "tradable")
 
 
 @query(
@@ -155,17 +157,17 @@ FROM grid g LEFT JOIN meta m USING (ticker)""",
 )
 def point_in_time_stats(spark, sf):
     bars = month_bars(spark, sf)
-    return uni.point_in_time_stats(bars.select("ticker"), adapters.supplier_meta(spark, sf), uni.calendar(bars))
+    return uni.point_in_time_stats(bars.select("ticker"), adapters.supplier_meta(spark, sf, gaps=True), uni.calendar(bars))
 
 
-@query("active_universe", f"WITH {META_CTE} SELECT ticker FROM meta WHERE delisted IS NULL")
+@query("active_universe", f"WITH {ALL_META} SELECT ticker FROM meta WHERE delisted IS NULL")
 def active_universe(spark, sf):
     return uni.active_universe(adapters.supplier_meta(spark, sf))
 
 
 @query(
     "restricted_bars",
-    f"WITH {b.MONTH_BARS}, {META_CTE} SELECT ticker, count(*) AS n FROM bars WHERE ticker IN "
+    f"WITH {b.MONTH_BARS}, {ALL_META} SELECT ticker, count(*) AS n FROM bars WHERE ticker IN "
     "(SELECT ticker FROM meta WHERE delisted IS NULL) AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1",
 )
 def restricted_bars(spark, sf):
