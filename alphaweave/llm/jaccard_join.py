@@ -1,18 +1,19 @@
 """Exact Jaccard self-join of documents on word shingles, by pivots in the metric space of sets.
 
 Two sets of Jaccard similarity t or more share one of the first `n - ceil(t n) + 1` shingles of each in any common order
-(order: shingles found in few documents first, then long ones, then by hash). Each such shingle is a region. A region of
-two documents is one pair to compare. In a larger one every member is compared with a pivot; the distance 1 - J obeys the
-triangle inequality, so with radius r = 1 - t
+(order: shingles found in few documents first, then long ones, then by hash). Documents that share such shingles, directly
+or through others, form a region; no link leaves it. A region of up to `LEAF` documents is joined in one task, all its
+sets against each other. A larger one is measured against pivots; the distance 1 - J obeys the triangle inequality, so
+with radius r = 1 - t
 
 * members within r of a pivot are linked to it, and so with each other: they need no further comparison;
 * a link of such a member leads to members within 2 r of the pivot: they form the pivot's inner region, where those
   between r and 2 r are replicated;
 * members beyond r of every pivot form the outer region.
 
-Regions whose members are all connected by then are done; the others are split again with more pivots, small ones compare
-what is not yet connected. So a group of thousands of near copies costs one comparison per copy, and no link between
-groups is lost. Exact copies (equal sets) are one document throughout.
+Regions whose members are all connected by then are done; the others are joined in the same way with more pivots. So a
+group of thousands of near copies costs one comparison per copy and pivot, and no link is lost. Exact copies (equal sets)
+are one document throughout.
 
 Defined results: null texts and texts without words have no shingles and link with nothing. Rows that repeat a doc_id
 count as one document that links by any of its texts. An empty table gives no rows. Columns other than doc_id and text
@@ -21,6 +22,8 @@ are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +35,8 @@ from .common import small, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Regions up to this size compare their unconnected members directly.
-SMALL_REGION = 24
+#: Documents that one task joins directly, and that meet a round's pivots in one task; most pivots of a round.
+LEAF, TILE, PIVOTS = 256, 256, 256
 #: Bytes of text whose words are hashed at once.
 BATCH_BYTES = 2 << 20
 
@@ -121,35 +124,43 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(*others, "text").mapInArrow(cut, f"{schema}, shingles array<long>")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """a, b, shared and united of the pairs (a, b), from their whole texts."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets of `left` with all of `right` (or of `left`), by products of 0-1 matrices."""
+    sets = left + (right or [])
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, at, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    column = place[at]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right) if right is not None else len(left)))
+    step = 4096
+    for start in range(0, len(common), step):
+        s, e = np.searchsorted(column, (start, start + step))
+        x = np.zeros((len(sets), min(step, len(common) - start)), np.float32)
+        x[owner[s:e], column[s:e] - start] = 1
+        out += x[: len(left)] @ (x[len(left) :] if right is not None else x).T
+    if right is None:
+        np.fill_diagonal(out, [len(x) for x in left])
+    return out.astype(np.int64)
+
+
+def _sets_of(table: pa.Table, k: int) -> list[np.ndarray]:
+    out, texts, size = [], [], 0
+    for text in table["text"]:
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size > BATCH_BYTES:
+            out += shingle_sets(texts, k)
+            texts, size = [], 0
+    return out + shingle_sets(texts, k)
 
-    def measure(batches):
-        for batch in batches:
-            rows, texts, size = [], [], 0
-            left, right = batch.column(2), batch.column(3)
-
-            def told():
-                sets = shingle_sets(texts, k)
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[::2], sets[1::2])]
-                union = [len(x) + len(y) - s for x, y, s in zip(sets[::2], sets[1::2], both)]
-                at = pa.array(rows)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "united"])
-
-            for i in range(batch.num_rows):
-                rows.append(i)
-                texts += [left[i].as_py() or "", right[i].as_py() or ""]
-                size += len(texts[-1]) + len(texts[-2])
-                if size > BATCH_BYTES:
-                    yield told()
-                    rows, texts, size = [], [], 0
-            if rows:
-                yield told()
-
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = stored(docs.select("doc_id", "text").join(small(ids), "doc_id"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(measure, "a long, b long, shared long, united long")
+
+def _united(left: list[np.ndarray], right: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+    return np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - shared
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -164,35 +175,91 @@ class Join:
         self.heads = stored(heads(docs, k, percent))
         self.classes = materialize(self.heads.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
         self.n_classes = self.classes.count()
-        self.links: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def is_link(self) -> Column:
-        return F.lit(100) * F.col("shared") >= F.lit(self.percent) * F.col("united")
 
-    def measured(self, pairs: DataFrame, least_percent: int) -> DataFrame:
-        """Distances of distinct pairs whose sizes allow a similarity of so many per cent; the links among them are kept."""
-        size = small(self.classes.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), self.n_classes)
-        sized = pairs.where("a < b").distinct()
+    def texts_of(self, rows: DataFrame) -> DataFrame:
+        """`rows` (rep and others) with the texts."""
+        return self.docs.join(small(rows), F.col("doc_id") == F.col("rep")).drop("doc_id")
+
+    def leaves(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) that connect what is connected within each region (region, rep); small regions share tasks."""
+        k, percent = self.k, self.percent
+        tasks = max(1, members.count() // LEAF)
+
+        def joined(table: pa.Table) -> pa.Table:
+            region, rep = table["region"].to_numpy(), table["rep"].to_numpy()
+            sets = _sets_of(table.select(["text"]), k)
+            a, b = [], []
+            for r in np.unique(region):
+                at = np.flatnonzero(region == r)
+                own = [sets[i] for i in at]
+                shared = shared_counts(own)
+                near = 100 * shared >= percent * _united(own, own, shared)
+                root = np.arange(len(at))
+                while True:  # each takes the least root among its neighbours
+                    least = np.where(near, root[None, :], len(at)).min(axis=1)
+                    least = np.minimum(root, least)
+                    if (least == root).all():
+                        break
+                    root = least[least]
+                linked = root != np.arange(len(at))
+                a.append(rep[at[root[linked]]])
+                b.append(rep[at[linked]])
+            return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+        dealt = materialize(members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks))))
+        return self.texts_of(dealt).groupBy("task").applyInArrow(joined, "a long, b long")
+
+    def round(self, members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Links of the members (region, rep, c) of large regions to pivots, and the regions that may hold more."""
+        k, percent = self.k, self.percent
+        near_percent = max(0, 2 * percent - 100)
+        many = min(PIVOTS, 4 ** (turn + 1))
+        # About so many pivots a region, chosen by hash; its least member is one for certain.
+        chosen = members.where(F.pmod(F.xxhash64(F.lit(turn), "region", "rep"), F.col("c")) < many).select("region", "rep", "c")
+        least = members.groupBy("region", "c").agg(F.min("rep").alias("rep")).select("region", "rep", "c")
+        pivots = materialize(chosen.unionByName(least).distinct())
+        tiles = F.ceil(F.col("c") / TILE).cast("int")
+        rows = members.select("region", "rep", F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"), F.lit(False).alias("is_pivot"))
+        rows = materialize(rows.unionByName(pivots.select("region", "rep", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("is_pivot"))))
+
+        def measured(table: pa.Table) -> pa.Table:
+            region, rep, is_pivot = table["region"][0].as_py(), table["rep"].to_numpy(), table["is_pivot"].to_numpy(zero_copy_only=False)
+            sets = _sets_of(table.select(["text"]), k)
+            left, right = [s for s, p in zip(sets, is_pivot) if not p], [s for s, p in zip(sets, is_pivot) if p]
+            shared = shared_counts(left, right)
+            united = _united(left, right, shared)
+            i, j = np.nonzero(100 * shared >= near_percent * united)
+            out_rep, out_pivot = rep[~is_pivot][i], rep[is_pivot][j]
+            return pa.table({
+                "region": pa.array(np.full(len(i), region), pa.int64()), "rep": pa.array(out_rep, pa.int64()), "pivot": pa.array(out_pivot, pa.int64()),
+                "link": pa.array((100 * shared >= percent * united)[i, j], pa.bool_()),
+            })
+
+        near = materialize(self.texts_of(rows).groupBy("region", "tile").applyInArrow(measured, "region long, rep long, pivot long, link boolean"))
+        links = near.where("link AND rep <> pivot").select(*_ordered(F.col("rep"), F.col("pivot")))
+        named = lambda other: F.xxhash64("region", other, F.lit(turn)).alias("region")
+        inner = near.select(named(F.col("pivot")), "rep").unionByName(pivots.select(named(F.col("rep")), "rep"))
+        settled = near.where("link").select("region", "rep").unionByName(pivots.select("region", "rep")).distinct()
+        outer = members.select("region", "rep").join(settled, ["region", "rep"], "left_anti").select(named(F.lit(-1)), "rep")
+        return links, inner.unionByName(outer).distinct()
+
+    def unconnected(self, regions: DataFrame, links: DataFrame) -> DataFrame:
+        """The regions (region, rep) whose members are not all connected by `links`."""
+        roots = materialize(components(links))
+        members = materialize(regions.join(small(roots), F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("root", "rep").alias("root")))
+        open_ = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
+        return materialize(members.join(small(materialize(open_)), "region").select("region", "rep"))
+
+    def fit(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes allow a link."""
+        size = small(materialize(self.classes.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))), self.n_classes)
         for side in "ab":
-            sized = sized.join(size.select(F.col("rep").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}")), side)
-        allowed = (F.lit(100) * F.col("hi_a") >= F.lit(least_percent) * F.col("lo_b")) & (F.lit(100) * F.col("hi_b") >= F.lit(least_percent) * F.col("lo_a"))
-        told = materialize(compare(materialize(sized.where(allowed).select("a", "b")), self.docs, self.k))
-        found = told.where(self.is_link()).select("a", "b")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.roots = materialize(components(self.links))
-        return told
-
-    def rooted(self, regions: DataFrame) -> DataFrame:
-        """Members (region, rep) with their root, of the regions that are not yet connected, and c, the region's size."""
-        roots = small(self.roots)
-        members = materialize(regions.join(roots, F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("root", "rep").alias("root")))
-        open_ = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region", "c")
-        open_ = materialize(open_)
-        return materialize(members.join(small(open_), "region"))
-
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """The first pairs to compare, and the members (region, rep) of the regions of three and more."""
+            pairs = pairs.join(size.select(F.col("rep").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}")), side)
+        allowed = (F.lit(100) * F.col("hi_a") >= F.lit(self.percent) * F.col("lo_b")) & (F.lit(100) * F.col("hi_b") >= F.lit(self.percent) * F.col("lo_a"))
+        return pairs.where(allowed).select("a", "b")
+
+    def candidates(self) -> DataFrame:
+        """Pairs (a, b) that tie every document to all it may link with, directly or through others."""
         first = self.heads.join(small(self.classes.select("h1", "h2", "rep"), self.n_classes), ["h1", "h2"]).where("doc_id = rep").select("rep", "n", "head")
         placed = first.select("rep", F.explode("head").alias("s"))
         shared = materialize(placed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1"))
@@ -214,42 +281,28 @@ class Join:
         beyond = prefixes.select(F.col("rep").alias("other"), F.explode(F.filter("rare", lambda s: s > F.col("edge"))).alias("s"))
         reached = beyond.join(placed, "s").select(*_ordered(F.col("rep"), F.col("other")))
         posted = prefixes.select("rep", F.explode(F.concat("rare", "late")).alias("s"))
-        regions = posted.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1")
-        members = stored(posted.join(regions, "s").select(F.col("s").alias("region"), "rep", "pivot", "c"))
-        stars = members.select(*_ordered(F.col("rep"), F.col("pivot")))
-        pairs = twice.unionByName(reached).unionByName(stars).where("a < b").distinct()
-        return pairs, members.where("c > 2").select("region", "rep").distinct()
-
-    def split(self, members: DataFrame, turn: int) -> DataFrame:
-        """Compare what a round calls for and return the regions that may still hold links."""
-        near = max(0, 2 * self.percent - 100)
-        a, b = members.alias("a"), members.alias("b")
-        direct = a.where(F.col("c") <= SMALL_REGION).join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        large = members.where(F.col("c") > SMALL_REGION)
-        many = 4 ** (turn + 1)
-        # About so many pivots a region, chosen by hash; one at least, its least root's least member.
-        pivot = F.pmod(F.xxhash64(F.lit(turn), "region", "rep"), F.col("c")) < many
-        least = large.groupBy("region").agg(F.min("rep").alias("pivot"))
-        pivots = materialize(large.where(pivot).select("region", F.col("rep").alias("pivot")).unionByName(least).distinct())
-        spokes = materialize(large.join(pivots, "region").where("rep <> pivot").select("region", "rep", "pivot"))
-        told = self.measured(direct.unionByName(spokes.select(*_ordered(F.col("rep"), F.col("pivot")))), near)
-        known = told.select("a", "b", F.col("shared") * 100 >= F.col("united") * near, self.is_link()).toDF("a", "b", "within_2r", "within_r").where("within_2r")
-        seen = spokes.select("region", "rep", "pivot", *_ordered(F.col("rep"), F.col("pivot"))).join(known, ["a", "b"])
-        inner = seen.select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "rep").unionByName(pivots.select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), F.col("pivot").alias("rep")))
-        settled = seen.where("within_r").select("region", "rep").unionByName(pivots.select("region", F.col("pivot").alias("rep"))).distinct()
-        outer = large.select("region", "rep").join(settled, ["region", "rep"], "left_anti").select(F.xxhash64("region", F.lit(-1), F.lit(turn)).alias("region"), "rep")
-        return inner.unionByName(outer).distinct()
+        lists = posted.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1")
+        starred = posted.join(lists, "s").select("c", *_ordered(F.col("rep"), F.col("pivot"))).where("a < b").groupBy("a", "b").agg(F.max("c").alias("c"))
+        starred = materialize(starred)
+        alone = twice.unionByName(reached).unionByName(starred.where("c = 2").select("a", "b")).where("a < b").distinct()
+        return self.fit(alone).unionByName(starred.where("c > 2").select("a", "b"))
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
-        pairs, regions = self.candidates()
-        self.measured(pairs, self.percent)
-        for turn in range(40):
-            open_ = self.rooted(regions)
-            if open_.isEmpty():
+        regions = materialize(components(self.candidates()).select(F.col("root").alias("region"), F.col("node").alias("rep")))
+        links = []
+        for turn in range(60):
+            sizes = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("c")))
+            members = materialize(regions.join(small(sizes), "region"))
+            links.append(materialize(self.leaves(members.where(F.col("c") <= LEAF).select("region", "rep"))))
+            large = members.where(F.col("c") > LEAF)
+            if large.isEmpty():
                 break
-            regions = materialize(self.split(open_, turn))
-        told = self.classes.join(small(self.roots), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
+            found, regions = self.round(large, turn)
+            links.append(materialize(found))
+            regions = self.unconnected(regions, reduce(DataFrame.unionByName, links))
+        roots = materialize(components(reduce(DataFrame.unionByName, links)))
+        told = self.classes.join(small(roots), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
         out = self.heads.select("doc_id", "n", "h1", "h2").join(small(told, self.n_classes), ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
