@@ -10,7 +10,7 @@ occurs in it, so a very common one costs as many rows as there are chunks. Table
 word or, for bigrams, of the context; a context seen more than `SPLIT_CONTEXT` times is spread over several buckets by
 its followers. A bucket sums the counts of all chunks, keeps them as its part of the stored table, and answers each chunk
 in the order asked. Bigrams go in `ROUNDS` rounds, each a share of the buckets, so that only that share is on disk as
-shuffle files at once. Last, each chunk evaluates its tokens with the answers.
+shuffle files at once. Last, each chunk evaluates its tokens with the answers, in as many rounds of chunks.
 
 Words are compared by 64-bit hashes. The model is of order two: a third order would double what is shuffled and stored.
 
@@ -22,15 +22,17 @@ unknown, with probability 1. Repeated rows are scored alike; an empty table give
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import discard, fold, stored
 
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 5 << 18
 BATCH_BYTES = 4 << 20
 #: Entries that a bucket gets on average.
 BUCKET_ENTRIES = 1 << 20
@@ -193,34 +195,43 @@ class Bigrams:
         own = mixed(self.hash[self.context] ^ START)
         part = mixed(self.hash[self.word]) % np.maximum(1, parts[self.context]).astype(np.uint64)
         bucket = mixed(own + part * MIX) % np.uint64(buckets)
-        # A split context is asked for in all its buckets, for its sums; such entries have no word.
-        split = np.unique(self.context[known & (parts[self.context] > 1)])
-        ask = [(np.full(int(parts[c]), c), mixed(mixed(self.hash[[c]] ^ START) + np.arange(int(parts[c]), dtype=np.uint64) * MIX) % np.uint64(buckets)) for c in split]
+        # A context is asked for without a word where its sums would not come else: in all buckets of a split one, and if
+        # only unknown words follow it here.
+        seen_context = np.unique(self.context[self.context_count[self.context] > 0])
+        bare = np.union1d(seen_context[parts[seen_context] > 1], np.setdiff1d(seen_context, self.context[known]))
+        of_bare = np.repeat(bare, parts[bare])
+        nth = (np.arange(len(of_bare)) - np.repeat(np.cumsum(parts[bare]) - parts[bare], parts[bare])).astype(np.uint64)
+        bare_bucket = mixed(mixed(self.hash[of_bare] ^ START) + nth * MIX) % np.uint64(buckets)
         pick = np.flatnonzero(known)
-        context = np.concatenate([self.context[pick], *[c for c, _ in ask]]).astype(np.int64)
+        context = np.concatenate([self.context[pick], of_bare]).astype(np.int64)
         word = np.concatenate([self.word[pick], np.full(len(context) - len(pick), -1)])
-        bucket = np.concatenate([bucket[pick], *[b for _, b in ask]])
+        bucket = np.concatenate([bucket[pick], bare_bucket])
         code_at = np.concatenate([pick, np.full(len(context) - len(pick), -1)])
         order = np.lexsort((word, context, bucket))
         self.asked_context, self.asked_word, self.asked_bucket, self.asked_code = context[order], word[order], bucket[order].astype(np.int64), code_at[order]
 
 
-def _unpack_chunk(row: dict, table_counts: list, buckets: int):
+def _one_by_one(batch: pa.RecordBatch):
+    """Rows as dicts, one chunk in memory at a time."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _unpack_chunk(row: dict):
     vocab, tokens = np.frombuffer(row["vocab"], np.uint64), unpacked(row["tokens"], np.uint32).astype(np.int64)
     sizes = np.array(row["sizes"], np.int64)
-    answers = [unpacked(x["counts"], np.uint64) for x in sorted(table_counts, key=lambda x: x["bucket"])]
+    answers = [unpacked(x["counts"], np.uint64) for x in sorted(row["answers"], key=lambda x: x["bucket"])]
     counts = np.concatenate(answers).astype(np.int64) if answers else np.zeros(0, np.int64)
     return vocab, tokens, sizes, counts
 
 
 def bigrams(joined: DataFrame, buckets: int, turn: int, rounds: int, end_count: int, unigram: Unigram) -> DataFrame:
     """Answers and table parts of the buckets of one round; a context's answer is what its weight needs."""
-    shared = joined.sparkSession.sparkContext.broadcast(unigram)
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                vocab, tokens, sizes, counts = _unpack_chunk(row, row["answers"], buckets)
+            for row in _one_by_one(batch):
+                vocab, tokens, sizes, counts = _unpack_chunk(row)
                 b = Bigrams(vocab, tokens, sizes, counts, end_count, buckets)
                 learn = np.repeat(np.array([h is False for h in row["held"]]), sizes)
                 times = np.bincount(b.at[learn], minlength=len(b.context))
@@ -238,7 +249,7 @@ def bigrams(joined: DataFrame, buckets: int, turn: int, rounds: int, end_count:
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], ["bucket", "chunk", "contexts", "sizes", "words", "times", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        p = shared.value
+        p = unigram
         bucket, chunk = table["bucket"][0].as_py(), table["chunk"].to_pylist()
         contexts = [np.frombuffer(x, np.uint64) for x in table["contexts"].to_pylist()]
         sizes = [unpacked(x, np.uint32) for x in table["sizes"].to_pylist()]
@@ -273,14 +284,13 @@ def bigrams(joined: DataFrame, buckets: int, turn: int, rounds: int, end_count:
 
 
 def evaluate(joined: DataFrame, buckets: int, end_count: int, unigram: Unigram, d: np.ndarray) -> DataFrame:
-    """One row per document from its chunk, the words' answers and the bigrams' answers."""
-    shared = joined.sparkSession.sparkContext.broadcast((unigram, d))
+    """One row per document from its chunk with the words' answers and the bigrams' answers."""
 
     def score(batches):
-        p, d = shared.value
+        p = unigram
         for batch in batches:
-            for row in batch.to_pylist():
-                vocab, tokens, sizes, counts = _unpack_chunk(row, row["answers"], buckets)
+            for row in _one_by_one(batch):
+                vocab, tokens, sizes, counts = _unpack_chunk(row)
                 b = Bigrams(vocab, tokens, sizes, counts, end_count, buckets)
                 asked = sorted(row["replies"] or [], key=lambda x: x["bucket"])
                 n_context = len(b.hash)
@@ -329,13 +339,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     unigram = Unigram(n, v, of)
     end_count = docs.where(fold(F.col("doc_id"), 10) != 0).count()
     buckets = max(rounds, (size.tokens or 0) // BUCKET_ENTRIES)
-    kept = ["chunk", "held", "sizes", "vocab", "tokens"]
-    tables = []
-    for turn in range(rounds):
-        tables.append(stored(bigrams(_with_answers(chunked.select(*kept), words, "answers", "counts"), buckets, turn, rounds, end_count, unigram)))
-    table = tables[0]
-    for more in tables[1:]:
-        table = table.unionByName(more)
+    known = stored(_with_answers(chunked.drop("counts", "n_vocab", "n_tokens"), words, "answers", "counts"))
+    discard(chunked)
+    table = reduce(DataFrame.unionByName, [stored(bigrams(known.drop("doc_ids"), buckets, turn, rounds, end_count, unigram)) for turn in range(rounds)])
     _, _, of_bigrams = totals(table)
-    every = _with_answers(_with_answers(chunked.select(*kept, "doc_ids"), words, "answers", "counts"), table, "replies", "times", "contexts", "low")
-    return evaluate(every, buckets, end_count, unigram, discounts(of_bigrams))
+    share = lambda df, turn: df.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == turn)
+    scored = [stored(evaluate(_with_answers(share(known, turn), share(table, turn), "replies", "times", "contexts", "low"), buckets, end_count, unigram, discounts(of_bigrams))) for turn in range(rounds)]
+    return reduce(DataFrame.unionByName, scored)
