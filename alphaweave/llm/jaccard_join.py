@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on word shingles, by pivots in the metric space of sets.
 
 Two sets of Jaccard similarity t or more share one of the first `n - ceil(t n) + 1` shingles of each in any common order
-(order: shingles found in few documents first, then long ones, then by hash). Documents that share such shingles, directly
+(order: shingles found in few documents first, by powers of two, then long ones, then by hash). Documents that share such shingles, directly
 or through others, form a region; no link leaves it. A region of up to `LEAF` documents is joined in one task, all its
 sets against each other. A larger one is measured against pivots; the distance 1 - J obeys the triangle inequality, so
 with radius r = 1 - t
@@ -264,17 +264,18 @@ class Join:
         placed = first.select("rep", F.explode("head").alias("s"))
         shared = materialize(placed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1"))
         twice = shared.where("c = 2").select(*_ordered(F.col("lo"), F.col("hi")))
-        # Shingles of three documents and more come last in the order. Who has too many of them needs his whole set.
-        frequent = shared.where("c > 2").select("s")
+        # Shingles of three documents and more come last, by the power of two of their number, so that what a family of
+        # copies shares goes before passages of half the corpus. Who has too many of them needs the whole set.
+        frequent = shared.where("c > 2").select("s", F.floor(F.log2(F.col("c").cast("double"))).alias("power"))
         n_frequent = frequent.count()
         hits = placed.join(small(frequent, n_frequent), "s").groupBy("rep").agg(F.count(F.lit(1)).alias("f"))
         p = prefix_length(F.col("n"), self.percent)
         lacking = materialize(first.select("rep", p.alias("p"), F.size("head").alias("size")).join(hits, "rep").where("size - f < p").groupBy("rep").agg(F.max("p").alias("p"), F.max("size").alias("size")))
         n_lacking = lacking.count()
         whole = stored(whole_sets(self.docs.select(F.col("doc_id").alias("rep"), "text").join(small(lacking, n_lacking), "rep").select("rep", "p", "size", "text"), self.k))
-        common = whole.select("rep", F.explode("shingles").alias("s")).join(small(frequent, n_frequent), "s").groupBy("rep").agg(F.collect_set("s").alias("common"))
-        none = F.array().cast("array<bigint>")
-        late = F.array_sort(F.coalesce("common", none))
+        common = whole.select("rep", F.explode("shingles").alias("s")).join(small(frequent, n_frequent), "s").groupBy("rep").agg(F.collect_set(F.struct("power", "s")).alias("common"))
+        none = F.array().cast("array<struct<power:bigint,s:bigint>>")
+        late = F.transform(F.array_sort(F.coalesce("common", none)), lambda x: x["s"])
         own = whole.join(small(common, n_lacking), "rep", "left").select("rep", F.element_at("shingles", F.least(F.col("size"), F.size("shingles"))).alias("edge"), F.slice(F.array_except("shingles", late), F.lit(1), F.col("p").cast("int")).alias("rare"), F.col("p").cast("int").alias("p"), F.array_intersect(late, "shingles").alias("late"))
         filled = own.select("rep", "edge", F.col("rare"), F.slice("late", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.size("rare"))).alias("late"))
         prefixes = stored(filled)
