@@ -3,17 +3,16 @@
 Two sets of Jaccard similarity t or more share one of the first `n - ceil(t n) + 1` shingles of each in any common order
 (order: shingles found in few documents first, by powers of two, then long ones, then by hash). Documents that share such shingles, directly
 or through others, form a region; no link leaves it. A region of up to `LEAF` documents is joined in one task, all its
-sets against each other. A larger one is measured against pivots; the distance 1 - J obeys the triangle inequality, so
-with radius r = 1 - t
+sets against each other. A larger one is first measured against about `PIVOTS` pivots; the distance 1 - J obeys the
+triangle inequality, so with radius r = 1 - t
 
-* members within r of a pivot are linked to it, and so with each other: they need no further comparison;
-* a link of such a member leads to members within 2 r of the pivot: they form the pivot's inner region, where those
-  between r and 2 r are replicated;
-* members beyond r of every pivot form the outer region.
+* members within r of a pivot are linked to it and so with each other; they form its cell, those in no ball one more;
+* members of the region's largest component so far need no comparison with each other;
+* every other member may link into a pivot's cell only if it is within 2 r of the pivot: it is replicated to those cells,
+  and to the cell of those in no ball, and measured there against all.
 
-Regions whose members are all connected by then are done; the others are joined in the same way with more pivots. So a
-group of thousands of near copies costs one comparison per copy and pivot, and no link is lost. Exact copies (equal sets)
-are one document throughout.
+Cells are dealt in tiles of bounded size. So a group of thousands of near copies costs some comparisons per copy, and no
+link is lost. Exact copies (equal sets) are one document throughout.
 
 Defined results: null texts and texts without words have no shingles and link with nothing. Rows that repeat a doc_id
 count as one document that links by any of its texts. An empty table gives no rows. Columns other than doc_id and text
@@ -22,8 +21,6 @@ are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +32,8 @@ from .common import small, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Documents that one task joins directly, and that meet a round's pivots in one task; most pivots of a round.
-LEAF, TILE, PIVOTS = 256, 256, 256
+#: Documents that one task joins directly, and that meet pivots in one task; about so many pivots of a region.
+LEAF, TILE, PIVOTS = 256, 256, 16
 #: Bytes of text whose words are hashed at once.
 BATCH_BYTES = 2 << 20
 
@@ -209,46 +206,54 @@ class Join:
         dealt = materialize(members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks))))
         return self.texts_of(dealt).groupBy("task").applyInArrow(joined, "a long, b long")
 
-    def round(self, members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Links of the members (region, rep, c) of large regions to pivots, and the regions that may hold more."""
+    def measured(self, rows: DataFrame, least_percent: int) -> DataFrame:
+        """(region, rep, pivot, link) of the members and pivots (region, cell, tile, batch, rep, is_pivot) that meet in a
+        task and are similar to at least so many per cent."""
         k, percent = self.k, self.percent
-        near_percent = max(0, 2 * percent - 100)
-        many = min(PIVOTS, 4 ** (turn + 1))
-        # About so many pivots a region, chosen by hash; its least member is one for certain.
-        chosen = members.where(F.pmod(F.xxhash64(F.lit(turn), "region", "rep"), F.col("c")) < many).select("region", "rep", "c")
-        least = members.groupBy("region", "c").agg(F.min("rep").alias("rep")).select("region", "rep", "c")
-        pivots = materialize(chosen.unionByName(least).distinct())
-        tiles = F.ceil(F.col("c") / TILE).cast("int")
-        rows = members.select("region", "rep", F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"), F.lit(False).alias("is_pivot"))
-        rows = materialize(rows.unionByName(pivots.select("region", "rep", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("is_pivot"))))
 
-        def measured(table: pa.Table) -> pa.Table:
+        def meet(table: pa.Table) -> pa.Table:
             region, rep, is_pivot = table["region"][0].as_py(), table["rep"].to_numpy(), table["is_pivot"].to_numpy(zero_copy_only=False)
             sets = _sets_of(table.select(["text"]), k)
             left, right = [s for s, p in zip(sets, is_pivot) if not p], [s for s, p in zip(sets, is_pivot) if p]
             shared = shared_counts(left, right)
             united = _united(left, right, shared)
-            i, j = np.nonzero(100 * shared >= near_percent * united)
-            out_rep, out_pivot = rep[~is_pivot][i], rep[is_pivot][j]
-            return pa.table({
-                "region": pa.array(np.full(len(i), region), pa.int64()), "rep": pa.array(out_rep, pa.int64()), "pivot": pa.array(out_pivot, pa.int64()),
-                "link": pa.array((100 * shared >= percent * united)[i, j], pa.bool_()),
-            })
-
-        near = materialize(self.texts_of(rows).groupBy("region", "tile").applyInArrow(measured, "region long, rep long, pivot long, link boolean"))
-        links = near.where("link AND rep <> pivot").select(*_ordered(F.col("rep"), F.col("pivot")))
-        named = lambda other: F.xxhash64("region", other, F.lit(turn)).alias("region")
-        inner = near.select(named(F.col("pivot")), "rep").unionByName(pivots.select(named(F.col("rep")), "rep"))
-        settled = near.where("link").select("region", "rep").unionByName(pivots.select("region", "rep")).distinct()
-        outer = members.select("region", "rep").join(settled, ["region", "rep"], "left_anti").select(named(F.lit(-1)), "rep")
-        return links, inner.unionByName(outer).distinct()
-
-    def unconnected(self, regions: DataFrame, links: DataFrame) -> DataFrame:
-        """The regions (region, rep) whose members are not all connected by `links`."""
-        roots = materialize(components(links))
-        members = materialize(regions.join(small(roots), F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("root", "rep").alias("root")))
-        open_ = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
-        return materialize(members.join(small(materialize(open_)), "region").select("region", "rep"))
+            i, j = np.nonzero(100 * shared >= least_percent * united)
+            link = (100 * shared >= percent * united)[i, j]
+            return pa.table({"region": pa.array(np.full(len(i), region), pa.int64()), "rep": pa.array(rep[~is_pivot][i], pa.int64()), "pivot": pa.array(rep[is_pivot][j], pa.int64()), "link": pa.array(link, pa.bool_())})
+
+        dealt = materialize(rows.select("region", "cell", "tile", "batch", "rep", "is_pivot"))
+        return materialize(self.texts_of(dealt).groupBy("region", "cell", "tile", "batch").applyInArrow(meet, "region long, rep long, pivot long, link boolean"))
+
+    def split(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) of the members (region, rep, c) of large regions that connect what is connected."""
+        nth = lambda by, size: F.pmod(F.xxhash64(F.lit(by), "rep"), size).cast("int")
+        every = lambda size: F.explode(F.sequence(F.lit(0), size - 1))
+        # About so many pivots a region, chosen by hash; its least member is one for certain.
+        chosen = members.where(F.pmod(F.xxhash64("region", "rep"), F.col("c")) < PIVOTS).select("region", "rep", "c")
+        pivots = materialize(chosen.unionByName(members.groupBy("region", "c").agg(F.min("rep").alias("rep")).select("region", "rep", "c")).distinct())
+        tiles = F.ceil(F.col("c") / TILE).cast("int")
+        one = [F.lit(0).alias("cell"), F.lit(0).alias("batch")]
+        rows = members.select("region", "rep", *one, nth("tile", tiles).alias("tile"), F.lit(False).alias("is_pivot"))
+        near = self.measured(rows.unionByName(pivots.select("region", "rep", *one, every(tiles).alias("tile"), F.lit(True).alias("is_pivot"))), max(0, 2 * self.percent - 100))
+        first = materialize(near.where("link AND rep <> pivot").select(*_ordered(F.col("rep"), F.col("pivot"))).distinct())
+        # Two members of a region's largest component need no comparison. Who is in no such is met by all others that may link.
+        roots = materialize(components(first))
+        rooted = materialize(members.join(small(roots), F.col("rep") == F.col("node"), "left").select("region", "rep", F.coalesce("root", "rep").alias("root")))
+        largest = rooted.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", F.col("root").alias("most"))).alias("x")).select("region", F.col("x.most").alias("most"))
+        apart = materialize(rooted.join(small(materialize(largest)), "region").where("root <> most").select("region", "rep"))
+        ball = near.where("link").groupBy("region", "rep").agg(F.min("pivot").alias("cell"))
+        cells = members.select("region", "rep").join(ball, ["region", "rep"], "left").select("region", "rep", F.coalesce("cell", F.lit(-1)).alias("cell"))
+        # By the triangle inequality a link into the ball of a pivot comes from within 2 r of it.
+        windows = apart.join(near.select("region", "rep", F.col("pivot").alias("cell")), ["region", "rep"]).unionByName(apart.withColumn("cell", F.lit(-1).cast("long"))).distinct()
+        cells, windows = materialize(cells), materialize(windows)
+        n_tiles = cells.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+        n_batches = windows.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("batches"))
+        size = materialize(n_tiles.join(n_batches, ["region", "cell"]))
+        key = ["region", "cell"]
+        met = cells.join(small(size), key).select(*key, "rep", nth("tile", F.col("tiles")).alias("tile"), every(F.col("batches")).alias("batch"), F.lit(False).alias("is_pivot"))
+        comers = windows.join(small(size), key).select(*key, "rep", every(F.col("tiles")).alias("tile"), nth("batch", F.col("batches")).alias("batch"), F.lit(True).alias("is_pivot"))
+        rest = self.measured(met.unionByName(comers), self.percent).where("rep <> pivot").select(*_ordered(F.col("rep"), F.col("pivot")))
+        return first.unionByName(rest)
 
     def fit(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes allow a link."""
@@ -291,18 +296,13 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
         regions = materialize(components(self.candidates()).select(F.col("root").alias("region"), F.col("node").alias("rep")))
-        links = []
-        for turn in range(60):
-            sizes = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("c")))
-            members = materialize(regions.join(small(sizes), "region"))
-            links.append(materialize(self.leaves(members.where(F.col("c") <= LEAF).select("region", "rep"))))
-            large = members.where(F.col("c") > LEAF)
-            if large.isEmpty():
-                break
-            found, regions = self.round(large, turn)
-            links.append(materialize(found))
-            regions = self.unconnected(regions, reduce(DataFrame.unionByName, links))
-        roots = materialize(components(reduce(DataFrame.unionByName, links)))
+        sizes = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("c")))
+        members = materialize(regions.join(small(sizes), "region"))
+        links = materialize(self.leaves(members.where(F.col("c") <= LEAF).select("region", "rep")))
+        large = members.where(F.col("c") > LEAF)
+        if not large.isEmpty():
+            links = links.unionByName(materialize(self.split(large)))
+        roots = materialize(components(links))
         told = self.classes.join(small(roots), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
         out = self.heads.select("doc_id", "n", "h1", "h2").join(small(told, self.n_classes), ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
