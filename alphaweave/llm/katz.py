@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, fold, stored
 
-CHUNK_TOKENS = 5 << 18
+CHUNK_TOKENS = 1 << 20
 BATCH_BYTES = 4 << 20
 #: Entries that a bucket gets on average.
-BUCKET_ENTRIES = 1 << 20
-SPLIT_CONTEXT = 1 << 20
+BUCKET_ENTRIES = 1 << 19
+SPLIT_CONTEXT = 1 << 18
 ROUNDS = 3
 #: Counts above are not discounted.
 K = 5
@@ -268,7 +268,9 @@ def bigrams(joined: DataFrame, buckets: int, turn: int, rounds: int, end_count:
         entry_ends, context_ends = np.cumsum([int(s.sum()) for s in sizes]), np.cumsum([len(c) for c in contexts])
         per_chunk = zip(np.split(at, entry_ends[:-1]), np.split(context_at, context_ends[:-1]))
         answers = [(packed(sums[a].astype(np.uint32)), packed(np.stack([total_count[c], *[f[c] for f in few]]).astype(np.uint32)), low[c].tobytes()) for a, c in per_chunk]
-        order = np.lexsort((words[first], context))[seen[np.lexsort((words[first], context))]]
+        del of_entry, times, word_count
+        order = np.lexsort((words[first], context))
+        order = order[seen[order]]
         n, of = len(chunk), [int((sums == r).sum()) for r in range(1, K + 2)]
         return pa.table({
             "bucket": pa.array([bucket] * (n + 1), pa.int64()), "chunk": pa.array([*chunk, -1], pa.int64()),
