@@ -335,6 +335,17 @@ def _with_answers(chunked: DataFrame, table: DataFrame, name: str, *columns: str
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Score every text by the model of the folds 1 to 9 of 10."""
     chunked = stored(chunks(docs))
+    # From here a row is a chunk of many megabytes: one at a time goes to Python.
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1")
+    try:
+        return _score(docs, chunked, rounds)
+    finally:
+        conf.set(name, before)
+
+
+def _score(docs: DataFrame, chunked: DataFrame, rounds: int) -> DataFrame:
     size = chunked.agg(F.sum("n_vocab").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     words = stored(unigrams(chunked, max(1, (size.words or 0) // BUCKET_ENTRIES)))
     n, v, of = totals(words)
