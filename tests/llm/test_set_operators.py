@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import subprocess
@@ -223,6 +224,27 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, tile):
     assert vector_dedup.deduplicate(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("topics", [1, 5])
+def test_vectors_that_share_a_direction_are_found(spark, topics):
+    """Background cosine 0.9 within each topic of one label, every pair planted at the threshold, against brute force."""
+    rng = np.random.default_rng(topics)
+    one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, pairs, dim = 12_000, 300, 64
+    base = one(rng.normal(size=(topics, dim)))[rng.integers(0, topics, n)]
+    x = one(math.sqrt(0.9) * base + math.sqrt(0.1) * one(rng.normal(size=(n, dim))))
+    aside = rng.normal(size=(pairs, dim))
+    aside = one(aside - (aside * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.983 * x[:pairs] + math.sqrt(1 - 0.983**2) * aside]).astype(np.float32)
+    y = one(x.astype(np.float64))
+    near = np.argwhere(np.triu(y @ y.T >= 0.98, 1))
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[j].tolist(), 1) for i, j in enumerate(order)], "vec_id long, embedding array<float>, label int")
+    got = {int(order[r.vec_id]): r.component_id for r in vector_dedup.deduplicate(df).collect()}
+    assert len(got) == len(x) and len(near) >= pairs
+    found = sum(got[a] == got[b] for a, b in near.tolist())
+    assert found >= 0.985 * len(near), (found, len(near))
+
+
 # ---- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_on_a_small_table(spark, tmp_path):
