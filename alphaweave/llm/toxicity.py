@@ -101,7 +101,7 @@ def features(text: str, lexicon: dict[str, float], known: frozenset[str], second
     signs = len(text) - letters - text.count(" ")
     return [
         n_known / n, min(n_known, 20), len(hits) / n, sum(weights) / n, max(weights, default=0.0), min(len(found), 20), near / n, len(persons) / n,
-        sum(map(str.isupper, text)) / letters if len(text) < 1 << 22 else len(re.findall("[A-Z]", text)) / letters, len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / n, max(0, signs) / letters, len(re.findall(r"([!?.*$#%&])\1+", text)) / n,
+        sum(map(str.isupper, text)) / letters, len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / n, max(0, signs) / letters, len(re.findall(r"([!?.*$#%&])\1+", text)) / n,
         len(disguised) / n, sum(u in known or "=" + u in lexicon for u in unmasked), math.log1p(len(words)),
     ]
 
