@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-Candidates are runs of at least `WINDOW` characters of the base-64 and URL alphabets. A run of hexadecimal digits is of
-class hex, one that mixes capitals, small letters and digits of class b64; others are no candidates. A window of `WINDOW`
+Candidates are runs of at least `WINDOW` characters of the base-64 and URL alphabets, with `=` only as padding at the end,
+so that name=value is two. A run of hexadecimal digits is of class hex, one that mixes capitals, small letters and digits
+of class b64; one without capitals that has `WINDOW` small letters and digits in a row is of class lower, one without
+small letters alike of class upper; others are no candidates. A window of `WINDOW`
 characters slides over the candidate; the counts of its characters and the sum of n * log2(n) change by the character
 that leaves and the one that enters. From the first to the last window whose Shannon entropy reaches the class's
-threshold the string is a span, unless the allow list explains it: UUIDs, placeholders, alphabets, paths, or a label
+threshold the string is a span, unless the allow list explains it: UUIDs, placeholders, alphabets, paths without capitals, or a label
 such as `sha256` or `commit` right before it. Spans within one of a fixed pattern are not added again.
 
 Everything is a column expression over one row, so nothing is shuffled. Places are in code points, end exclusive.
@@ -23,11 +25,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Bits per character; a random hexadecimal window has about 3.3, a random base-64 one about 4.1, words below 3.6.
-LEAST_BITS = {"entropy_hex": 2.9, "entropy_b64": 3.8}
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}|[A-Za-z0-9+/_-]{19}={1,2}|[A-Za-z0-9+/_-]{18}=="
+#: Bits per character; a random hexadecimal window has about 3.3, a random base-64 one about 4.1, one of 36 letters and digits 3.8, words below 3.6.
+LEAST_BITS = {"entropy_hex": 2.9, "entropy_b64": 3.8, "entropy_lower": 3.6, "entropy_upper": 3.6}
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i)example|sample|placeholder|changeme|dummy|xxxx|(0123456789|abcdefghij)"
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij)"
     r"|^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$"
 )
 ALLOWED_BEFORE = r"""(?i)(sha-?[0-9]*|md5|commit|checksum|digest|integrity|etag|uuid)["']?[\s:=-]{1,3}["']?$"""
@@ -85,10 +87,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     is_hex = lambda m: m.rlike("^[0-9a-fA-F]+$") & m.rlike("[0-9]") & m.rlike("[a-fA-F]")
     is_mixed = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
-    suspect = F.filter(matches(text, CANDIDATE), lambda m: (is_hex(m["match"]) | is_mixed(m["match"])) & ~m["match"].rlike(ALLOWED) & ~F.right(m["before"], F.lit(24)).rlike(ALLOWED_BEFORE))
-    kind = lambda m: F.when(is_hex(m), "entropy_hex").otherwise("entropy_b64")
-    bits = lambda m: F.when(is_hex(m), LEAST_BITS["entropy_hex"]).otherwise(LEAST_BITS["entropy_b64"])
-    rated = F.transform(suspect, lambda m: F.struct(m["start"].alias("at"), kind(m["match"]).alias("kind"), hot_range(m["match"], bits(m["match"])).alias("hot")))
+    in_a_row = lambda m, letters: m.rlike(f"[{letters}0-9]{{{WINDOW},}}") & m.rlike(f"[{letters}]") & m.rlike("[0-9]")
+    is_lower = lambda m: in_a_row(m, "a-z") & ~m.rlike("[A-Z]")
+    is_upper = lambda m: in_a_row(m, "A-Z") & ~m.rlike("[a-z]")
+    kind = lambda m: F.when(is_hex(m), "entropy_hex").when(is_mixed(m), "entropy_b64").when(is_lower(m), "entropy_lower").when(is_upper(m), "entropy_upper")
+    bits = lambda kind: F.element_at(F.create_map(*[F.lit(x) for pair in LEAST_BITS.items() for x in pair]), kind)
+    classed = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("at"), m["match"].alias("match"), m["before"].alias("before"), kind(m["match"]).alias("kind")))
+    suspect = F.filter(classed, lambda m: m["kind"].isNotNull() & ~m["match"].rlike(ALLOWED) & ~F.right(m["before"], F.lit(24)).rlike(ALLOWED_BEFORE))
+    rated = F.transform(suspect, lambda m: F.struct(m["at"], m["kind"], hot_range(m["match"], bits(m["kind"])).alias("hot")))
     spans = F.transform(F.filter(rated, lambda m: m["hot"]["lo"].isNotNull()), lambda m: _span(m["kind"], 3, m["at"] + m["hot"]["lo"], m["at"] + m["hot"]["hi"]))
     found = docs.withColumn("base", base).withColumn("spans_by_entropy", spans)
     known = lambda a: F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]))

@@ -201,6 +201,13 @@ def test_toxicity_without_both_labels(spark):
     assert toxicity.reject(df, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(EDGES)
 
 
+def test_capitals_count_alike_at_every_length():
+    at = toxicity.FEATURES.index("capitals") if "capitals" in toxicity.FEATURES else 8
+    capitals = lambda text: toxicity.features(text, {}, frozenset(), frozenset(), frozenset())[at]
+    text = "ПРИВЕТ ΚΑΛΗΜΕΡΑ HELLO "
+    assert capitals(text) == 1 and capitals(text * ((1 << 22) // len(text) + 1)) == 1
+
+
 # ---- pseudonyms ----------------------------------------------------------------------------
 
 PERSONAL = [
@@ -262,3 +269,20 @@ def test_window_entropy_equals_counting(spark):
         bits = [-sum(c / w * math.log2(c / w) for c in Counter(r.t[i : i + w]).values()) for i in range(len(r.t) - w + 1)]
         hot = [i for i, b in enumerate(bits) if b >= least - 1e-9]
         assert (r.hot.lo, r.hot.hi) == ((hot[0], hot[-1] + w) if hot else (None, None))
+
+
+def test_planted_random_keys_are_found(spark):
+    rng = random.Random(11)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    kinds = {
+        "slashes": lambda: draw(lower + upper + "0123456789", 12) + "/" + draw(lower + upper + "0123456789", 13) + "/" + draw(lower + upper + "0123456789", 13),
+        "named": lambda: "db_key=" + draw("0123456789abcdef", 24), "capital name": lambda: "DB_KEY=" + draw("0123456789abcdef", 24),
+        "base 36": lambda: draw(lower + "0123456789", 32), "base 32": lambda: draw(upper + "234567", 32),
+    }
+    rows = [(k, make()) for k, make in kinds.items() for _ in range(200)]
+    got = secrets.digest(spark.createDataFrame([(k, f"see {t} now") for k, t in rows], "doc_id string, text string")).collect()
+    found = Counter(r.doc_id for r in got if r.spans)
+    assert all(found[k] >= 0.97 * 200 for k in kinds), found
+    plain = ["2024-01-15-how-to-read-a-long-file-name", "src/main/java/org/apache/spark2/util", "internationalization", "padding=" * 9, "A_LONG_CONSTANT_NAME_OF_2024", "sha1=" + draw("0123456789abcdef", 40)[:31]]
+    assert [r.spans for r in secrets.digest(spark.createDataFrame(enumerate(plain), "doc_id long, text string")).collect()] == [""] * len(plain)
