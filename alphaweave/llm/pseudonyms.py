@@ -16,7 +16,7 @@ ones stay different, and the holder of the key can turn them back (`restore=True
 | card  | 13 to 19 digits with a right check digit | all but the last digit                       | spaces, hyphens; the check digit is made anew |
 
 What fails its validation stays as it is. A date with slashes whose first number cannot be a month is written day first
-again; its pseudonym may then read month first too, so of all formats that one is not restored for certain. All of it is column expressions on one row: no shuffle, no Python on executors.
+again; its pseudonym may then read month first too, so that one is not restored for certain, nor is a card right beside other numbers, whose digits may pass together with them. All of it is column expressions on one row: no shuffle, no Python on executors.
 
 Defined results: a null text stays null, an empty one empty; repeated rows come out alike; other columns are untouched.
 """
@@ -28,10 +28,24 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KEY = "set your own key"
+#: Countries by the length of their account numbers: a word after a number is no part of it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![\p{{L}}\p{{N}}])" for n, c in IBAN_LENGTHS.items())
+#: Runs of letters beyond ASCII that are turned within themselves: first and last code point.
+LETTERS = (
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA),
+    (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+#: Digits and single signs in which cards are looked for, once the other kinds are taken out.
+RUN = r"(?<![\p{L}\p{N}])[0-9][0-9\x20-]{12,}(?![\p{L}\p{N}])"
 #: Patterns in order of precedence. None can begin within a longer run of its own characters.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)*(?<=\.\p{L}{2,63})",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])(?:" + _BY_COUNTRY + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/-][0-9])",
@@ -72,12 +86,16 @@ def permute(left: Column, right: Column, a: Column | int, b: Column | int, key:
 
 
 def _shifted(text: Column, by: Column, sign: int) -> Column:
-    """Each ASCII letter or digit of `text` turned within its class by an amount that `by` and its place give."""
+    """Each ASCII letter or digit, and each letter of `LETTERS`, of `text` turned within its class by an amount that `by` and its place give."""
 
     def one(c: Column, j: Column) -> Column:
         code, amount = F.ascii(c), F.pmod(F.xxhash64(by, j), F.lit(1 << 30)).cast("int") * sign
         turned = lambda first, size: F.char(F.pmod(code - first + amount, F.lit(size)) + first)
-        return F.when(c.rlike("^[0-9]$"), turned(48, 10)).when(c.rlike("^[a-z]$"), turned(97, 26)).when(c.rlike("^[A-Z]$"), turned(65, 26)).otherwise(c)
+        beyond = F.when(code < 128, c)
+        for first, last in LETTERS:
+            moved = F.pmod(code - first + amount, F.lit(last - first + 1)) + first
+            beyond = beyond.when(code.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
+        return F.when(c.rlike("^[0-9]$"), turned(48, 10)).when(c.rlike("^[a-z]$"), turned(97, 26)).when(c.rlike("^[A-Z]$"), turned(65, 26)).otherwise(beyond.otherwise(c))
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
@@ -210,11 +228,34 @@ def card(m: Column, key: str, restore: bool) -> Column:
     return F.when(F.right(d, F.lit(1)) == check_digit(payload), into_form(m, new)).otherwise(m)
 
 
-KINDS = {"email": email, "iban": iban, "ip": ip, "ssn": ssn, "date": date, "phone": phone, "card": card}
+def cards(run: Column, key: str, restore: bool) -> Column:
+    """struct<new, n> of a run of digits and signs: from left to right, the longest card that begins at a group of digits."""
+    whole = f"^{PATTERNS['card']}$"
+
+    def search(groups: Column) -> Column:
+        # Digits at even places, signs at odd ones.
+        n = F.floor((F.size(groups) + 1) / 2).cast("int")
+        part = lambda i, j: F.array_join(F.slice(groups, 2 * i + 1, 2 * (j - i) + 1), "")
+        after = lambda j: F.coalesce(F.get(groups, 2 * j + 1), F.lit(""))
+        right = lambda m: F.when(m.rlike(whole), let(digits(m), lambda d: F.right(d, F.lit(1)) == check_digit(F.substr(d, F.lit(1), F.length(d) - 1)))).otherwise(False)
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(n - 1, i + 18)), lambda j: right(part(i, j)))
+            state = lambda at, out, k: F.struct(at.alias("at"), out.alias("out"), k.alias("n"))
+            take = lambda j: F.when(j < 0, state(i + 1, F.concat(acc["out"], part(i, i), after(i)), acc["n"])).otherwise(state(j + 1, F.concat(acc["out"], card(part(i, j), key, restore), after(j)), acc["n"] + 1))
+            return F.when(i < acc["at"], acc).otherwise(let(F.coalesce(F.array_max(ends), F.lit(-1)), take))
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: F.struct(acc["out"].alias("new"), acc["n"].alias("n")))
+
+    return let(F.split(run, "(?<=[0-9])(?=[\\x20-])|(?<=[\\x20-])(?=[0-9])"), search)
+
+
+KINDS = {"email": email, "iban": iban, "ip": ip, "ssn": ssn, "date": date, "phone": phone}
 
 
 def pseudonym(m: Column, key: str = KEY, restore: bool = False) -> Column:
-    """struct<kind, new> of one match of any pattern."""
+    """struct<kind, new> of one match of any pattern but that of cards."""
     kind = F.lit(None).cast("string")
     new = m
     for name in reversed(KINDS):
@@ -225,13 +266,17 @@ def pseudonym(m: Column, key: str = KEY, restore: bool = False) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", restore: bool = False) -> DataFrame:
     """`docs` with personal data in `text` replaced, and pii: the kinds replaced, in order of place."""
-    any_of = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    any_of = "|".join(f"(?:{PATTERNS[name]})" for name in KINDS)
     safe = F.replace(F.col(text), F.lit(MARK), F.lit(MARK + ESCAPED))
-    cut = F.split(F.regexp_replace(safe, F.lit(any_of), F.lit(f"{MARK}{OPEN}$0{MARK}{OPEN}")), MARK + OPEN, -1)
-    none = F.lit(None).cast("string")
-    piece = lambda s, i: F.when(i % 2 == 1, let(pseudonym(s, key, restore), lambda p: F.struct(F.when(p["new"] != s, p["kind"]).alias("kind"), p["new"].alias("new")))).otherwise(F.struct(none.alias("kind"), s.alias("new")))
-    parts = F.when(F.col(text).rlike("[0-9]|@"), F.transform(cut, piece))
+    cut = lambda s, pattern: F.split(F.regexp_replace(s, F.lit(pattern), F.lit(f"{MARK}{OPEN}$0{MARK}{OPEN}")), MARK + OPEN, -1)
+    none = F.array().cast("array<string>")
+    part = lambda kinds, new: F.struct(kinds.alias("kinds"), new.alias("new"))
+    one = lambda s: let(pseudonym(s, key, restore), lambda p: part(F.when(p["new"] != s, F.array(p["kind"])).otherwise(none), p["new"]))
+    run = lambda s, i: F.when(i % 2 == 1, let(cards(s, key, restore), lambda c: part(F.array_repeat(F.lit("card"), c["n"]), c["new"]))).otherwise(part(none, s))
+    joined = lambda parts: part(F.flatten(F.transform(parts, lambda p: p["kinds"])), F.array_join(F.transform(parts, lambda p: p["new"]), ""))
+    rest = lambda s: F.when(s.rlike(RUN), let(F.transform(cut(s, RUN), run), joined)).otherwise(part(none, s))
+    parts = F.when(F.col(text).rlike("[0-9]|@"), F.transform(cut(safe, any_of), lambda s, i: F.when(i % 2 == 1, one(s)).otherwise(rest(s))))
     found = docs.withColumn("__parts", parts)
     whole = F.replace(F.array_join(F.transform("__parts", lambda p: p["new"]), ""), F.lit(MARK + ESCAPED), F.lit(MARK))
-    kinds = F.filter(F.transform("__parts", lambda p: p["kind"]), lambda k: k.isNotNull())
-    return found.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(text, F.coalesce(whole, F.col(text))).drop("__parts")
+    kinds = F.flatten(F.transform("__parts", lambda p: p["kinds"]))
+    return found.withColumn("pii", F.coalesce(kinds, none)).withColumn(text, F.coalesce(whole, F.col(text))).drop("__parts")

@@ -240,6 +240,20 @@ def test_pseudonyms_go_back_and_stay_linked(spark):
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
 
 
+def test_cards_and_accounts_beside_other_numbers(spark):
+    card, amex, es = "4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332"
+    rows = [f"{card} 12/25", f"{card} 123", f"2021 {card}", f"{card} {card}", f"{amex} {card}", f"{es} BIC", f"{es} EUR", f"{es} {es}", "иван@почта.рф", f"{card} 2020-02-29", "1 2 3 " * 2000]
+    kinds = [["card"]] * 3 + [["card"] * 2] * 2 + [["iban"]] * 2 + [["iban"] * 2, ["email"], ["card", "date"]]
+    got = pseudonyms.pseudonymize(spark.createDataFrame(enumerate(rows), "doc_id int, text string"), "k1").orderBy("doc_id").collect()
+    assert [r.pii for r in got[:10]] == kinds
+    for r in got[:10]:
+        assert not any(value in r.text for value in (card, amex, es, "иван", "почта"))
+    new = got[9].text[:19]
+    assert got[0].text == f"{new} 12/25" and got[1].text == f"{new} 123" and got[2].text == f"2021 {new}" and got[3].text == f"{new} {new}"
+    assert got[5].text[:-4] == got[6].text[:-4] and got[5].text.endswith(" BIC") and re.fullmatch(r"[а-я]{4}@[а-я]{5}\.рф", got[8].text)
+    assert len(got[10].text) == len(rows[10])
+
+
 # ---- secrets -------------------------------------------------------------------------------
 
 SECRETS = [
