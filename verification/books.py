@@ -350,9 +350,13 @@ def risk_sweep(spark, sf):
     books = t.withColumn("portfolio_id", F.explode(F.array(F.lit("half"), F.lit("full"), F.lit("double"))))
     books = books.withColumn("weight", F.expr("weight * CASE portfolio_id WHEN 'half' THEN 0.5D WHEN 'full' THEN 1D ELSE 2D END"))
     weights, _ = run_book(books, d.m.cal, risk_cfg(), risk=True)
-    return perf.gross_returns(weights.where("portfolio_id = 'full'").join(t.select("t", "ticker", "realized"), ["t", "ticker"], "left"), d.m.cal).join(
-        F.broadcast(pf.turnover(weights, d.m.cal, ["portfolio_id"]).groupBy("t").pivot("portfolio_id", ["half", "full", "double"]).agg(F.first("turnover"))), "t"
-    ).select("date", "gross_return", "half", "full", "double")
+    names = ["half", "full", "double"]
+    held = weights.join(t.select("t", "ticker", "realized"), ["t", "ticker"], "left")
+    out = pf.turnover(weights, d.m.cal, ["portfolio_id"]).groupBy("t").pivot("portfolio_id", names).agg(F.first("turnover"))
+    for name in names:
+        gross = perf.gross_returns(held.where(F.col("portfolio_id") == name), d.m.cal)
+        out = gross.select("date", "t", F.col("gross_return").alias(f"gross_{name}")).join(F.broadcast(out), ["t"] if "date" not in out.columns else ["date", "t"])
+    return out.select("date", *[f"gross_{name}" for name in names], *names)
 
 
 PLAN = f"""{TARGET.replace("tradable AND m.ticker IS NOT NULL AND coalesce(x.date >= listed, true) AND coalesce(x.date < delisted, true) AS tradable", "tradable")}, {BUCKETS},

@@ -255,7 +255,7 @@ def ridge_lambda_summary(spark, sf):
     ),
 )
 def ridge_suspicious_days(spark, sf):
-    return rounded(rg.suspicious_days(diag(spark, sf), 10).where("reason = 'largest_norm_f'"), 7)
+    return rounded(rg.suspicious_days(diag(spark, sf), 10), 7)
 
 
 FR = f"{b.X3}, {b.ridge3(LAM)}"
