@@ -1,10 +1,8 @@
-"""Exact quantiles and ranks per group that do not need a whole group in one task.
+"""Exact quantiles and ranks per group in which no task ever holds a whole group.
 
-A date's cross-section grows with the number of tickers, so every function here
-takes `max_rows`: a proven upper bound of rows per group, or None when there is
-none. Under `IN_TASK_ROWS` one aggregation buffer or one window partition is
-small and the direct built-in is used. Otherwise the group is split over tasks
-and the result is still exact.
+A date's cross-section grows with the number of tickers, and some groups are the
+whole table. There is one path for every size: quantiles select by histograms, ranks
+number range-partitioned slices.
 """
 
 from __future__ import annotations
@@ -16,12 +14,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-IN_TASK_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-
-
-def fits_in_task(max_rows: int | None) -> bool:
-    return max_rows is not None and max_rows <= IN_TASK_ROWS
+#: Most cells of a bucket whose values are listed without narrowing it first; the result is the same either way.
+LISTED_CELLS = 1_000_000
+#: Most rows of per-group targets, fixed in width, that go to every task; more of them meet the cells in a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -29,117 +25,85 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
     return df.join(F.broadcast(stats), keys, how)
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    cols: dict[str, Column],
-    probs: Iterable[float],
-    max_rows: int | None = None,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """Linear-interpolation quantiles of each column per group.
+def value_bucket(v: str) -> Column:
+    """A number per double, in its order: 1024 to an octave, with buckets of their own for zero, infinities and NaN (the last)."""
+    size = F.floor(F.log2(F.abs(F.col(v))) * 1024) + (1 << 21)
+    infinite = F.abs(F.col(v)) == F.lit(float("inf"))
+    return (
+        F.when(F.isnan(v), 1 << 31).when(infinite, F.signum(v).cast("long") * (1 << 30)).when(F.col(v) == 0, 0)
+        .when(F.col(v) > 0, size).when(F.col(v) < 0, -size).cast("long")
+    )
+
+
+def group_quantiles(df: DataFrame, keys: list[str], cols: dict[str, Column], probs: Iterable[float]) -> DataFrame:
+    """Linear-interpolation quantiles of each column per group, all rows for no keys.
 
     Returns keys, `<name>__n` (non-null count) and `<name>__q` (array, one entry
     per probability; null when the group has no value).
+
+    Selection by histograms, each a hash aggregation in the order of the values:
+    the first, by octave parts, finds the bucket of every rank asked for; where
+    such a bucket holds over `LISTED_CELLS`, one by 2**21 equal parts of the
+    buckets' ranges narrows them; the last, by value, gives the value at each
+    rank. A bucket spans less than 2**43 doubles and a part less than 2**23, so
+    no list outgrows a task however many rows there are.
     """
     probs = [float(p) for p in probs]
-    if fits_in_task(max_rows):
-        aggs = []
-        for name, c in cols.items():
-            aggs.append(F.count(c).alias(f"{name}__n"))
-            aggs.append(F.percentile(c, probs).alias(f"{name}__q"))
-        return df.groupBy(*keys).agg(*aggs)
-    return _bracketed_quantiles(df, keys, cols, probs, accuracy)
-
-
-def _bracketed_quantiles(df, keys, cols, probs, accuracy) -> DataFrame:
-    """Two passes: a mergeable sketch brackets each target rank, then only the
-    rows inside a bracket (a few parts in `accuracy`) are counted exactly."""
-    margin = 4.0 / accuracy
-    names = list(cols)
-    base = df.select(*keys, *[c.alias(f"__v{i}") for i, c in enumerate(cols.values())])
-    around = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch_aggs = []
-    for i in range(len(names)):
-        v = F.col(f"__v{i}")
-        sketch_aggs += [
-            F.count(v).alias(f"__n{i}"),
-            F.min(v).alias(f"__lo{i}"),
-            F.max(v).alias(f"__hi{i}"),
-            F.percentile_approx(v, around, accuracy).alias(f"__s{i}"),
-        ]
-    sketch = base.groupBy(*keys).agg(*sketch_aggs)
-    rows = join_stats(base, sketch, keys)
-
-    def bracket(i: int, j: int) -> tuple[Column, Column]:
-        whole = F.col(f"__n{i}") <= accuracy
-        low = F.when(whole | F.lit(probs[j] <= margin), F.col(f"__lo{i}")).otherwise(F.col(f"__s{i}")[2 * j])
-        high = F.when(whole | F.lit(probs[j] >= 1 - margin), F.col(f"__hi{i}")).otherwise(F.col(f"__s{i}")[2 * j + 1])
-        return low, high
-
-    below, marks = [], []
-    for i in range(len(names)):
-        v = F.col(f"__v{i}")
-        for j in range(len(probs)):
-            low, high = bracket(i, j)
-            below.append(F.count_if(v < low).alias(f"b{i}_{j}"))
-            marks.append(
-                F.when(v.between(low, high), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v")))
-            )
-    under = rows.groupBy(*keys).agg(*below)
-    under = under.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"b{i}_{j}").alias("below"))
-                    for i in range(len(names))
-                    for j in range(len(probs))
-                ]
-            )
-        ),
-    )
-    counts = sketch.select(
-        *keys,
-        F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__n{i}").alias("n")) for i in range(len(names))])),
-    )
-    cand = (
-        rows.select(*keys, F.inline(F.array_compact(F.array(*marks))))
-        .groupBy(*keys, "i", "j", "v")
-        .agg(F.count("*").alias("c"))
-    )
-    cum = Window.partitionBy(*keys, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    p_of = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1)
-    ranked = (
-        cand.withColumn("through", F.sum("c").over(cum))
-        .join(F.broadcast(under), [*keys, "i", "j"])
-        .join(F.broadcast(counts), [*keys, "i"])
-        .withColumn("h", (F.col("n") - 1) * p_of)
-        .withColumn("r0", F.floor("h"))
-        .withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
+    by = [*keys, "__i"]
+    cells = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), c.cast("double").alias("__v")) for i, c in enumerate(cols.values())])))
+    cells = cells.withColumn("__b", value_bucket("__v"))
+    ranks = F.flatten(F.array(*[F.array(F.floor((F.col("__n") - 1) * p), F.least(F.floor((F.col("__n") - 1) * p) + 1, F.col("__n") - 1)) for p in probs]))
+
+    # Cells without a value are in a bucket of none, so that every group appears.
+    first = cells.groupBy(*by, "__b").agg(F.count("__v").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    group = Window.partitionBy(*by)
+    first = first.withColumns({"__n": F.sum("__c").over(group), "__through": F.sum("__c").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))})
+    before = F.col("__through") - F.col("__c")
+    place = lambda r, j: F.struct(j.alias("__j"), *[F.col(c).alias(c) for c in ("__b", "__lo", "__hi", "__c")], (r - before).alias("__r"))
+    hit = F.filter(F.transform(ranks, place), lambda x: (x["__r"] >= 0) & (x["__r"] < x["__c"]))
+    asked = materialize(first.select(*by, "__n", hit.alias("hit")).groupBy(*by).agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("hit")).alias("hits")))
+    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.max(F.array_max(F.transform("hits", lambda x: x["__c"]))).alias("largest")).first()
+    near = F.broadcast if size.rows * 2 * len(probs) <= BROADCAST_ROWS else lambda t: t
+    wanted = asked.select(*by, F.inline("hits")).drop("__c")
+
+    def held(rows: DataFrame, places: list[str]) -> DataFrame:
+        return rows.join(near(wanted.select(*by, *places).distinct()), [*by, *(c for c in places if c in rows.columns)])
+
+    def narrowed(rows: DataFrame, places: list[str], order: str) -> DataFrame:
+        """The ranks asked for, within the entry of `order` that holds each."""
+        counted = rows.groupBy(*by, *places, order).agg(F.count(F.lit(1)).alias("__c"))
+        upto = Window.partitionBy(*by, *places).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("__before", F.sum("__c").over(upto) - F.col("__c"))
+        found = counted.join(near(wanted.select(*by, *places, "__j", "__r")), [*by, *places]).where("__r >= __before AND __r < __before + __c")
+        return found.select(*by, *places, order, "__j", (F.col("__r") - F.col("__before")).alias("__r"))
+
+    rows, places = held(cells, ["__b", "__lo", "__hi"]), ["__b"]
+    if (size.largest or 0) > LISTED_CELLS:
+        part = F.when(F.col("__lo") == F.col("__hi"), 0).otherwise(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (1 << 21)))
+        rows = rows.withColumn("__p", part.cast("int"))
+        wanted = materialize(narrowed(rows, places, "__p"))
+        places = ["__b", "__p"]
+        rows = held(rows, places)
+    wanted = narrowed(rows, places, "__v")
+
+    none = lambda t: F.lit(None).cast(t)
+    parts = asked.select(*by, "__n", none("int").alias("__j"), none("double").alias("__v")).unionByName(wanted.select(*by, none("long").alias("__n"), "__j", "__v"))
+    at = lambda i, j: F.max(F.when((F.col("__i") == i) & (F.col("__j") == j), F.col("__v"))).alias(f"q{i}_{j}")
+    flat = parts.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__n"))).alias(f"n{i}") for i in range(len(cols))],
+        *[at(i, j) for i in range(len(cols)) for j in range(2 * len(probs))],
     )
-    first, last = F.col("below") + F.col("through") - F.col("c"), F.col("below") + F.col("through")
-    at = lambda r: F.max(F.when((F.col(r) >= first) & (F.col(r) < last), F.col("v")))
-    solved = ranked.groupBy(*keys, "i", "j").agg(
-        at("r0").alias("v0"), at("r1").alias("v1"), F.first("h").alias("h"), F.first("r0").alias("r0")
-    )
-    value = F.when(
-        F.col("v0").isNull() | F.col("v1").isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))
-    ).otherwise(F.col("v0") + (F.col("h") - F.col("r0")) * (F.col("v1") - F.col("v0")))
-    per = solved.withColumn("q", value).groupBy(*keys).agg(
-        *[
-            F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("q"))).alias(f"q{i}_{j}")
-            for i in range(len(names))
-            for j in range(len(probs))
-        ]
-    )
-    out = sketch.select(*keys, *[f"__n{i}" for i in range(len(names))]).join(F.broadcast(per), keys, "left")
-    sel = []
-    for i, name in enumerate(names):
-        sel.append(F.col(f"__n{i}").alias(f"{name}__n"))
-        arr = F.array(*[F.col(f"q{i}_{j}") for j in range(len(probs))])
-        sel.append(F.when(F.col(f"__n{i}") > 0, arr).alias(f"{name}__q"))
-    return out.select(*keys, *sel)
+
+    def quantile(i: int, j: int) -> Column:
+        v0, v1, h = F.col(f"q{i}_{2 * j}"), F.col(f"q{i}_{2 * j + 1}"), (F.col(f"n{i}") - 1) * probs[j]
+        part = h - F.floor(h)
+        return F.when((part == 0) | (v0 == v1), v0).otherwise((1 - part) * v0 + part * v1)
+
+    out = list(keys)
+    for i, name in enumerate(cols):
+        n = F.coalesce(f"n{i}", F.lit(0))
+        out += [n.alias(f"{name}__n"), F.when(n > 0, F.array(*[quantile(i, j) for j in range(len(probs))])).alias(f"{name}__q")]
+    return flat.select(*out)
 
 
 def group_rank(
@@ -147,17 +111,14 @@ def group_rank(
     keys: list[str],
     order: list[Column],
     out: str = "rank",
-    max_rows: int | None = None,
 ) -> DataFrame:
     """row_number per group under a total order.
 
-    Large groups: rows are range-partitioned on (keys, order), so one group may
-    span many tasks; each task numbers its own slice and adds the size of the
-    slices before it. The sliced table is written first, so a retry sees the
-    same slices.
+    Rows are range-partitioned on (keys, order), so one group may span many
+    tasks; each task numbers its own slice and adds the size of the slices
+    before it. The sliced table is written first, so a retry sees the same
+    slices.
     """
-    if fits_in_task(max_rows):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = materialize(
         df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__slice", F.spark_partition_id()),

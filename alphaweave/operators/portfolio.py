@@ -18,7 +18,7 @@ from .keyed import attach_row
 
 def quantile_long_short(
     scores: DataFrame, quantile: float = 0.10, gross: float = 2.0, min_names: int = 5,
-    mask: str | None = "tradable", max_names: int | None = None, key: str = "date", score: str = "score",
+    mask: str | None = "tradable", key: str = "date", score: str = "score",
 ) -> DataFrame:
     """Adds `weight`: equal-weight top and bottom quantile legs of +/- gross/2, ties included.
 
@@ -31,7 +31,7 @@ def quantile_long_short(
         raise ValueError("gross must be positive")
     valid = is_finite(score) & (F.col(mask) if mask else F.lit(True))
     df = scores.withColumn("__x", F.when(valid, F.col(score)))
-    cuts = group_quantiles(df, [key], {"x": F.col("__x")}, [quantile, 1.0 - quantile], max_names)
+    cuts = group_quantiles(df, [key], {"x": F.col("__x")}, [quantile, 1.0 - quantile])
     is_long, is_short = F.col("__x") >= F.col("x__q")[1], F.col("__x") <= F.col("x__q")[0]
     sides = join_stats(df.select(key, "__x"), cuts, [key]).groupBy(key).agg(
         F.count_if(is_long).alias("n_long"), F.count_if(is_short).alias("n_short")
@@ -72,7 +72,7 @@ def eligibility(cfg: BacktestConfig, alpha: str = "alpha") -> dict[str, Column]:
 
 
 def rank_weights(
-    df: DataFrame, cfg: BacktestConfig, max_names: int | None = None, alpha: str = "alpha", key: str = "date",
+    df: DataFrame, cfg: BacktestConfig, alpha: str = "alpha", key: str = "date",
 ) -> tuple[DataFrame, DataFrame]:
     """Cost-aware quantile legs under position, gross and net limits.
 
@@ -84,7 +84,7 @@ def rank_weights(
     flagged = df.withColumns({f"__{k}": v for k, v in parts.items()})
     valid = F.col("__base") & F.col("__price") & F.col("__liquidity") & F.col("__cost")
     flagged = flagged.withColumn("__x", F.when(valid, F.col(alpha)))
-    cuts = group_quantiles(flagged, [key], {"x": F.col("__x")}, [cfg.short_quantile, cfg.long_quantile], max_names)
+    cuts = group_quantiles(flagged, [key], {"x": F.col("__x")}, [cfg.short_quantile, cfg.long_quantile])
     enough = F.col("x__n") >= 2 * cfg.min_names_per_side
     sided = join_stats(flagged, cuts, [key]).withColumns(
         {

@@ -20,13 +20,13 @@ from .universe import densify
 
 def winsorize(
     df: DataFrame, names: list[str], lower: float = 0.01, upper: float = 0.99, min_names: int = 30,
-    max_names: int | None = None, key: str = "date",
+    key: str = "date",
 ) -> DataFrame:
     """Clip each date's values to its quantiles; a thin date becomes null.
 
     Quantiles use finite values, but an infinity is then clipped to the bound.
     """
-    stats = group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper], max_names)
+    stats = group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper])
     clipped = [
         f"CASE WHEN {n}__n >= {min_names} AND {n} IS NOT NULL AND NOT isnan({n}) THEN least(greatest({n}, {n}__q[0]), {n}__q[1]) END AS {n}"
         for n in names
@@ -52,9 +52,9 @@ def zscore(df: DataFrame, names: list[str], min_names: int = 30, key: str = "dat
 
 def preprocess(
     df: DataFrame, names: list[str], min_names: int = 30, lower: float = 0.01, upper: float = 0.99,
-    max_names: int | None = None, key: str = "date",
+    key: str = "date",
 ) -> DataFrame:
-    return zscore(winsorize(df, names, lower, upper, min_names, max_names, key), names, min_names, key)
+    return zscore(winsorize(df, names, lower, upper, min_names, key), names, min_names, key)
 
 
 def coverage(df: DataFrame, names: list[str], cells: DataFrame | None = None) -> DataFrame:
@@ -173,14 +173,14 @@ DIAGNOSTIC_SCHEMA = (
 def build_exposures(
     raw: DataFrame, names: list[str], min_names: int = 30, min_factor_coverage: float = 0.02,
     fill_missing: bool = True, lower: float = 0.01, upper: float = 0.99, max_factor_corr: float = 0.999,
-    corr_min_overlap: int = 100, max_names: int | None = None, cells: DataFrame | None = None,
+    corr_min_overlap: int = 100, cells: DataFrame | None = None,
 ) -> Preprocessed:
     """Clean all factors, drop sparse and duplicate ones, fill the rest with the neutral 0.
 
     Which factors survive decides the columns of everything downstream, so two
     small results come to the driver: K coverage rows and K x K correlations.
     """
-    z = preprocess(raw, names, min_names, lower, upper, max_names)
+    z = preprocess(raw, names, min_names, lower, upper)
     before = {r["factor"]: r for r in coverage(raw, names, cells).collect()}
     after = {r["factor"]: r for r in coverage(z, names, cells).collect()}
     ratio = lambda r: r["finite_cells"] / r["cells"] if r["cells"] else 0.0

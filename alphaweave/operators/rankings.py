@@ -15,21 +15,21 @@ from .keyed import attach_row
 DECILES = [i / 10 for i in range(11)]
 
 
-def with_buckets(df: DataFrame, value: str = "alpha", small_bucket: int | None = None, max_names: int | None = None, key: str = "date", out: str = "quantile_bucket") -> DataFrame:
+def with_buckets(df: DataFrame, value: str = "alpha", small_bucket: int | None = None, key: str = "date", out: str = "quantile_bucket") -> DataFrame:
     """Decile bucket per date with duplicate edges removed.
 
     Dates with fewer than ten values get `small_bucket`.
     """
-    edges = group_quantiles(df, [key], {"x": finite_or_null(value)}, DECILES, max_names)
+    edges = group_quantiles(df, [key], {"x": finite_or_null(value)}, DECILES)
     joined = join_stats(df, edges, [key])
     small = F.when(is_finite(value), F.lit(small_bucket).cast("int"))
     bucket = F.when(F.col("x__n") >= 10, quantile_bucket(value, "x__q")).otherwise(small)
     return joined.select(*df.columns, bucket.alias(out))
 
 
-def with_rank(df: DataFrame, value: str = "alpha", max_names: int | None = None, key: str = "date", out: str = "alpha_rank") -> DataFrame:
+def with_rank(df: DataFrame, value: str = "alpha", key: str = "date", out: str = "alpha_rank") -> DataFrame:
     """Rank of the finite values, largest first, ties by ticker; other rows have none."""
-    finite = group_rank(df.where(is_finite(value)), [key], [F.desc(value), F.asc("ticker")], out, max_names)
+    finite = group_rank(df.where(is_finite(value)), [key], [F.desc(value), F.asc("ticker")], out)
     rest = df.where(~is_finite(value)).withColumn(out, F.lit(None).cast("int"))
     return finite.unionByName(rest)
 
@@ -44,14 +44,14 @@ def top_contributors(names: list[str], positive: bool, n: int = 3, prefix: str =
 
 
 def alpha_rankings(
-    scored: DataFrame, names: list[str], cfg: BacktestConfig, max_names: int | None = None, company: DataFrame | None = None,
+    scored: DataFrame, names: list[str], cfg: BacktestConfig, company: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (signal date, ticker) with position change, cost, rank, bucket, contributors and reason.
 
     `scored` carries alpha, weight, previous_weight, price, dollar_volume, the
     exposures, `c_<factor>` contributions and `fp_<factor>` forecasts.
     """
-    df = with_rank(with_buckets(scored, "alpha", None, max_names), "alpha", max_names)
+    df = with_rank(with_buckets(scored, "alpha", None), "alpha")
     cost = cfg.transaction_cost_bps + cfg.slippage_bps
     df = df.selectExpr(
         "*", "weight - previous_weight AS delta",
@@ -117,12 +117,12 @@ def current_positions(rankings: DataFrame) -> DataFrame:
     return rankings.select("signal_date", "ticker", F.col("current_weight").alias("weight"))
 
 
-def quantile_summary(scored: DataFrame, info: DataFrame | None = None, max_names: int | None = None) -> DataFrame:
+def quantile_summary(scored: DataFrame, info: DataFrame | None = None) -> DataFrame:
     """Per date and decile bucket of alpha: counts and averages, with the day's filter numbers.
 
     `scored` carries alpha, weight, realized and dollar_volume.
     """
-    df = with_buckets(scored, "alpha", 1, max_names, out="bucket").where("bucket IS NOT NULL")
+    df = with_buckets(scored, "alpha", 1, out="bucket").where("bucket IS NOT NULL")
     out = df.groupBy("date", "bucket").agg(
         F.min("alpha").alias("alpha_min"), F.max("alpha").alias("alpha_max"), F.count("*").alias("number_of_stocks"),
         F.avg("alpha").alias("average_alpha"), F.avg(finite_or_null("realized")).alias("average_realized_next_day_return"),

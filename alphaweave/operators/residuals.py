@@ -80,16 +80,10 @@ def ticker_coverage(resid: DataFrame, cal: DataFrame, threshold: float = 0.5) ->
     )
 
 
-def residual_summary(resid: DataFrame, cal: DataFrame, n_factors: int, threshold: float = 0.5, max_rows: int | None = None) -> DataFrame:
-    """One-row summary over the full date x ticker grid.
-
-    Quantiles run over all squared residuals, so they are split over tasks
-    unless the row count is known to be small.
-    """
-    base = resid.select(
-        F.lit(0).alias("__g"), "date", "ticker", "residual", (F.col("residual") * F.col("residual")).alias("sq")
-    )
-    q = group_quantiles(base, ["__g"], {"sq": F.col("sq")}, [0.5, 0.95, 0.99, 0.995], max_rows)
+def residual_summary(resid: DataFrame, cal: DataFrame, n_factors: int, threshold: float = 0.5) -> DataFrame:
+    """One-row summary over the full date x ticker grid."""
+    base = resid.select("date", "ticker", "residual", (F.col("residual") * F.col("residual")).alias("sq"))
+    q = group_quantiles(base, [], {"sq": F.col("sq")}, [0.5, 0.95, 0.99, 0.995])
     whole = base.agg(
         F.count("residual").alias("__n"), F.countDistinct("ticker").alias("N"), F.avg("sq").alias("mean_squared_residual"),
         F.max("sq").alias("max_squared_residual"),
@@ -102,14 +96,14 @@ def residual_summary(resid: DataFrame, cal: DataFrame, n_factors: int, threshold
         F.median(F.coalesce("valid_count", F.lit(0))).alias("median_daily_valid_count"),
         F.max(F.coalesce("valid_count", F.lit(0))).alias("max_daily_valid_count"),
     )
-    cov = ticker_coverage(resid, cal, threshold).withColumn("__g", F.lit(0))
+    cov = ticker_coverage(resid, cal, threshold)
     tick = cov.agg(
         F.max_by("ticker", "mean_squared_residual").alias("top_ticker_by_mean_squared_residual"),
         F.count_if("below_coverage_threshold").alias("low_coverage_ticker_count"),
     )
-    med = group_quantiles(cov, ["__g"], {"c": F.col("finite_residual_fraction")}, [0.5], max_rows)
+    med = group_quantiles(cov, [], {"c": F.col("finite_residual_fraction")}, [0.5])
     out = whole
-    for part in (day, tick, q.drop("__g"), med.drop("__g")):
+    for part in (day, tick, q, med):
         out = attach_row(out, part)
     return out.select(
         "T", "N", F.lit(n_factors).alias("K"),

@@ -29,11 +29,11 @@ class BacktestTables:
     def __init__(
         self, cfg: BacktestConfig, days: DataFrame, names: list[str], panel: DataFrame, info: DataFrame, table: DataFrame,
         book: DataFrame, daily: DataFrame, exposures: DataFrame, factor_returns: DataFrame, pred: DataFrame,
-        max_names: int | None, warnings: list[str],
+        warnings: list[str],
     ):
         self.cfg, self.days, self.names, self.daily, self.book, self.warnings = cfg, days, names, daily, book, warnings
         self._panel, self._info, self._table = panel, info, table
-        self._x, self._f, self._pred, self._max_names = exposures, factor_returns, pred, max_names
+        self._x, self._f, self._pred = exposures, factor_returns, pred
 
     @cached_property
     def _positions(self) -> DataFrame:
@@ -50,7 +50,7 @@ class BacktestTables:
 
     @cached_property
     def alpha_rankings(self) -> DataFrame:
-        return materialize(rk.alpha_rankings(self._positions, self.names, self.cfg, self._max_names))
+        return materialize(rk.alpha_rankings(self._positions, self.names, self.cfg))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -78,7 +78,7 @@ class BacktestTables:
     @cached_property
     def quantile_summary(self) -> DataFrame:
         realized = self._positions.join(self._table.select("t", "ticker", "realized"), ["t", "ticker"], "left")
-        return rk.quantile_summary(realized, self._info, self._max_names)
+        return rk.quantile_summary(realized, self._info)
 
     @cached_property
     def _residual_scores(self) -> DataFrame:
@@ -142,7 +142,7 @@ def capped_targets(
 def run_backtest(
     exposures: DataFrame, factor_returns: DataFrame, names: list[str], cal: DataFrame, bars: DataFrame,
     cfg: BacktestConfig, meta: DataFrame | None = None, adjusted_bars: DataFrame | None = None,
-    max_names: int | None = None, check: bool = True,
+    check: bool = True,
 ) -> BacktestTables:
     """Signal at the close of t, trade at the open of t+1.
 
@@ -165,7 +165,7 @@ def run_backtest(
     days = shift
 
     panel = materialize(scored_panel(x, pred, names, px, meta, cfg))
-    weighted, info = pf.rank_weights(panel, cfg, max_names)
+    weighted, info = pf.rank_weights(panel, cfg)
     targets = materialize(capped_targets(materialize(weighted), days, cfg))
     side_counts = targets.groupBy("t").agg(
         F.count_if(F.col("weight") > 0).alias("final_number_long"), F.count_if(F.col("weight") < 0).alias("final_number_short")
@@ -204,7 +204,7 @@ def run_backtest(
     )
 
     return BacktestTables(
-        cfg, days, names, panel, info, table, book, daily, x, f, pred, max_names,
+        cfg, days, names, panel, info, table, book, daily, x, f, pred,
         point_in_time_warnings(meta) if cfg.use_point_in_time_universe else [],
     )
 
@@ -274,7 +274,7 @@ class DayPlan:
 
 def after_close_plan(
     exposures: DataFrame, factor_returns: DataFrame, names: list[str], cal: DataFrame, bars: DataFrame,
-    cfg: BacktestConfig, signal_date: str, company: DataFrame | None = None, max_names: int | None = None,
+    cfg: BacktestConfig, signal_date: str, company: DataFrame | None = None,
 ) -> DayPlan:
     """Order plan of one signal date; the current book is yesterday's recomputed target.
 
@@ -286,7 +286,7 @@ def after_close_plan(
     )
     two = F.col("t").isin(t - 1, t)
     panel = materialize(scored_panel(exposures.where(two), pred.where(two), names, bars.where(two), None, cfg))
-    weighted, info = pf.rank_weights(panel, cfg, max_names)
+    weighted, info = pf.rank_weights(panel, cfg)
     weighted = materialize(weighted)
     now = weighted.where(F.col("t") == t).select("ticker", F.col("weight").alias("__w"))
     before = weighted.where(F.col("t") == t - 1).select("ticker", F.col("weight").alias("__p"))
@@ -305,13 +305,13 @@ def after_close_plan(
     )
     full = pf.apply_price_floor(full, cfg.min_price)
     full = materialize(full.withColumns({f"c_{n}": F.coalesce(f"c_{n}", F.lit(0.0)) for n in names}))
-    rankings = materialize(rk.alpha_rankings(full, names, cfg, max_names, company))
+    rankings = materialize(rk.alpha_rankings(full, names, cfg, company))
     resid = rs.recent_residuals(exposures, factor_returns, names, t)
     orders = rankings.where("side <> ''")
     realized = full.withColumn("realized", F.lit(None).cast("double"))
     return DayPlan(
         rankings, rk.target_positions(rankings), rk.current_positions(rankings),
-        factor_report(factor_returns, pred, t), rk.quantile_summary(realized, info, max_names), orders,
+        factor_report(factor_returns, pred, t), rk.quantile_summary(realized, info), orders,
         resid.select("date", "ticker", "residual", "residual_zscore"),
         rs.outliers(resid, cfg.residual_outlier_z_threshold),
     )

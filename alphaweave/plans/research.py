@@ -35,7 +35,7 @@ class FactorBuild:
 def build_factors(
     bars: DataFrame, flat_filings: DataFrame | None = None, price_names: list[str] | None = None, horizon: int = 1,
     max_abs_forward_return: float | None = 1.0, min_names: int = 30, ridge: float | str = 1e-4,
-    grid: list[float] | None = None, max_names: int | None = None, dense: bool = False, **exposure_options,
+    grid: list[float] | None = None, dense: bool = False, **exposure_options,
 ) -> FactorBuild:
     """Bars (and flat or trailing filings) to exposures and factor returns.
 
@@ -56,7 +56,7 @@ def build_factors(
         names += fund.RATIOS
     raw = materialize(apply_mask(raw, names))
     cells = grid_cells(cal, raw)
-    built: Preprocessed = build_exposures(raw, names, min_names, max_names=max_names, cells=cells, **exposure_options)
+    built: Preprocessed = build_exposures(raw, names, min_names, cells=cells, **exposure_options)
     exposures = materialize(dense_exposures(built.table, built.names, cal) if dense else built.table)
     fr = materialize(estimate_factor_returns(exposures, built.names, min_names, ridge, grid=grid))
     long = factor_returns_long(fr, built.names, cal)
@@ -75,14 +75,13 @@ def run_factor_backtest(
     exposures: DataFrame, factor_returns: DataFrame, names: list[str], cal: DataFrame, method: str = "latest",
     lookback: int = 20, half_life: float = 20.0, min_periods: int = 5, quantile: float = 0.10, gross: float = 2.0,
     min_names_per_side: int = 5, min_return_coverage: float = 0.80, max_abs_return: float | None = 1.0,
-    max_names: int | None = None,
 ) -> ResearchBacktest:
     """Forecast, score, quantile weights, returns, turnover, summary."""
     pred = materialize(predict_factor_returns(factor_returns, method, lookback, half_life, min_periods))
     scored = score(exposures, pred, names).select("ticker", "date", "t", "tradable", "fwd_ret", "score")
     scored = materialize(scored)
     weights = materialize(
-        pf.quantile_long_short(scored, quantile, gross, min_names_per_side, max_names=max_names)
+        pf.quantile_long_short(scored, quantile, gross, min_names_per_side)
     )
     daily = (
         perf.portfolio_returns(weights, cal, min_return_coverage, max_abs_return)
@@ -104,7 +103,6 @@ def stored_or_computed_weights(
     stored: dict[str, DataFrame | None], exposures: DataFrame | None, factor_returns: DataFrame | None,
     names: list[str], cal: DataFrame, date_index: int = -1, quantile: float = 0.10, gross: float = 2.0,
     method: str = "ewma", lookback: int = 20, half_life: float = 20.0, min_periods: int = 5,
-    max_names: int | None = None,
 ) -> DataFrame:
     """(ticker, weight) of one date: stored weights, else positions, else scores, else recomputed."""
     n = cal.count()
@@ -119,4 +117,4 @@ def stored_or_computed_weights(
         raise FileNotFoundError("no stored weights, positions or scores and nothing to compute them from")
     pred = predict_factor_returns(factor_returns, method, lookback, half_life, min_periods)
     day = score(exposures.where(F.col("t") == t), pred.where(F.col("t") == t), names)
-    return pf.quantile_long_short(materialize(day), quantile, gross, max_names=max_names).select("ticker", "weight")
+    return pf.quantile_long_short(materialize(day), quantile, gross).select("ticker", "weight")

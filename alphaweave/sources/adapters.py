@@ -42,11 +42,6 @@ def bars_brand_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(lines, F.col("brand"), F.trunc(F.to_date("l_shipdate"), "week"))
 
 
-def supplier_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Upper bound of tickers per date, from parquet footers."""
-    return table(spark, sf_dir, "supplier").count()
-
-
 def supplier_meta(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     """Ticker metadata with listing periods by arithmetic on the key; with `gaps` some tickers have none at all."""
     s = table(spark, sf_dir, "supplier")

@@ -83,7 +83,7 @@ def recent_history(bars: DataFrame, lookback: int, asof: str | None = None, tick
 
 
 def latest_exposures(
-    history: DataFrame, cfg: LiveConfig, names: list[str] | None = None, max_names: int | None = None
+    history: DataFrame, cfg: LiveConfig, names: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Exposures at the newest bar time; no tradable mask.
 
@@ -102,7 +102,7 @@ def latest_exposures(
     panel = with_adj_close(bars).join(F.broadcast(cal), "date")
     panel = panel.join(now, ["ticker", "t", "date"], "full_outer")
     raw = price_factors(panel, names, []).where(F.col("t") == last["t"])
-    z = materialize(preprocess(materialize(raw), names, cfg.min_factor_names, max_names=max_names))
+    z = materialize(preprocess(materialize(raw), names, cfg.min_factor_names))
     counts = z.agg(*[F.count_if(is_finite(n)).alias(n) for n in names]).first()
     used = [n for n in names if counts[n] > 0]
     if not used:

@@ -149,7 +149,7 @@ def test_history_has_no_look_ahead(spark):
 
 def test_live_exposures_drop_poor_coverage(spark):
     cfg = LiveConfig(min_factor_names=2, min_exposure_coverage=0.9)
-    x, names = live.latest_exposures(intraday(spark), cfg, max_names=3)
+    x, names = live.latest_exposures(intraday(spark), cfg)
     assert {r["ticker"] for r in x.collect()} == {"A", "B"} and "volume_z_20" in names
     assert x.count() == x.dropna().count()
 

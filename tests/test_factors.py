@@ -110,7 +110,7 @@ def test_mask_before_zscore(spark):
     df = spark.createDataFrame(
         [(d, "A", 1.0, True), (d, "B", 2.0, True), (d, "DEAD", 100.0, False)], "date date, ticker string, f double, tradable boolean"
     )
-    z = pp.preprocess(uni.apply_mask(df, ["f"]), ["f"], 2, 0.0, 1.0, max_names=3).orderBy("ticker").collect()
+    z = pp.preprocess(uni.apply_mask(df, ["f"]), ["f"], 2, 0.0, 1.0).orderBy("ticker").collect()
     assert [round(z[0]["f"], 9), round(z[1]["f"], 9), z[2]["f"]] == [-1.0, 1.0, None]
 
 
@@ -118,14 +118,14 @@ def test_infinity_is_clipped_null_is_not(spark):
     d = business_days("2024-01-02", 1)[0]
     vals = [1.0, 2.0, 3.0, 4.0, INF, None]
     df = spark.createDataFrame([(d, str(i), v) for i, v in enumerate(vals)], "date date, ticker string, f double")
-    got = {r["ticker"]: r["f"] for r in pp.winsorize(df, ["f"], 0.0, 1.0, 2, max_names=9).collect()}
+    got = {r["ticker"]: r["f"] for r in pp.winsorize(df, ["f"], 0.0, 1.0, 2).collect()}
     assert got["4"] == 4.0 and got["5"] is None
 
 
 def test_thin_date_is_null(spark):
     d = business_days("2024-01-02", 1)[0]
     df = spark.createDataFrame([(d, "A", 1.0), (d, "B", 2.0)], "date date, ticker string, f double")
-    assert {r["f"] for r in pp.preprocess(df, ["f"], 3, max_names=9).collect()} == {None}
+    assert {r["f"] for r in pp.preprocess(df, ["f"], 3).collect()} == {None}
 
 
 def test_coverage_drop_and_duplicate_drop(spark):
@@ -136,7 +136,7 @@ def test_coverage_drop_and_duplicate_drop(spark):
             b = float(rng.normal())
             rows.append((d, t, f"T{i}", b, -b, float(rng.normal()), None))
     raw = spark.createDataFrame(rows, "date date, t int, ticker string, mom_1 double, rev_1_like double, size double, empty double")
-    built = pp.build_exposures(raw, ["mom_1", "rev_1_like", "size", "empty"], 5, corr_min_overlap=50, max_names=15)
+    built = pp.build_exposures(raw, ["mom_1", "rev_1_like", "size", "empty"], 5, corr_min_overlap=50)
     assert built.names == ["mom_1", "size"]
     diag = {r["factor"]: r for r in built.diagnostics.collect()}
     assert diag["rev_1_like"]["drop_reason"] == "high_corr" and diag["rev_1_like"]["corr_with"] == "mom_1"

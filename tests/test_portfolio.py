@@ -70,10 +70,10 @@ def test_split_quantiles_give_the_same_weights(spark):
 
 def test_quantile_legs_gross_and_net(spark):
     s = spark.createDataFrame([(DAYS[0], f"T{i}", float(i), True) for i in range(20)], "date date, ticker string, score double, tradable boolean")
-    w = weights_of(pf.quantile_long_short(s, 0.1, 2.0, 2, max_names=20))
+    w = weights_of(pf.quantile_long_short(s, 0.1, 2.0, 2))
     assert abs(sum(w.values())) < 1e-12 and abs(sum(map(abs, w.values())) - 2.0) < 1e-12
     assert {t for t, x in w.items() if x > 0} == {"T18", "T19"}
-    assert set(weights_of(pf.quantile_long_short(s, 0.1, 2.0, 5, max_names=20)).values()) == {0.0}
+    assert set(weights_of(pf.quantile_long_short(s, 0.1, 2.0, 5)).values()) == {0.0}
     for bad in ({"quantile": 0.5}, {"gross": 0.0}):
         with pytest.raises(ValueError):
             pf.quantile_long_short(s, **bad)
@@ -185,7 +185,7 @@ def processed(spark):
 def run(spark, **kw):
     x, f = processed(spark)
     cfg = replace(CFG, min_periods=1, long_quantile=0.8, short_quantile=0.2, use_point_in_time_universe=False, **kw)
-    return run_backtest(x, f, NAMES, cal_of(spark), bars(spark), cfg, max_names=10)
+    return run_backtest(x, f, NAMES, cal_of(spark), bars(spark), cfg)
 
 
 def test_backtest_signals_trade_the_next_day_and_contributions_add_up(spark, tmp_path):
@@ -224,7 +224,7 @@ def test_date_slice_keeps_full_history_forecasts(spark):
 def test_after_close_plan_refuses_a_stale_date(spark):
     x, f = processed(spark)
     cfg = replace(CFG, min_periods=1, long_quantile=0.8, short_quantile=0.2)
-    plan = after_close_plan(x, f, NAMES, cal_of(spark), bars(spark), cfg, str(DAYS[5]), max_names=10)
+    plan = after_close_plan(x, f, NAMES, cal_of(spark), bars(spark), cfg, str(DAYS[5]))
     t = {r["ticker"]: r["target_weight"] for r in plan.target_positions.collect()}
     assert t["T09"] > 0 > t["T00"]
     assert plan.orders.count() == 0  # yesterday's recomputed book is the same

@@ -5,12 +5,16 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pytest
 import pandas as pd
 from conftest import business_days
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from alphaweave.config import BacktestConfig
 from alphaweave.functions import group_quantiles, group_rank
+from alphaweave.functions import stats
+from alphaweave.functions.stats import value_bucket
 from alphaweave.operators import ridge as rg
 from alphaweave.operators.book import run_book
 from alphaweave.operators.dynamic import kalman_from_stocks
@@ -26,25 +30,50 @@ def skewed(spark, n=4000):
     )
 
 
-def test_bracketed_quantiles_equal_exact(spark):
-    df = skewed(spark)
+@pytest.mark.parametrize("listed", [0, 1_000_000])
+def test_quantiles_equal_percentile(spark, monkeypatch, listed):
+    monkeypatch.setattr(stats, "LISTED_CELLS", listed)
     probs = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
-    cols = {"v": F.col("v")}
-    exact = {r["g"]: r for r in group_quantiles(df, ["g"], cols, probs, 10_000).collect()}
-    # A low accuracy forces real brackets instead of taking the whole group.
-    for accuracy in (100, 10_000):
-        split = {r["g"]: r for r in group_quantiles(df, ["g"], cols, probs, None, accuracy).collect()}
-        assert split.keys() == exact.keys()
-        for g, r in exact.items():
-            assert split[g]["v__n"] == r["v__n"]
-            np.testing.assert_allclose(split[g]["v__q"], r["v__q"], rtol=0, atol=1e-12)
+    df = skewed(spark).withColumn("w", F.expr("CASE WHEN id % 3 = 1 THEN -exp(id % 700 - 350) ELSE id * 1e-320D END"))
+    for keys in (["g"], []):
+        exact = df.groupBy(*keys).agg(F.percentile("v", probs).alias("v"), F.percentile("w", probs).alias("w"), F.count("v").alias("n"))
+        exact = {r["g"] if keys else None: r for r in exact.collect()}
+        got = group_quantiles(df, keys, {"v": F.col("v"), "w": F.col("w")}, probs).collect()
+        assert len(got) == len(exact)
+        for r in got:
+            want = exact[r["g"] if keys else None]
+            assert r["v__n"] == want["n"] and r["w__q"] == want["w"]
+            np.testing.assert_allclose(r["v__q"], want["v"], rtol=1e-15)
+
+
+def test_quantiles_of_infinities_single_values_and_none(spark):
+    inf = float("inf")
+    rows = [("a", x) for x in (1.0, 2.0, 3.0, inf)] + [("b", x) for x in (-inf, 5.0)] + [("c", 4.0), ("d", None), ("z", -0.0), ("z", 0.0), ("n", float("nan")), ("n", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["v__n"], r["v__q"]) for r in group_quantiles(df, ["g"], {"v": F.col("v")}, [0.0, 0.5, 1.0]).collect()}
+    assert got["a"] == (4, [1.0, 2.5, inf]) and got["b"] == (2, [-inf, -inf, 5.0])
+    assert got["c"] == (1, [4.0] * 3) and got["d"] == (0, None) and got["z"] == (2, [0.0] * 3)
+    assert got["n"][1][0] == 1.0 and np.isnan(got["n"][1][2])
+    assert [tuple(r) for r in group_quantiles(df.where("g = 'd'"), [], {"v": F.col("v")}, [0.5]).collect()] == [(0, None)]
+    assert group_quantiles(df.limit(0), ["g"], {"v": F.col("v")}, [0.5]).collect() == []
+
+
+def test_buckets_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.integers(0, 1 << 64, 5_000, dtype=np.uint64).view(float), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1074, 1024), 0), 5e-324, 1.7e308, 0.0]
+    x = np.r_[x[np.isfinite(x)], np.inf]
+    x = np.unique(np.r_[x, -x])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").select("v", value_bucket("v").alias("b"))
+    got = sorted((r["v"], r["b"]) for r in df.collect())
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and len({b for _, b in got}) > 5_000
 
 
 def test_sliced_rank_equals_window(spark):
     df = skewed(spark).where("v IS NOT NULL")
     order = [F.desc("v"), F.asc("id")]
-    a = {(r["g"], r["id"]): r["rank"] for r in group_rank(df, ["g"], order, "rank", 10_000).collect()}
-    b = {(r["g"], r["id"]): r["rank"] for r in group_rank(df, ["g"], order, "rank", None).collect()}
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    a = {(r["g"], r["id"]): r["rank"] for r in plain.collect()}
+    b = {(r["g"], r["id"]): r["rank"] for r in group_rank(df, ["g"], order, "rank").collect()}
     assert a == b
 
 

@@ -44,7 +44,7 @@ class Desk:
         self.bars = self.m.bars
         self.meta = adapters.supplier_meta(spark, sf, gaps=True)
         self.panel = materialize(scored_panel(self.x, self.pred, FACTORS, self.bars, self.meta, cfg))
-        weighted, self.info = pf.rank_weights(self.panel, cfg, self.m.bound)
+        weighted, self.info = pf.rank_weights(self.panel, cfg)
         self.weighted = materialize(pf.apply_price_floor(weighted, cfg.min_price))
 
     def executed(self):
@@ -116,7 +116,7 @@ def capped_position_counts(spark, sf):
     from dataclasses import replace
 
     d = Desk(spark, sf)
-    w, _ = pf.rank_weights(d.panel, replace(CFG, max_positions_long=4, max_positions_short=3), d.m.bound)
+    w, _ = pf.rank_weights(d.panel, replace(CFG, max_positions_long=4, max_positions_short=3))
     return w.groupBy("date").agg(F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short"))
 
 
@@ -193,7 +193,7 @@ WHERE alpha IS NOT NULL GROUP BY date, bucket""",
 def quantile_summary(spark, sf):
     d = Desk(spark, sf)
     j = d.panel.drop("weight").join(d.executed().select("ticker", "t", "weight", "realized"), ["ticker", "t"], "left")
-    q = rk.quantile_summary(materialize(j), d.info, d.m.bound)
+    q = rk.quantile_summary(materialize(j), d.info)
     return rounded(
         q.select(
             "signal_date", "bucket", "alpha_min", "alpha_max", "number_of_stocks", "average_alpha",
@@ -221,7 +221,7 @@ def ranked_table(spark, sf):
     full = d.panel.join(prev, ["t", "ticker"], "left").withColumns(
         {"weight": F.coalesce("__w", F.lit(0.0)), "previous_weight": F.coalesce("previous_weight", F.lit(0.0))}
     ).drop("__w")
-    return d, t, rk.alpha_rankings(materialize(full), FACTORS, CFG, d.m.bound)
+    return d, t, rk.alpha_rankings(materialize(full), FACTORS, CFG)
 
 
 @query(
@@ -319,7 +319,7 @@ def full_backtest_daily(spark, sf):
     """The whole close-to-next-open backtest without feedback rules."""
     m = Model(spark, sf)
     x = m.exposures()
-    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, adapters.supplier_meta(spark, sf, gaps=True), max_names=m.bound)
+    res = run_backtest(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, adapters.supplier_meta(spark, sf, gaps=True))
     return rounded(res.daily.select("signal_date", "portfolio_return", "turnover", "transaction_cost", "cumulative_return"))
 
 
@@ -380,7 +380,7 @@ def after_close_targets(spark, sf):
     m = Model(spark, sf)
     x = m.exposures()
     last = str(m.cal.agg(F.max("date")).first()[0])
-    plan = after_close_plan(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, last, max_names=m.bound)
+    plan = after_close_plan(x, m.factor_returns(x), FACTORS, m.cal, m.bars, CFG, last)
     t = plan.target_positions.select(
         "signal_date", "ticker", "target_weight", "current_weight", "order_weight_delta", "alpha_score",
         "net_alpha_after_cost_bps", "passes_cost_threshold", "alpha_rank", "quantile_bucket", "price_flag",
@@ -476,7 +476,7 @@ SELECT (SELECT count(*) FROM cal) AS "T", (SELECT count(*) FROM cov) AS "N", {b.
 )
 def residual_summary(spark, sf):
     m, r = resid(spark, sf)
-    s = rs.residual_summary(r, m.cal, 3, 0.9, r.count())
+    s = rs.residual_summary(r, m.cal, 3, 0.9)
     return rounded(
         s.select(
             "T", "N", "finite_fraction_of_residual", "mean_squared_residual", "median_squared_residual", "p95_squared_residual",

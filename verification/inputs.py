@@ -74,12 +74,11 @@ class Model:
     """The small factor model most queries share: three factors on the wide panel."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.bound = adapters.supplier_bound(spark, sf)
         self.raw, self.cal, self.bars = month_tables(spark, sf, FACTORS)
         self.names = FACTORS
 
     def z(self) -> DataFrame:
-        return preprocess(self.raw, FACTORS, MIN_NAMES, max_names=self.bound)
+        return preprocess(self.raw, FACTORS, MIN_NAMES)
 
     def exposures(self) -> DataFrame:
         """Neutral-filled exposures, written once."""

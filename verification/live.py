@@ -342,7 +342,7 @@ def latest_exposures(spark, sf):
     """Exposures at the newest bar time over daily bars of ticks, coverage-filtered, no tradable mask."""
     bars = materialize(live.tumbling_bars(adapters.event_bars(spark, sf), 1440))
     cfg = LiveConfig(min_factor_names=5, min_exposure_coverage=0.6)
-    x, used = live.latest_exposures(bars, cfg, LIVE_F, max_names=adapters.table(spark, sf, "events").count())
+    x, used = live.latest_exposures(bars, cfg, LIVE_F)
     return rounded(x.select("ticker", *used), 7)
 
 

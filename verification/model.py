@@ -31,12 +31,10 @@ SELECT n_periods, {b.rnd(b.SUMMARY_COLUMNS)} FROM summary""",
 )
 def momentum_long_short_summary(spark, sf):
     """Momentum score, quantile legs, returns, turnover and summary: the flagship."""
-    from alphaweave.sources.adapters import supplier_bound
 
-    bound = supplier_bound(spark, sf)
     raw, cal = month_factors(spark, sf, ["mom_1"])
-    z = materialize(pp.preprocess(raw, ["mom_1"], 5, max_names=bound).withColumn("score", F.col("mom_1")))
-    weights = materialize(pf.quantile_long_short(z, 0.2, 0.02, 2, max_names=bound))
+    z = materialize(pp.preprocess(raw, ["mom_1"], 5).withColumn("score", F.col("mom_1")))
+    weights = materialize(pf.quantile_long_short(z, 0.2, 0.02, 2))
     daily = (
         perf.portfolio_returns(weights, cal, max_abs_return=10.0)
         .join(F.broadcast(perf.exposures_by_day(weights, cal).select("t", "gross_exposure")), "t")
@@ -48,7 +46,7 @@ def momentum_long_short_summary(spark, sf):
 @query("winsorized_factors", f"WITH {b.Z3} SELECT ticker, date, {RF} FROM clipped")
 def winsorized_factors(spark, sf):
     m = Model(spark, sf)
-    return rounded(pp.winsorize(m.raw, FACTORS, 0.01, 0.99, MIN_NAMES, m.bound).select("ticker", "date", *FACTORS))
+    return rounded(pp.winsorize(m.raw, FACTORS, 0.01, 0.99, MIN_NAMES).select("ticker", "date", *FACTORS))
 
 
 @query("winsorized_factors_split", f"WITH {b.Z3} SELECT ticker, date, {RF} FROM clipped")
@@ -118,7 +116,7 @@ def factor_screening(spark, sf):
     m = Model(spark, sf)
     raw = m.raw.withColumn("mom_1_copy", -F.col("mom_1")).withColumn("sparse", F.expr("CASE WHEN ticker = 'S1' THEN mom_1 END"))
     built = pp.build_exposures(
-        raw, [*FACTORS, "mom_1_copy", "sparse"], MIN_NAMES, max_names=m.bound, cells=pp.grid_cells(m.cal, m.raw)
+        raw, [*FACTORS, "mom_1_copy", "sparse"], MIN_NAMES, cells=pp.grid_cells(m.cal, m.raw)
     )
     return rounded(
         built.diagnostics.select("factor", "kept", "raw_finite_ratio", "processed_finite_ratio", "finite_dates", "drop_reason")
@@ -321,7 +319,7 @@ def scores_long_form(spark, sf):
 def quantile_weights(spark, sf):
     m = Model(spark, sf)
     _, _, s = scored(m)
-    w = pf.quantile_long_short(materialize(s), 0.2, 2.0, 2, max_names=m.bound)
+    w = pf.quantile_long_short(materialize(s), 0.2, 2.0, 2)
     return rounded(w.select("ticker", "date", "weight"))
 
 
@@ -329,7 +327,7 @@ def quantile_weights(spark, sf):
 def weights_turnover(spark, sf):
     m = Model(spark, sf)
     _, _, s = scored(m)
-    w = materialize(pf.quantile_long_short(materialize(s), 0.2, 2.0, 2, max_names=m.bound))
+    w = materialize(pf.quantile_long_short(materialize(s), 0.2, 2.0, 2))
     return rounded(pf.turnover(w, m.cal).select("date", "turnover"))
 
 
@@ -341,7 +339,6 @@ def backtest(spark, sf):
     x = m.exposures()
     return m, run_factor_backtest(
         x, m.factor_returns(x), FACTORS, m.cal, "latest", quantile=0.2, gross=0.02, min_names_per_side=2, max_abs_return=10.0,
-        max_names=m.bound,
     )
 
 
@@ -419,7 +416,7 @@ def weights_of_a_date(spark, sf):
     """Nothing stored: forecast, score and weights are recomputed for one date index."""
     m = Model(spark, sf)
     x = m.exposures()
-    return rounded(stored_or_computed_weights({}, x, m.factor_returns(x), FACTORS, m.cal, -3, max_names=m.bound))
+    return rounded(stored_or_computed_weights({}, x, m.factor_returns(x), FACTORS, m.cal, -3))
 
 
 SUMMARY_ROWS = " UNION ALL ".join(
@@ -465,10 +462,9 @@ def output_validation(spark, sf):
 @query("factor_build_all")
 def factor_build_all(spark, sf):
     """All 27 price factors through screening and cross-validated ridge; the chosen penalty per date."""
-    from alphaweave.sources.adapters import supplier_bound
 
     built = build_factors(
-        month_bars(spark, sf), max_abs_forward_return=10.0, min_names=MIN_NAMES, ridge="auto", max_names=supplier_bound(spark, sf)
+        month_bars(spark, sf), max_abs_forward_return=10.0, min_names=MIN_NAMES, ridge="auto"
     )
     return built.ridge.select("date", "selected_ridge", "n_obs", F.size("f").alias("n_factors"))
 
