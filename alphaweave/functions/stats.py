@@ -35,7 +35,7 @@ def value_bucket(v: str) -> Column:
     )
 
 
-def group_quantiles(df: DataFrame, keys: list[str], cols: dict[str, Column], probs: Iterable[float]) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], cols: dict[str, Column], probs: Iterable[float], listed_cells: int = LISTED_CELLS) -> DataFrame:
     """Linear-interpolation quantiles of each column per group, all rows for no keys.
 
     Returns keys, `<name>__n` (non-null count) and `<name>__q` (array, one entry
@@ -43,7 +43,7 @@ def group_quantiles(df: DataFrame, keys: list[str], cols: dict[str, Column], pro
 
     Selection by histograms, each a hash aggregation in the order of the values:
     the first, by octave parts, finds the bucket of every rank asked for; where
-    such a bucket holds over `LISTED_CELLS`, one by 2**21 equal parts of the
+    such a bucket holds over `listed_cells`, one by 2**21 equal parts of the
     buckets' ranges narrows them; the last, by value, gives the value at each
     rank. A bucket spans less than 2**43 doubles and a part less than 2**23, so
     no list outgrows a task however many rows there are.
@@ -78,7 +78,7 @@ def group_quantiles(df: DataFrame, keys: list[str], cols: dict[str, Column], pro
         return found.select(*by, *places, order, "__j", (F.col("__r") - F.col("__before")).alias("__r"))
 
     rows, places = held(cells, ["__b", "__lo", "__hi"]), ["__b"]
-    if (size.largest or 0) > LISTED_CELLS:
+    if (size.largest or 0) > listed_cells:
         part = F.when(F.col("__lo") == F.col("__hi"), 0).otherwise(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (1 << 21)))
         rows = rows.withColumn("__p", part.cast("int"))
         wanted = materialize(narrowed(rows, places, "__p"))

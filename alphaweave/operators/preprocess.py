@@ -13,20 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+
 from ..functions import finite_or_null, group_quantiles, join_stats, sql_finite, sql_is_finite
+from ..functions.stats import LISTED_CELLS
 from .keyed import attach_row
 from .universe import densify
 
 
 def winsorize(
     df: DataFrame, names: list[str], lower: float = 0.01, upper: float = 0.99, min_names: int = 30,
-    key: str = "date",
+    key: str = "date", listed_cells: int = LISTED_CELLS,
 ) -> DataFrame:
     """Clip each date's values to its quantiles; a thin date becomes null.
 
     Quantiles use finite values, but an infinity is then clipped to the bound.
     """
-    stats = group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper])
+    stats = group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper], listed_cells)
     clipped = [
         f"CASE WHEN {n}__n >= {min_names} AND {n} IS NOT NULL AND NOT isnan({n}) THEN least(greatest({n}, {n}__q[0]), {n}__q[1]) END AS {n}"
         for n in names

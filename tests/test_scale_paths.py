@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from alphaweave.config import BacktestConfig
 from alphaweave.functions import group_quantiles, group_rank
-from alphaweave.functions import stats
 from alphaweave.functions.stats import value_bucket
 from alphaweave.operators import ridge as rg
 from alphaweave.operators.book import run_book
@@ -31,14 +30,13 @@ def skewed(spark, n=4000):
 
 
 @pytest.mark.parametrize("listed", [0, 1_000_000])
-def test_quantiles_equal_percentile(spark, monkeypatch, listed):
-    monkeypatch.setattr(stats, "LISTED_CELLS", listed)
+def test_quantiles_equal_percentile(spark, listed):
     probs = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
     df = skewed(spark).withColumn("w", F.expr("CASE WHEN id % 3 = 1 THEN -exp(id % 700 - 350) ELSE id * 1e-320D END"))
     for keys in (["g"], []):
         exact = df.groupBy(*keys).agg(F.percentile("v", probs).alias("v"), F.percentile("w", probs).alias("w"), F.count("v").alias("n"))
         exact = {r["g"] if keys else None: r for r in exact.collect()}
-        got = group_quantiles(df, keys, {"v": F.col("v"), "w": F.col("w")}, probs).collect()
+        got = group_quantiles(df, keys, {"v": F.col("v"), "w": F.col("w")}, probs, listed).collect()
         assert len(got) == len(exact)
         for r in got:
             want = exact[r["g"] if keys else None]

@@ -12,7 +12,7 @@ from alphaweave.operators import residuals as rs
 from alphaweave.operators.book import run_book
 from alphaweave.operators.execution import execution_returns, order_costs, order_rollup, target_direction
 from alphaweave.operators.forecast import factor_report, predict_factor_returns
-from alphaweave.plans.daily import after_close_plan, run_backtest, scored_panel
+from alphaweave.plans.daily import after_close_plan, capped_targets, run_backtest, scored_panel
 from alphaweave.session import materialize
 from alphaweave.sources import adapters
 
@@ -332,31 +332,105 @@ def risk_cfg():
     )
 
 
-@query("risk_controlled_book")
+R = risk_cfg()
+RATE = 2 * (R.transaction_cost_bps + R.slippage_bps + R.turnover_penalty_bps) / 1e4
+
+
+def recursion(source: str, cfg, risk: bool, floor: bool = False, portfolios: str = "('main', 1e0)") -> str:
+    """The book day by day as lists over all names in order; the result is `step`, one row per portfolio and day."""
+    floor = str(not floor).lower()
+    dot = lambda x: f"list_sum(list_transform(range(1, len(w) + 1), lambda i: {x}))"
+    top, low = float(cfg.max_leverage_multiplier), float(cfg.min_risk_scale)
+    vol, var = (f"list_slice(nets, -{n}, -1)" for n in (cfg.volatility_lookback_days, cfg.var_lookback_days))
+    budget = lambda limit, used: f"CASE WHEN {used} IS NULL OR {used} <= 1e-12 THEN {top} ELSE least({top}, {limit} / {used}) END"
+    scales = "1e0 AS vol_scale, 1e0 AS var_scale, 1e0 AS drawdown_scale, 0e0 AS drawdown"
+    if risk:
+        vol_used = f"CASE WHEN len(nets) >= 2 THEN list_aggregate({vol}, 'stddev_samp') * sqrt(252) END"
+        var_used = f"CASE WHEN len(nets) >= 2 THEN greatest(0, -list_aggregate({var}, 'quantile_cont', {round(1 - cfg.var_confidence, 12)})) END"
+        drawdown = "greatest(0, 1 - level / top_level)"
+        spent = f"({drawdown} - {cfg.drawdown_control_start}) / {cfg.max_drawdown_limit - cfg.drawdown_control_start!r}"
+        scales = f"""{budget(cfg.volatility_target_annual, vol_used)} AS vol_scale, {budget(cfg.max_daily_var, var_used)} AS var_scale,
+    {top} - {top - low} * greatest(0, least(1, {spent})) AS drawdown_scale, {drawdown} AS drawdown"""
+    scale = f"greatest({low}, least(vol_scale, var_scale, drawdown_scale))" if risk else "1e0"
+    share = f"CASE WHEN turn > {cfg.turnover_cap} THEN {cfg.turnover_cap} / turn ELSE 1e0 END"
+    return f"""
+held AS (SELECT DISTINCT ticker FROM {source} WHERE weight <> 0),
+day AS (
+  SELECT c.t, list(coalesce(e.weight, 0)::DOUBLE ORDER BY h.ticker) AS w, list(coalesce(e.realized, 0)::DOUBLE ORDER BY h.ticker) AS r, list(coalesce(e.ok, {floor}) ORDER BY h.ticker) AS ok
+  FROM cal c CROSS JOIN held h LEFT JOIN {source} e ON e.ticker = h.ticker AND e.t = c.t GROUP BY c.t),
+step(p, size, t, book, nets, level, top_level, turnover, risk_scale, vol_scale, var_scale, drawdown_scale, drawdown) AS (
+  SELECT p, size, -1, list_transform(w, lambda x: 0e0), []::DOUBLE[], 1e0, 1e0, 0e0, 1e0, 1e0, 1e0, 1e0, 0e0 FROM (VALUES {portfolios}) v(p, size), day WHERE t = 0
+  UNION ALL
+  SELECT p, size, t, next, list_append(nets, net), level * (1 + net), greatest(top_level, level * (1 + net)), turned, risk_scale, vol_scale, var_scale, drawdown_scale, drawdown FROM (
+    SELECT *, CASE WHEN {dot('(next[i] <> 0)::INT')} > 0 THEN {dot('next[i] * r[i]')} - turned * {RATE!r} ELSE 0e0 END AS net FROM (
+      SELECT *, 0.5 * {dot('abs(next[i] - book[i])')} AS turned FROM (
+        SELECT *, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN NOT ok[i] THEN 0e0 WHEN share = 1 THEN w[i] ELSE book[i] + share * (w[i] - book[i]) END) AS next FROM (
+          SELECT *, {share} AS share FROM (
+            SELECT *, 0.5 * {dot('abs(w[i] - book[i])')} AS turn FROM (
+              SELECT * REPLACE (list_transform(w, lambda x: x * size * risk_scale) AS w) FROM (
+                SELECT *, {scale} AS risk_scale FROM (
+                  SELECT s.p, s.size, d.t, s.book, s.nets, s.level, s.top_level, d.w, d.r, d.ok, {scales} FROM step s JOIN day d ON d.t = s.t + 1))))))))),
+named AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS i FROM held)"""
+
+
+BOOK_SOURCE = "src AS (SELECT t, ticker, weight, CASE WHEN isfinite(realized) THEN realized END AS realized, true AS ok FROM ex)"
+
+
+@query(
+    "risk_controlled_book",
+    f"""WITH RECURSIVE {EXEC}, {BOOK_SOURCE}, {recursion('src', R, True)}
+SELECT date, {b.rnd(['turnover', 'risk_scale', 'vol_scale', 'var_scale', 'drawdown_scale', 'drawdown'], 7)} FROM step JOIN cal USING (t)""",
+)
 def risk_controlled_book(spark, sf):
     """Turnover cap and volatility, VaR and drawdown scaling fed back through the book."""
     d = Desk(spark, sf)
     t = d.executed().select(F.lit("main").alias("portfolio_id"), "t", "ticker", "weight", "realized", F.lit(False).alias("price_ok"))
     weights, scales = run_book(t, d.m.cal, risk_cfg(), risk=True)
     turn = pf.turnover(weights, d.m.cal)
-    return turn.join(F.broadcast(scales), "t").select("date", "turnover", "risk_scale", "vol_scale", "var_scale", "drawdown_scale", "drawdown")
+    return rounded(turn.join(F.broadcast(scales), "t").select("date", "turnover", "risk_scale", "vol_scale", "var_scale", "drawdown_scale", "drawdown"), 7)
 
 
-@query("risk_sweep")
+SIZES = {"half": 0.5, "full": 1.0, "double": 2.0}
+
+
+@query(
+    "risk_sweep",
+    f"""WITH RECURSIVE {EXEC}, {BOOK_SOURCE}, {recursion('src', R, True, portfolios=', '.join(f"('{p}', {x}e0)" for p, x in SIZES.items()))},
+g AS (SELECT s.p, s.t, sum(coalesce(s.book[n.i] * e.realized, 0)) AS gross FROM step s JOIN named n ON true LEFT JOIN src e ON e.ticker = n.ticker AND e.t = s.t GROUP BY 1, 2)
+SELECT date, {", ".join(f"{b.rd(f'max(gross) FILTER (WHERE p = {chr(39)}{n}{chr(39)})')} AS gross_{n}, {b.rd(f'max(turnover) FILTER (WHERE p = {chr(39)}{n}{chr(39)})')} AS {chr(34)}{n}{chr(34)}" for n in SIZES)}
+FROM step JOIN g USING (p, t) JOIN cal USING (t) GROUP BY date""",
+)
 def risk_sweep(spark, sf):
     """Several capped books in one run, one group per portfolio."""
     d = Desk(spark, sf)
     t = d.executed().select("t", "ticker", "weight", "realized", F.lit(False).alias("price_ok"))
-    books = t.withColumn("portfolio_id", F.explode(F.array(F.lit("half"), F.lit("full"), F.lit("double"))))
+    books = t.withColumn("portfolio_id", F.explode(F.array(*[F.lit(n) for n in SIZES])))
     books = books.withColumn("weight", F.expr("weight * CASE portfolio_id WHEN 'half' THEN 0.5D WHEN 'full' THEN 1D ELSE 2D END"))
     weights, _ = run_book(books, d.m.cal, risk_cfg(), risk=True)
-    names = ["half", "full", "double"]
     held = weights.join(t.select("t", "ticker", "realized"), ["t", "ticker"], "left")
-    out = pf.turnover(weights, d.m.cal, ["portfolio_id"]).groupBy("t").pivot("portfolio_id", names).agg(F.first("turnover"))
-    for name in names:
+    out = pf.turnover(weights, d.m.cal, ["portfolio_id"]).groupBy("t").pivot("portfolio_id", list(SIZES)).agg(F.first("turnover"))
+    for name in SIZES:
         gross = perf.gross_returns(held.where(F.col("portfolio_id") == name), d.m.cal)
         out = gross.select("date", "t", F.col("gross_return").alias(f"gross_{name}")).join(F.broadcast(out), ["t"] if "date" not in out.columns else ["date", "t"])
-    return out.select("date", *[f"gross_{name}" for name in names], *names)
+    return rounded(out.select("date", *[f"gross_{name}" for name in SIZES], *SIZES))
+
+
+def turnover_cfg():
+    from dataclasses import replace
+
+    return replace(CFG, turnover_cap=0.004)
+
+
+@query(
+    "turnover_capped_targets",
+    f"""WITH RECURSIVE {TARGET}, src AS (SELECT t, ticker, weight, NULL::DOUBLE AS realized, price >= {CFG.min_price} AS ok FROM weights0), {recursion('src', turnover_cfg(), False, floor=True)}
+SELECT t, ticker, {b.rd('book[i]', 10)} AS weight FROM step, named WHERE t >= 0 AND book[i] <> 0""",
+)
+def turnover_capped_targets(spark, sf):
+    """Targets moved towards within a daily turnover cap, shut below the price floor."""
+    d = Desk(spark, sf)
+    weighted, _ = pf.rank_weights(d.panel, turnover_cfg())
+    return rounded(capped_targets(materialize(weighted), d.m.cal, turnover_cfg()).where("weight <> 0").select("t", "ticker", "weight"), 10)
 
 
 PLAN = f"""{TARGET.replace("tradable AND m.ticker IS NOT NULL AND coalesce(x.date >= listed, true) AND coalesce(x.date < delisted, true) AS tradable", "tradable")}, {BUCKETS},

@@ -51,9 +51,9 @@ def winsorized_factors(spark, sf):
 
 @query("winsorized_factors_split", f"WITH {b.Z3} SELECT ticker, date, {RF} FROM clipped")
 def winsorized_factors_split(spark, sf):
-    """Same result from the quantile path that never gathers a date in one task."""
+    """Same result where every bucket of values is narrowed before its values are listed."""
     m = Model(spark, sf)
-    return rounded(pp.winsorize(m.raw, FACTORS, 0.01, 0.99, MIN_NAMES, None).select("ticker", "date", *FACTORS))
+    return rounded(pp.winsorize(m.raw, FACTORS, 0.01, 0.99, MIN_NAMES, listed_cells=0).select("ticker", "date", *FACTORS))
 
 
 @query("zscored_factors", f"WITH {b.Z3} SELECT ticker, date, {RF} FROM z")
@@ -134,7 +134,7 @@ def ridge_factor_returns(spark, sf):
     return rounded(fr.select("date", "n_obs", *[F.col("f")[i].alias(n) for i, n in enumerate(FACTORS)]))
 
 
-@query("ridge_factor_returns_gram", BETA.replace("FROM beta", "FROM beta WHERE n_obs > 0"))
+@query("ridge_factor_returns_gram", BETA)
 def ridge_factor_returns_gram(spark, sf):
     """Same estimate from packed sums and normal equations."""
     m = Model(spark, sf)
@@ -245,11 +245,27 @@ def ridge_lambda_summary(spark, sf):
     return rounded(s.select("lambda", "valid_days", "q95_norm_f", "max_norm_f", "mean_residual_norm_ratio", "median_centered_R2"), 7)
 
 
+REASONS = {"largest_norm_f": "nf DESC", "largest_max_abs_f": "mf DESC", "largest_cond_X": "cond DESC", "worst_centered_R2": "r2", "largest_residual_norm_ratio": "rr DESC"}
+#: Condition number from the eigenvalues of the 3 x 3 moment matrix in closed form.
+COND = """g AS (SELECT date, sum(mom_1 * mom_1) AS a, sum(mom_5 * mom_5) AS b, sum(intraday_return * intraday_return) AS c, sum(mom_1 * mom_5) AS d,
+  sum(mom_5 * intraday_return) AS e, sum(mom_1 * intraday_return) AS f FROM x WHERE tradable AND fwd_ret IS NOT NULL GROUP BY date),
+e1 AS (SELECT *, (a + b + c) / 3 AS q, sqrt((power(a - (a + b + c) / 3, 2) + power(b - (a + b + c) / 3, 2) + power(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM g),
+e2 AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p)))) / 3 AS phi FROM e1),
+e3 AS (SELECT date, q + 2 * p * cos(phi) AS most, q + 2 * p * cos(phi + 2 * pi() / 3) AS least FROM e2),
+cnd AS (SELECT date, CASE WHEN least > 1e-13 * most THEN sqrt(most / least) ELSE 'infinity'::DOUBLE END AS cond FROM e3)"""
+
+
 @query(
     "ridge_suspicious_days",
     lam_rows(
-        f"SELECT date, \"lambda\", 'largest_norm_f' AS reason, {b.rd('nf', 7)} AS value FROM (SELECT *, row_number() OVER (PARTITION BY \"lambda\" ORDER BY nf DESC, date) AS rn "
-        "FROM (SELECT *, sqrt(mom_1 * mom_1 + mom_5 * mom_5 + intraday_return * intraday_return) AS nf FROM lam) WHERE nf IS NOT NULL) WHERE rn <= 10"
+        f""", {COND}, m AS (SELECT *, sqrt(mom_1 * mom_1 + mom_5 * mom_5 + intraday_return * intraday_return) AS nf, greatest(abs(mom_1), abs(mom_5), abs(intraday_return)) AS mf,
+  residual_norm / return_norm AS rr, 1 - power(residual_norm / return_norm, 2) AS r2 FROM lam JOIN cnd USING (date) WHERE residual_norm IS NOT NULL)
+SELECT date, "lambda", reason, {b.rd("value", 7)} AS value FROM ("""
+        + " UNION ALL ".join(
+            f"SELECT date, \"lambda\", '{reason}' AS reason, {order.split()[0]} AS value, row_number() OVER (PARTITION BY \"lambda\" ORDER BY {order}, date) AS rn FROM m"
+            for reason, order in REASONS.items()
+        )
+        + ") WHERE rn <= 10"
     ),
 )
 def ridge_suspicious_days(spark, sf):
