@@ -260,7 +260,7 @@ cnd AS (SELECT date, CASE WHEN least > 1e-13 * most THEN sqrt(most / least) ELSE
     lam_rows(
         f""", {COND}, m AS (SELECT *, sqrt(mom_1 * mom_1 + mom_5 * mom_5 + intraday_return * intraday_return) AS nf, greatest(abs(mom_1), abs(mom_5), abs(intraday_return)) AS mf,
   residual_norm / return_norm AS rr, 1 - power(residual_norm / return_norm, 2) AS r2 FROM lam JOIN cnd USING (date) WHERE residual_norm IS NOT NULL)
-SELECT date, "lambda", reason, {b.rd("value", 7)} AS value FROM ("""
+SELECT date, "lambda", reason, {b.rd("value", 5)} AS value FROM ("""
         + " UNION ALL ".join(
             f"SELECT date, \"lambda\", '{reason}' AS reason, {order.split()[0]} AS value, row_number() OVER (PARTITION BY \"lambda\" ORDER BY {order}, date) AS rn FROM m"
             for reason, order in REASONS.items()
@@ -269,7 +269,7 @@ SELECT date, "lambda", reason, {b.rd("value", 7)} AS value FROM ("""
     ),
 )
 def ridge_suspicious_days(spark, sf):
-    return rounded(rg.suspicious_days(diag(spark, sf), 10), 7)
+    return rounded(rg.suspicious_days(diag(spark, sf), 10), 5)
 
 
 FR = f"{b.X3}, {b.ridge3(LAM)}"
