@@ -15,6 +15,8 @@ from __future__ import annotations
 import string
 import sys
 import types
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,14 @@ WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of text tokenized at once, and words a worker remembers the ids of.
-BATCH_BYTES, CACHE_WORDS = 2 << 20, 900_000
+#: Bytes of text tokenized at once; words and parts of words a worker remembers, some 100 and 200 bytes each; ids per batch of pieces.
+BATCH_BYTES, CACHE_WORDS, CACHE_STEMS, PIECE_IDS = 2 << 20, 700_000, 800_000, 1 << 22
+#: Stands between parts of words that are tokenized in one call.
+SEPARATOR, AT_ONCE = "~", 1000
 
 
 class WordIds:
-    """Ids of white-space-separated words, each tokenized once while remembered.
+    """Ids of white-space-separated words, each part tokenized once while remembered.
 
     The tokenizer drops white space, lowers case and splits letters from signs, and joins nothing across those places,
     so the ids of a text are those of its words, and those of a word are its stem's and its closing signs'.
@@ -43,49 +47,74 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
+        (self.separator,) = self.encode([SEPARATOR], add_special_tokens=False)[0].ids
         self.forget()
 
     def forget(self) -> None:
+        self.stems: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.lengths = array("I"), array("q", [0]), array("q", [0])
+        self.forget_words()
+
+    def forget_words(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts_of = array("i")  # two stems a word; the second one may be empty
 
     @staticmethod
-    def parts(word: bytes) -> tuple[str, ...]:
+    def parts(word: bytes) -> tuple[str, str]:
+        if word.isalpha():  # ASCII letters alone
+            return word.lower().decode(), ""
         text = word.decode()
         if "<|" in text:  # may hold a special token, which case decides
-            return (text,)
+            return text, ""
         stem = text.rstrip(string.punctuation)
         if stem and stem != text and (stem[-1] < "\u0250" and stem[-1].isalpha()):
-            return (word[: len(stem.encode())].lower().decode(), text[len(stem) :])
-        return (word.lower().decode(),)
+            return word[: len(stem.encode())].lower().decode(), text[len(stem) :]
+        return word.lower().decode(), ""
+
+    def encoded(self, stems: list[str]) -> list[np.ndarray]:
+        """The ids of each stem; many at once, cut apart at the separator's id."""
+        out: list[np.ndarray] = []
+        calls = [stems[i : i + AT_ONCE] for i in range(0, len(stems), AT_ONCE)]
+        found = self.encode([f" {SEPARATOR} ".join(c) for c in calls], add_special_tokens=False)
+        for call, ids in zip(calls, (np.array(e.ids, np.uint32) for e in found)):
+            ends = np.flatnonzero(ids == self.separator)
+            if len(ends) == len(call) - 1:
+                out += [x[k > 0 :] for k, x in enumerate(np.split(ids, ends))]
+            else:  # a stem holds the separator
+                out += [np.array(e.ids, np.uint32) for e in self.encode(call, add_special_tokens=False)]
+        return out
 
     def learn(self, words: list[bytes]) -> None:
         parts = [self.parts(w) for w in words]
         stems = list({p for x in parts for p in x if p not in self.stems})
-        self.stems.update((p, e.ids) for p, e in zip(stems, self.encode(stems, add_special_tokens=False)))
-        ids = [self.stems[x[0]] if len(x) == 1 else self.stems[x[0]] + self.stems[x[1]] for x in parts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
-        self.lengths = np.r_[self.lengths, lengths]
-        self.flat = np.r_[self.flat, new]
+        for stem, ids in zip(stems, self.encoded(stems)):
+            self.stems[stem] = len(self.starts)
+            self.starts.append(len(self.flat))
+            self.lengths.append(len(ids))
+            self.flat.frombytes(ids.tobytes())
+        self.parts_of.extend([self.stems[p] for x in parts for p in x])
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.index) > CACHE_WORDS:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of ids of each."""
+        if len(self.stems) > CACHE_STEMS:
             self.forget()
+        elif len(self.index) > CACHE_WORDS:
+            self.forget_words()
         split = [t.encode().split() for t in texts]
         words = [w for x in split for w in x]
-        if missing := list({w for w in words if w not in self.index}):
-            self.learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(unknown := np.flatnonzero(at < 0)):
+            missing = [words[i] for i in unknown.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            at[unknown] = [self.index[w] for w in missing]
+        stems = np.frombuffer(self.parts_of, np.int32).reshape(-1, 2)[at].reshape(-1)
+        lengths = np.frombuffer(self.lengths, np.int64)[stems]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        word_end = np.cumsum([len(x) for x in split])[:-1]
-        return np.split(ids, np.r_[0, ends][word_end])
+        shift = np.frombuffer(self.starts, np.int64)[stems] - ends + lengths
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.r_[0, ends][2 * np.cumsum([0, *map(len, split)])]
+        return ids, np.diff(upto)
 
 
 def worker_word_ids(path: str) -> WordIds:
@@ -102,11 +131,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
         word_ids = worker_word_ids(tokenizer_path)
 
         def pieces(keys, texts):
-            out = []
-            for key, ids in zip(keys, word_ids(texts)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                out += [(key, at, min(window, len(ids) - at), len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
+            ids, sizes = word_ids(texts)
+            # Every text's end id goes behind its last one; the pieces then follow each other in one array.
+            ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
+            sizes = sizes + 1
+            count = -(-sizes // window)
+            doc = np.repeat(np.arange(len(sizes)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * window
+            length = np.minimum(window, sizes[doc] - start)
+            ends = np.r_[0, np.cumsum(length)]
+            per = max(1, PIECE_IDS // window)
+            for lo in range(0, len(doc), per):
+                part = slice(lo, lo + per)
+                base, offsets = ends[lo], ends[lo : lo + per + 1]
+                data = [None, pa.py_buffer(((offsets - base) * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids[base : offsets[-1]]))]
+                columns = [pa.array(keys, pa.int64()).take(pa.array(doc[part])), *(pa.array(x[part]) for x in (start, length, sizes[doc]))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(offsets) - 1, data)], names)
 
         for batch in batches:
             keys, texts, size = [], [], 0
@@ -116,10 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
                 texts.append(text)
                 size += len(text)
                 if size > BATCH_BYTES:
-                    yield pieces(keys, texts)
+                    yield from pieces(keys, texts)
                     keys, texts, size = [], [], 0
             if keys:
-                yield pieces(keys, texts)
+                yield from pieces(keys, texts)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 

@@ -11,6 +11,9 @@ Features: densities and weights of lexicon hits, hits near a second-person word,
 Defined results: null and empty texts are scored as texts without words. Labels that are null do not count; of several
 labels of a document the highest does. Where the learning rows hold no toxic or no clean row, every score is their share
 of toxic ones (0 without any). Where the calibration part lacks one of the two, the trees' own probability is the score.
+Repeated rows score alike and count as often when labelled; entries and splits that tie go by name and by feature order. Texts
+of any length are taken whole, in time proportional to it. An empty table gives no rows. Columns other than doc_id and text
+are not read by `score` and kept by `reject`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from alphaweave.session import materialize
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, stored
 
 #: Bounds of what is learned from: labelled rows, and lexicon entries kept.
 TRAIN_ROWS, LEXICON_ENTRIES = 20_000, 2_000
@@ -45,6 +48,8 @@ INSULTS = (
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 WORDS = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*|]+[^\W\d_]+)+|[0-9@$]+[^\W\d_]{2,}")
+DISGUISE, SHOUTED = re.compile(r"[0-9@$!*|]"), re.compile(r"\b[A-Z]{3,}\b")
+REPEATED, DOUBLES = re.compile(r"([!?.*$#%&])\1+"), [2 * c for c in "!?.*$#%&"]
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": None})
 FEATURES = (
     "known_density", "known_hits", "hit_density", "hit_weight", "top_weight", "distinct_hits", "near_second_person", "second_person",
@@ -78,31 +83,51 @@ def learn_lexicon(labelled: DataFrame, most: int = LEXICON_ENTRIES) -> dict[str,
     return {r.entry: r.odds for r in best.collect()}
 
 
-def features(text: str, lexicon: dict[str, float], known: frozenset[str], second: frozenset[str], begin: frozenset[str]) -> list[float]:
+class Words(dict):
+    """What a word says: None, or (is it known, its weight, does it speak to someone), worked out once while remembered."""
+
+    REMEMBERED = 200_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.known, self.second = lexicon, frozenset(INSULTS), frozenset(SECOND_PERSON)
+        self.begin = frozenset(e.lstrip("=")[:3] for e in lexicon)
+
+    def __missing__(self, w: str) -> tuple[bool, float, bool] | None:
+        weight = 0.0
+        if w[:3] in self.begin:
+            weight = max((self.lexicon[e] for e in entries(w) if e in self.lexicon), default=0.0)
+        found = (w in self.known, weight, w in self.second)
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        self[w] = found = found if any(found) else None
+        return found
+
+
+#: Whether a code point is a capital letter.
+CAPITALS = np.array([chr(i).isupper() for i in range(0x110000)])
+
+
+def features(text: str, of: Words) -> list[float]:
     words = WORDS.findall(text.lower())
     n = max(1, len(words))
-    hits, weights, found = [], [], set()
-    n_known = 0
-    for i, w in enumerate(words):
-        is_known = w in known
-        weight = 0.0
-        if w[:3] in begin:
-            weight = max((lexicon[e] for e in entries(w) if e in lexicon), default=0.0)
-        if is_known or weight:
-            hits.append(i)
-            found.add(w)
-            weights.append(max(weight, 2.0 * is_known))
-            n_known += is_known
-    persons = np.array([i for i, w in enumerate(words) if w in second])
-    near = sum(bool((np.abs(persons - i) <= NEAR).any()) for i in hits) if len(persons) else 0
-    disguised = DISGUISED.findall(text)
+    said = [(i, x) for i, x in enumerate(map(of.__getitem__, words)) if x]
+    hits = [(i, known, max(weight, 2.0 * known)) for i, (known, weight, _) in said if known or weight]
+    persons = np.array([i for i, (_, _, second) in said if second], np.int64)
+    at = np.array([i for i, _, _ in hits], np.int64)
+    near = int((np.searchsorted(persons, at + NEAR, "right") > np.searchsorted(persons, at - NEAR)).sum())
+    n_known, weights = sum(known for _, known, _ in hits), [w for _, _, w in hits]
+    # A disguised word holds a digit or a sign, and no white space.
+    disguised = [d for t in text.split() if not t.isalpha() and DISGUISE.search(t) for d in DISGUISED.findall(t)]
     unmasked = [d.lower().translate(PLAIN) for d in disguised]
     letters = max(1, sum(map(len, words)))
     signs = len(text) - letters - text.count(" ")
+    capitals = int(CAPITALS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
+    shouted = len(SHOUTED.findall(text)) if capitals >= 3 else 0
+    repeated = len(REPEATED.findall(text)) if any(c in text for c in DOUBLES) else 0
     return [
-        n_known / n, min(n_known, 20), len(hits) / n, sum(weights) / n, max(weights, default=0.0), min(len(found), 20), near / n, len(persons) / n,
-        sum(map(str.isupper, text)) / letters, len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / n, max(0, signs) / letters, len(re.findall(r"([!?.*$#%&])\1+", text)) / n,
-        len(disguised) / n, sum(u in known or "=" + u in lexicon for u in unmasked), math.log1p(len(words)),
+        n_known / n, min(n_known, 20), len(hits) / n, sum(weights) / n, max(weights, default=0.0), min(len({words[i] for i, _, _ in hits}), 20), near / n, len(persons) / n,
+        capitals / letters, shouted / n, text.count("!") / n, max(0, signs) / letters, repeated / n,
+        len(disguised) / n, sum(u in of.known or "=" + u in of.lexicon for u in unmasked), math.log1p(len(words)),
     ]
 
 
@@ -113,10 +138,9 @@ def with_features(df: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
 
     def measure(batches):
-        lexicon, known, second = shared.value, frozenset(INSULTS), frozenset(SECOND_PERSON)
-        begin = frozenset(e.lstrip("=")[:3] for e in lexicon)
+        of = Words(shared.value)
         for batch in batches:
-            rows = [features(t.as_py() or "", lexicon, known, second, begin) for t in batch.column(batch.num_columns - 1)]
+            rows = [features(t.as_py() or "", of) for t in batch.column(batch.num_columns - 1)]
             flat = pa.array(np.array(rows, np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(FEATURES) * (len(rows) + 1), len(FEATURES), dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*others, "x"])
@@ -129,10 +153,10 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     """doc_id, held_out, score and predicted of every document, learning from the folds 1 to 4 of 5."""
     learnable = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = bounded_sample(materialize(learnable), "doc_id", train_rows, seed=5)
-    # The sample's size is bounded, so it may go to every executor.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", fold(F.col("doc_id"), 5))
+    # The sample's size is bounded, so it may go to every executor; its texts are read once.
+    labelled = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", fold(F.col("doc_id"), 5)))
     lexicon = learn_lexicon(labelled.where("part <= 2"))
-    train = materialize(with_features(labelled.where("part >= 3").select("part", F.col("toxic").cast("double").alias("label"), "text"), lexicon).coalesce(4))
+    train = materialize(with_features(labelled.where("part >= 3").select("part", F.col("toxic").cast("double").alias("label"), "text"), lexicon)).coalesce(4)
     counts = {(r.part, r.label): r.n for r in train.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     every = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     if not (counts.get((3, 0.0)) and counts.get((3, 1.0))):
