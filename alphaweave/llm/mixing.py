@@ -11,7 +11,7 @@ Everything random is a hash of the document id and a seed, so reruns agree whate
 
 Defined results: null and empty texts have size 0. Null sources are one source, the last. Repeated rows are documents of
 their own; equal ones are interchangeable. An empty table gives no rows. Columns other than doc_id, text and source are
-carried along by `mix` and not read; those named size, source_size, target or taken are replaced.
+not read, and `mix` drops them.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ ones stay different, and the holder of the key can turn them back (`restore=True
 What fails its validation stays as it is. A date with slashes whose first number cannot be a month is written day first
 again; its pseudonym may then read month first too, so that one is not restored for certain, nor is a card right beside other numbers, whose digits may pass together with them. All of it is column expressions on one row: no shuffle, no Python on executors.
 
-Defined results: a null text stays null, an empty one empty; repeated rows come out alike; other columns are untouched.
+Defined results: a null text stays null, an empty one empty; repeated rows come out alike; an empty table gives no rows. Texts,
+addresses and numbers of labels of any length are taken whole. Other columns are untouched, but for one of the name `kinds_in`
+(`pii` unless set), which is replaced; without that name none is added.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ LETTERS = (
 RUN = r"(?<![\p{L}\p{N}])[0-9][0-9\x20-]{12,}(?![\p{L}\p{N}])"
 #: Patterns in order of precedence. None can begin within a longer run of its own characters.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)*(?<=\.\p{L}{2,63})",
+    # Flat classes, which take any number of labels without recursion.
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[\p{L}\p{N}-])[\p{L}\p{N}.-]*(?<=\.\p{L}{2,63})(?![\p{L}\p{N}-])",
     "iban": r"(?<![\p{L}\p{N}])(?:" + _BY_COUNTRY + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -264,8 +267,8 @@ def pseudonym(m: Column, key: str = KEY, restore: bool = False) -> Column:
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", restore: bool = False) -> DataFrame:
-    """`docs` with personal data in `text` replaced, and pii: the kinds replaced, in order of place."""
+def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", restore: bool = False, kinds_in: str | None = "pii") -> DataFrame:
+    """`docs` with personal data in `text` replaced, and in a column `kinds_in`, if named, the kinds replaced, in order of place."""
     any_of = "|".join(f"(?:{PATTERNS[name]})" for name in KINDS)
     safe = F.replace(F.col(text), F.lit(MARK), F.lit(MARK + ESCAPED))
     cut = lambda s, pattern: F.split(F.regexp_replace(s, F.lit(pattern), F.lit(f"{MARK}{OPEN}$0{MARK}{OPEN}")), MARK + OPEN, -1)
@@ -279,4 +282,5 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", restore: b
     found = docs.withColumn("__parts", parts)
     whole = F.replace(F.array_join(F.transform("__parts", lambda p: p["new"]), ""), F.lit(MARK + ESCAPED), F.lit(MARK))
     kinds = F.flatten(F.transform("__parts", lambda p: p["kinds"]))
-    return found.withColumn("pii", F.coalesce(kinds, none)).withColumn(text, F.coalesce(whole, F.col(text))).drop("__parts")
+    new = {text: F.coalesce(whole, F.col(text))} | ({kinds_in: F.coalesce(kinds, none)} if kinds_in else {})
+    return found.withColumns(new).drop("__parts")

@@ -300,3 +300,29 @@ def test_planted_random_keys_are_found(spark):
     assert all(found[k] >= 0.97 * 200 for k in kinds), found
     plain = ["2024-01-15-how-to-read-a-long-file-name", "src/main/java/org/apache/spark2/util", "internationalization", "padding=" * 9, "A_LONG_CONSTANT_NAME_OF_2024", "sha1=" + draw("0123456789abcdef", 40)[:31]]
     assert [r.spans for r in secrets.digest(spark.createDataFrame(enumerate(plain), "doc_id long, text string")).collect()] == [""] * len(plain)
+
+
+@pytest.mark.parametrize("labels", [1, 1_000, 100_000])
+def test_addresses_of_many_labels_and_long_local_parts(spark, labels):
+    long = "a@b" + ".c" * labels + ".com"
+    rows = [(1, f"see {long} now"), (2, "x" * 70 + "@example.com"), (3, "a@b.com.9 a@b.com9 a@@b.com a@b.c")]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].pii == ["email"] and len(got[1].text) == len(rows[0][1]) and got[1].text.endswith(".com now") and long not in got[1].text
+    assert got[2].pii == ["email"] and got[2].text.endswith(".com") and "xxxx" not in got[2].text
+    # A last label of letters alone ends an address.
+    assert got[3].pii == ["email"] and ".com.9 a@b.com9 a@@b.com a@b.c" in got[3].text
+
+
+def test_pseudonyms_keep_a_column_named_pii(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "mine")], "doc_id long, text string, pii string")
+    (r,) = pseudonyms.pseudonymize(df, kinds_in=None).collect()
+    assert r.pii == "mine" and r.text != "a@b.com"
+    assert pseudonyms.pseudonymize(df.limit(0)).collect() == []
+
+
+def test_toxicity_features_of_many_hits_are_linear_and_right():
+    of = toxicity.Words({"=idiot": 2.5, "abr": 2.2})
+    x = dict(zip(toxicity.FEATURES, toxicity.features("You idiot! a b c d e abruti IDI0T wow!! " + "idiot you " * 100_000, of)))
+    n = 11 + 200_000  # IDI0T is two runs of letters
+    assert x["known_hits"] == 20 and x["hit_density"] == pytest.approx(100_002 / n) and x["near_second_person"] == pytest.approx(100_001 / n)
+    assert x["disguised_hits"] == 1 and x["distinct_hits"] == 2 and x["repeated_signs"] == pytest.approx(1 / n) and x["exclamations"] == pytest.approx(3 / n)
