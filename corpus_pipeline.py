@@ -16,7 +16,7 @@ from alphaweave.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts are scored like others; rows without a doc_id stay."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
@@ -26,21 +26,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts become pseudonyms of the same format."""
-    done = pseudonyms.pseudonymize(docs)
+    """Personal data in the texts become pseudonyms of the same format. Null and empty texts and all other columns stay as they are."""
+    done = pseudonyms.pseudonymize(docs, kinds_in=None)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
     return done.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null and empty texts have no words and are taken as it draws them."""
     taken = stored(mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0"))
     return docs.join(small(taken), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in windows of 2048."""
+    """Token pieces in windows of 2048; a null or empty text is its end id alone. Repeated rows are pieces of their own."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
