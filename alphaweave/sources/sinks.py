@@ -35,10 +35,17 @@ def write_lambda_returns(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("lambda_idx").parquet(path)
 
 
-def write_csv_report(tables: dict[str, DataFrame], root: str, signal_date: str, date_col: str = "signal_date") -> None:
-    """One signal date of each table as CSV; tables without that column are written whole."""
+def write_csv_report(
+    tables: dict[str, DataFrame], root: str, signal_date: str, date_col: str = "signal_date", order_by: dict[str, list[str]] | None = None,
+) -> None:
+    """One signal date of each table as CSV; tables without that column are written whole.
+
+    A table named in `order_by` is range-partitioned into part files that hold it in that order, one after another.
+    """
     for name, df in tables.items():
         out = df.where(F.col(date_col) == F.to_date(F.lit(signal_date))) if date_col in df.columns else df
+        if order_by and name in order_by:
+            out = out.orderBy(*order_by[name])
         out.write.mode("overwrite").option("header", True).csv(f"{root}/{signal_date}/{name}")
 
 
@@ -84,9 +91,17 @@ def upsert_status(new: DataFrame, old: DataFrame | None) -> DataFrame:
 
 
 def build_or_read(spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
-    """Reuse a stored table if it is there, else build and store it."""
-    if not (use_cache and path_exists(spark, path)):
+    """Reuse a stored table that was written to its end, else build and store it.
+
+    A marker beside the files is written last and goes first, so what a dead job left behind is never read.
+    """
+    marker = f"{path}/_complete"
+    if not (use_cache and path_exists(spark, marker)):
+        p = spark._jvm.org.apache.hadoop.fs.Path(marker)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(p, False)
         build().write.mode("overwrite").parquet(path)
+        fs.create(p, True).close()
     return spark.read.parquet(path)
 
 

@@ -55,9 +55,27 @@ def tumbling_bars(ticks: DataFrame, minutes: int = 15, lateness: str = "15 minut
     )
 
 
-def first_per_key(rows: DataFrame, lateness: str = "15 minutes", time: str = "timestamp") -> DataFrame:
-    """Stream dedupe where the first row of a key may win."""
-    return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark([time, "ticker"])
+def first_per_key(rows: DataFrame, keys: list[str], lateness: str = "15 minutes", time: str = "ts") -> DataFrame:
+    """Stream dedupe where the first row of a key wins, as it arrives; of rows that arrive together any one.
+
+    A key is remembered until the watermark is `lateness` past its first row; rows behind the watermark that the batch
+    before started with are dropped and counted (`rows_dropped`), so repeats of a forgotten key do not come out again.
+    """
+    return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def rows_dropped(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark of the query's stateful operators, over its recent batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def append_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of rows that come once: a folder per batch, so that a replayed batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
 
 def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:

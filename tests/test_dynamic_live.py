@@ -273,11 +273,50 @@ def test_dimension_csv_and_artifacts(spark, tmp_path):
     for _ in range(2):
         assert sinks.build_or_read(spark, str(tmp_path / "cache"), build).count() == 1
     assert len(calls) == 1
+    # A write that dies leaves files without the marker; they are built anew, also over an older whole table.
+    for path in ("dead", "cache"):
+        dying = f.repartition(2).withColumn("f", F.raise_error(F.lit("killed")).cast("double"))
+        with pytest.raises(Exception, match="killed"):
+            sinks.build_or_read(spark, str(tmp_path / path), lambda: dying, use_cache=False)
+        f.withColumn("f", F.lit(9.0)).write.mode("append").parquet(str(tmp_path / path))
+        assert [r["f"] for r in sinks.build_or_read(spark, str(tmp_path / path), build).collect()] == [0.1]
+    assert len(calls) == 3
     sinks.append_log(f, str(tmp_path / "log"))
     sinks.append_log(f, str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
 
 
+def test_reports_in_order(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id % 7 AS a", "hash(id) AS b", "date'2024-01-02' AS signal_date").repartition(5)
+    sinks.write_csv_report({"x": df, "y": df.limit(3)}, str(tmp_path), "2024-01-02", order_by={"x": ["a", "b"]})
+    files = sorted((tmp_path / "2024-01-02" / "x").glob("part-*.csv"))
+    lines = [tuple(map(int, line.split(",")[:2])) for f in files for line in f.read_text().splitlines()[1:]]
+    assert len(lines) == 4000 and lines == sorted(lines)
+
+
+def test_first_per_key_drops_late_and_repeated_rows(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 2, h, m)
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    deliveries = [
+        [(at(9, 0), "A", 1.0), (at(9, 5), "A", 2.0), (at(12, 0), "B", 3.0)],
+        # Two repeats that are remembered, a new key.
+        [(at(12, 5), "B", 4.0), (at(9, 7), "A", 5.0), (at(12, 30), "A", 7.0)],
+        # Behind the watermark: a repeat that is forgotten and a late new key.
+        [(at(9, 8), "A", 8.0), (at(9, 1), "D", 9.0), (at(13, 0), "B", 10.0)],
+    ]
+    schema = "ts timestamp, ticker string, price double"
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+    stream = live.bar_stream(spark, feed, schema, maxFilesPerTrigger=1).withColumn("bar", F.date_trunc("hour", "ts"))
+    for _ in range(2):  # started again from its checkpoint it finds nothing new
+        query = live.start(live.first_per_key(stream, ["bar", "ticker"], "30 minutes"), live.append_sink(out), str(tmp_path / "cp"))
+        query.awaitTermination()
+        if _ == 0:
+            assert live.rows_dropped(query) == 2
+    got = sorted((r["ticker"], r["bar"].hour) for r in spark.read.parquet(out).collect())
+    assert got == [("A", 9), ("A", 12), ("B", 12), ("B", 13)]
+
+
 def test_signed_root_and_outliers(spark):
     days = business_days("2024-01-02", 2)
     df = spark.createDataFrame([(days[0], "A", -4.0), (days[0], "B", 0.0), (days[0], "C", 9.0), (days[1], "A", None), (days[1], "B", 0.25), (days[1], "C", -0.25)], "date date, ticker string, residual_zscore double")

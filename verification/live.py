@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alphaweave.config import LiveConfig, SubmitConfig
+from alphaweave.functions import floor_to_interval
 from alphaweave.operators import keyed
 from alphaweave.operators import orders as od
 from alphaweave.session import materialize, shared_dir
@@ -302,6 +303,28 @@ def stream_upsert(spark, sf):
     return rounded(spark.read.parquet(out).select("timestamp", "ticker", "close"), 6)
 
 
+ASOF = "2024-01-15 09:10:00"
+
+
+@query(
+    "stream_first_per_bar",
+    f"""WITH {TICK_SQL.format(sec=900)} SELECT DISTINCT to_timestamp(floor(epoch(ts) / 900) * 900) AT TIME ZONE 'UTC' AS timestamp, ticker FROM ticks
+WHERE epoch(ts) <= floor((epoch(TIMESTAMP '{ASOF}') - {60 * CFG.delay_minutes}) / {60 * CFG.bar_minutes}) * {60 * CFG.bar_minutes}""",
+)
+def stream_first_per_bar(spark, sf):
+    """Delayed ticks in three deliveries, of repeats and late rows too; one row per bar and ticker comes out."""
+    ticks = adapters.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('U', user_id)").alias("ticker"), F.col("value").alias("price"))
+    end = ticks.agg(F.max("event_id")).first()[0] or 0
+    feed, out, cp = scratch(spark, "feed"), scratch(spark, "first"), scratch(spark, "cp")
+    # The second delivery repeats a tenth; the third brings the first tenth again, far behind the watermark.
+    for part in (f"event_id < {0.6 * end}", f"event_id >= {0.5 * end}", f"event_id < {0.1 * end}"):
+        ticks.where(part).coalesce(1).write.mode("append").parquet(feed)
+    stream = live.bar_stream(spark, feed, "event_id BIGINT, ts TIMESTAMP, ticker STRING, price DOUBLE", maxFilesPerTrigger=1)
+    rows = live.delayed(stream, CFG, ASOF, "ts").withColumn("timestamp", floor_to_interval(F.col("ts"), 15))
+    live.start(live.first_per_key(rows, ["timestamp", "ticker"], "60 minutes"), live.append_sink(out), cp).awaitTermination()
+    return spark.read.parquet(out).select("timestamp", "ticker")
+
+
 @query(
     "recent_history",
     f"""WITH {TICK_SQL.format(sec=3600)}, lt AS (SELECT DISTINCT timestamp FROM ib WHERE timestamp <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY 1 DESC LIMIT 48)
