@@ -1,15 +1,20 @@
 """Document fingerprints: sketches of every shingle hash below a fixed threshold.
 
 A text's shingles are the runs of `SHINGLE` words, or all its words where there are fewer. The sketch keeps each
-distinct 64-bit shingle hash whose place among all hashes is below `SHARE`, so it grows with the text, sketches of parts
+distinct 64-bit shingle hash in the lowest 1 / `SHARE` of all hashes, so it grows with the text, sketches of parts
 merge by union, and the share of one sketch found in another estimates containment between texts of very different
-length. The smallest hash is always kept, so that short texts have a sketch too.
+length. A text with no hash so low keeps its smallest one instead, so that short texts have a sketch too; merging drops
+it where the other part has a low one, so the merged sketch is that of both texts' shingles.
+
+Two texts that differ in d shingles in all have the same fingerprint with a chance of (1 - 1 / SHARE) ** d: 6 % for one
+word changed (ten shingles), less where texts are short enough to keep their smallest hash. The likeness of two sketches,
+the smaller of k hashes, is off by about sqrt(c (1 - c) / k) where c is the containment.
 
 Everything is column expressions. The one join brings each document's successor to it; ids are put in order by ranges,
 so no task sees more than its range.
 
 Defined results: null texts count as empty; an empty sketch is the empty string, likeness 1 to another empty one and 0
-to any other. Rows that repeat a doc_id all have the same successor, the least text of the next larger id, and repeat
+to any other. Texts of any length are taken whole, other columns are not read. Rows that repeat a doc_id all have the same successor, the least text of the next larger id, and repeat
 their results. With one id in the table a document follows itself.
 """
 
@@ -21,22 +26,24 @@ from pyspark.sql import functions as F
 from alphaweave.session import materialize
 
 from .common import small
+from .pseudonyms import let
 
 SHINGLE = 5
 #: One in so many hashes is kept.
-SHARE = 8
+SHARE = 4
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once: expressions within a lambda are not shared otherwise."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def lowest(hashes: Column, share: int) -> Column:
+    """The hashes, taken as signed, in the lowest 1/share of their range, or the smallest if there is none."""
+    least = F.lit(-(1 << 63) + (1 << 64) // share)
+    some = F.filter(hashes, lambda h: h < least)
+    return let(some, lambda s: F.when((F.size(s) > 0) | (F.size(hashes) == 0), s).otherwise(F.array(F.array_min(hashes))))
 
 
 def sketch(text: Column, shingle: int = SHINGLE, share: int = SHARE) -> Column:
     """Sorted distinct hashes kept of a text's shingles."""
     words = F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
     empty = F.xxhash64(F.lit(""))
-    least = F.lit(-(1 << 63) + (1 << 64) // share)
 
     def hashes(words: Column) -> Column:
         n = F.size(words)
@@ -44,14 +51,9 @@ def sketch(text: Column, shingle: int = SHINGLE, share: int = SHARE) -> Column:
         starts = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]))
 
-    def kept(found: Column) -> Column:
-        # Signed hashes: the lowest 1/share of them, at least the least.
-        some = F.filter(found, lambda h: h < least)
-        return let(some, lambda s: F.when((F.size(s) > 0) | (F.size(found) == 0), s).otherwise(F.array(F.array_min(found))))
-
     # Splitting at white space leaves an empty word at either end of a text that begins or ends with it.
     inner = F.filter(words, lambda w: w != empty)
-    return let(let(inner, hashes), lambda h: F.array_sort(F.array_distinct(kept(h))))
+    return let(let(inner, hashes), lambda h: F.array_sort(F.array_distinct(lowest(h, share))))
 
 
 def written(sketched: Column) -> Column:
@@ -64,9 +66,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(both / least)
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, share: int = SHARE) -> Column:
     """The sketch of two parts together, but for the shingles across the cut."""
-    return F.array_sort(F.array_union(a, b))
+    return let(F.array_union(a, b), lambda both: F.array_sort(lowest(both, share)))
 
 
 def successors(ids: DataFrame, slices: int) -> DataFrame:

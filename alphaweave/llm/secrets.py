@@ -9,9 +9,12 @@ that leaves and the one that enters. From the first to the last window whose Sha
 threshold the string is a span, unless the allow list explains it: UUIDs, placeholders, alphabets, paths without capitals, or a label
 such as `sha256` or `commit` right before it. Spans within one of a fixed pattern are not added again.
 
-Everything is a column expression over one row, so nothing is shuffled. Places are in code points, end exclusive.
+Everything is a column expression over one row, so nothing is shuffled. Places are in code points, end exclusive. The
+work is in proportion to the text, whatever its number of matches.
 
 Defined results: null and empty texts have no spans and the digest of the empty string. Repeated rows are scanned alike.
+Very long texts are scanned whole. An empty table gives no rows. `scan` adds base and added, in place of columns of those
+names; other columns stay, `digest` reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import matches
+from .matching import last_at_most, matches, running
+from .pseudonyms import let
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -97,8 +101,10 @@ def scan(docs: DataFrame) -> DataFrame:
     rated = F.transform(suspect, lambda m: F.struct(m["at"], m["kind"], hot_range(m["match"], bits(m["kind"])).alias("hot")))
     spans = F.transform(F.filter(rated, lambda m: m["hot"]["lo"].isNotNull()), lambda m: _span(m["kind"], 3, m["at"] + m["hot"]["lo"], m["at"] + m["hot"]["hi"]))
     found = docs.withColumn("base", base).withColumn("spans_by_entropy", spans)
-    known = lambda a: F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]))
-    return found.withColumn("added", F.filter("spans_by_entropy", lambda a: ~known(a))).drop("spans_by_entropy")
+    # A span lies in a fixed one if of those that start no later one ends no earlier.
+    reach = running(F.transform("base", lambda b: b["end"]), F.greatest, F.lit(0))
+    known = lambda ends, a: F.coalesce(F.get(ends, last_at_most(F.col("base"), lambda b: b["start"], a["start"])) >= a["end"], F.lit(False))
+    return found.withColumn("added", let(reach, lambda ends: F.filter("spans_by_entropy", lambda a: ~known(ends, a)))).drop("spans_by_entropy")
 
 
 def joined(spans: Column) -> Column:
