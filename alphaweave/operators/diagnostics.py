@@ -94,4 +94,5 @@ def validate_outputs(
 
 
 def weakest_coverage(diagnostics: DataFrame, n: int = 10) -> DataFrame:
+    """The factors with the smallest share of finite cells after processing, of equal ones the first by name."""
     return diagnostics.orderBy("processed_finite_ratio", "factor").limit(n)

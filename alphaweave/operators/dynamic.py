@@ -16,16 +16,18 @@ from .keyed import attach_row
 from .ridge import triangles
 
 
-def kalman_from_returns(
-    f: DataFrame, q_scale: float = 1e-5, r_scale: float = 1e-3, p0_scale: float = 1.0,
-) -> tuple[DataFrame, DataFrame]:
-    """Random-walk filter on estimated factor returns (date, t, factor, f), dense in t.
+def kalman_states(f: DataFrame, q_scale: float = 1e-5, r_scale: float = 1e-3, p0_scale: float = 1.0) -> DataFrame:
+    """Random-walk filter on estimated factor returns (date, t, factor, f), dense in t, with its state per day and factor.
 
     All noise covariances are multiples of the identity, so the state
     covariance stays diagonal and each factor filters on its own: one group per
     factor, run in parallel. A day without any finite factor carries the state
-    and adds no process noise. Returns (date, t, factor, f_kf) and the per-day
-    innovation table.
+    and adds no process noise.
+
+    `kalman_forecast_f_hat` is the state before the day's return is known and
+    `kalman_f_hat` after it; `kalman_gain`, the innovation `y` and its variance
+    `s` are null where the factor has no finite return; `state_covariance_diag`
+    is the variance of the state after the day.
     """
     seen = f.groupBy("t").agg(F.count_if(is_finite("f")).alias("valid_factor_count"))
     rows = f.join(F.broadcast(seen), "t").select("date", "t", "factor", finite_or_null("f").alias("z"), "valid_factor_count")
@@ -34,27 +36,45 @@ def kalman_from_returns(
         pdf = pdf.sort_values("t")
         z, any_obs = pdf["z"].to_numpy(dtype=float), pdf["valid_factor_count"].to_numpy() > 0
         m, p = 0.0, p0_scale
-        state, y, s = np.empty(len(z)), np.full(len(z), np.nan), np.full(len(z), np.nan)
+        before, state, variance = (np.empty(len(z)) for _ in range(3))
+        y, s, gains = (np.full(len(z), np.nan) for _ in range(3))
         for i, obs in enumerate(z):
+            before[i] = m
             if any_obs[i]:
                 p += q_scale
                 if np.isfinite(obs):
                     y[i], s[i] = obs - m, p + r_scale
-                    gain = p / s[i]
-                    m, p = m + gain * y[i], p - gain * p
-            state[i] = m
+                    gains[i] = p / s[i]
+                    m, p = m + gains[i] * y[i], p - gains[i] * p
+            state[i], variance[i] = m, p
         return pd.DataFrame(
-            {"date": pdf["date"], "t": pdf["t"], "factor": pdf["factor"], "f_kf": state, "y": y, "s": s}
+            {
+                "date": pdf["date"], "t": pdf["t"], "factor": pdf["factor"], "kalman_forecast_f_hat": before, "kalman_f_hat": state,
+                "kalman_gain": gains, "state_covariance_diag": variance, "y": y, "s": s,
+            }
         )
 
-    out = rows.groupBy("factor").applyInPandas(run, "date date, t int, factor string, f_kf double, y double, s double")
-    y, s = finite_or_null("y"), finite_or_null("s")
+    out = rows.groupBy("factor").applyInPandas(
+        run,
+        "date date, t int, factor string, kalman_forecast_f_hat double, kalman_f_hat double, kalman_gain double, state_covariance_diag double, y double, s double",
+    )
+    return out.withColumns(
+        {c: finite_or_null(c) for c in ("kalman_gain", "y", "s")}
+        | {"process_noise_q": F.lit(q_scale), "measurement_noise_r": F.lit(r_scale)}
+    )
+
+
+def kalman_from_returns(
+    f: DataFrame, q_scale: float = 1e-5, r_scale: float = 1e-3, p0_scale: float = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(date, t, factor, f_kf) of `kalman_states` and the per-day innovation table."""
+    out = kalman_states(f, q_scale, r_scale, p0_scale)
     innovation = out.groupBy("date", "t").agg(
-        F.count(y).alias("valid_factor_count"),
-        F.sqrt(F.sum(y * y) / F.nullif(F.count(y), F.lit(0))).alias("innovation_norm"),
-        F.sum(y * y / s).alias("innovation_score"),
+        F.count("y").alias("valid_factor_count"),
+        F.sqrt(F.sum(F.col("y") * F.col("y")) / F.nullif(F.count("y"), F.lit(0))).alias("innovation_norm"),
+        F.sum(F.col("y") * F.col("y") / F.col("s")).alias("innovation_score"),
     )
-    return out.select("date", "t", "factor", "f_kf"), innovation
+    return out.select("date", "t", "factor", F.col("kalman_f_hat").alias("f_kf")), innovation
 
 
 def kalman_from_stocks(

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import add_all, finite_or_null, half_life_weight, is_finite
 
+#: What the state-space filter tells of a factor; null without one.
+FILTER_COLUMNS = (
+    "kalman_forecast_f_hat", "kalman_f_hat", "kalman_gain", "state_covariance_diag", "process_noise_q", "measurement_noise_r",
+)
 METHODS = ("latest", "rolling", "ewma", "zero", "oracle")
 
 
@@ -166,11 +170,13 @@ def factor_history(f: DataFrame, f_pred: DataFrame) -> DataFrame:
     )
 
 
-def factor_report(f: DataFrame, f_pred: DataFrame, signal_t: int) -> DataFrame:
+def factor_report(f: DataFrame, f_pred: DataFrame, signal_t: int, states: DataFrame | None = None) -> DataFrame:
     """Factor table of one signal day from history before it: last usable row, trailing-252 mean/std.
 
     The previous forecast is always the 20-row exponential one, as made a day
-    earlier.
+    earlier. `states`, of `dynamic.kalman_states`, fills the filter's columns
+    with its state at the end of the day before; its forecast for the signal
+    day is that state, as it walks at random.
     """
     x = finite_or_null("f")
     hist = f.where(F.col("t") < signal_t)
@@ -181,8 +187,15 @@ def factor_report(f: DataFrame, f_pred: DataFrame, signal_t: int) -> DataFrame:
     )
     prev = predict_factor_returns(f, "ewma", 20, 20.0, 1).where(F.col("t") == signal_t - 1)
     now = f_pred.where(F.col("t") == signal_t).select("date", "factor", F.col("f_pred").alias("__now"))
+    sides = [latest, stats, prev.select("factor", F.col("f_pred").alias("__prev"))]
+    if states is None:
+        filtered = [F.lit(None).cast("double").alias(c) for c in FILTER_COLUMNS]
+    else:
+        state = states.where(F.col("t") == signal_t - 1)
+        sides.append(state.select("factor", F.col("kalman_f_hat").alias(FILTER_COLUMNS[0]), *FILTER_COLUMNS[1:]))
+        filtered = list(FILTER_COLUMNS)
     out = now
-    for side in (latest, stats, prev.select("factor", F.col("f_pred").alias("__prev"))):
+    for side in sides:
         out = out.join(F.broadcast(side), "factor", "left")
     return out.select(
         "date", "factor",
@@ -191,6 +204,6 @@ def factor_report(f: DataFrame, f_pred: DataFrame, signal_t: int) -> DataFrame:
         F.col("__prev").alias("previous_day_f_hat"),
         (F.col("__now") - F.col("__prev")).alias("day_over_day_change"),
         F.when(F.col("__s") > 1e-12, (F.col("__latest") - F.col("__m")) / F.col("__s")).alias("zscore_factor_return"),
-        F.lit(0.0).alias("kalman_weight"), F.lit(1.0).alias("rolling_weight"),
+        *filtered, F.lit(0.0).alias("kalman_weight"), F.lit(1.0).alias("rolling_weight"),
         F.col("__now").alias("final_f_hat"),
     )

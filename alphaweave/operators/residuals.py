@@ -166,6 +166,19 @@ def heatmap_slice(z: DataFrame, cal: DataFrame, tickers: int = 60, days: int = 3
     )
 
 
+def heatmap_limit(df: DataFrame, value: str = "residual", share: float = 0.995) -> DataFrame:
+    """One row, `limit`: the colour scale of the heat map of all cells runs from -limit to limit.
+
+    That quantile of the finite cells' sizes, or 1 where there is none or it is 0.
+    """
+    if not 0 < share <= 1:
+        raise ValueError(f"share must be in (0, 1]: {share}")
+    cells = df.select(F.abs(signed_sqrt(finite_or_null(value))).alias("size"))
+    q = group_quantiles(cells, [], {"size": F.col("size")}, [share]).select(F.col("size__q")[0].alias("q"))
+    # Without any cell there is no row of quantiles.
+    return q.agg(F.max("q").alias("q")).select(F.when(F.col("q") > 0, F.col("q")).otherwise(F.lit(1.0)).alias("limit"))
+
+
 def similarity_order(resid: DataFrame, cal: DataFrame, dims: int = 3) -> DataFrame:
     """(ticker, v1..v3): coordinates that put tickers with alike residual histories together.
 

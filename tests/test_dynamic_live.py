@@ -325,3 +325,29 @@ def test_signed_root_and_outliers(spark):
     z = df.withColumn("residual", F.col("residual_zscore"))
     out = {r["ticker"]: r["side_implication"] for r in rs.outliers(z, 3.0).collect()}
     assert out == {"A": "negative_outlier", "C": "positive_outlier"}
+
+
+def test_heatmap_limit_of_few_cells(spark):
+    df = lambda *v: spark.createDataFrame([(x,) for x in v], "residual double")
+    limit = lambda *v: rs.heatmap_limit(df(*v)).first()["limit"]
+    assert [limit(), limit(None, float("nan")), limit(0.0, 0.0)] == [1.0, 1.0, 1.0]
+    assert limit(-4.0, None, float("inf"), 0.0) == pytest.approx(2 * 0.995)
+
+
+def test_filter_states_follow_the_recursion(spark):
+    rows = [(dt.date(2024, 1, 1 + t), t, n, v) for n, vs in {"a": [0.1, None, 0.3, 0.2], "b": [None, None, -0.1, float("nan")]}.items() for t, v in enumerate(vs)]
+    got = {(r.factor, r.t): r for r in dy.kalman_states(spark.createDataFrame(rows, "date date, t int, factor string, f double"), 0.01, 0.1, 2.0).collect()}
+    known = {t for _, t, _, v in rows if v is not None and v == v}
+    for name in "ab":
+        m, p = 0.0, 2.0
+        for t in range(4):
+            z, r = next(v for _, u, n, v in rows if (n, u) == (name, t)), got[name, t]
+            assert r.kalman_forecast_f_hat == pytest.approx(m)
+            p += 0.01 if t in known else 0
+            if z is None or z != z:
+                assert r.kalman_gain is None and r.y is None
+            else:
+                gain = p / (p + 0.1)
+                assert r.kalman_gain == pytest.approx(gain)
+                m, p = m + gain * (z - m), (1 - gain) * p
+            assert (r.kalman_f_hat, r.state_covariance_diag) == (pytest.approx(m), pytest.approx(p))

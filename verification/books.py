@@ -594,6 +594,14 @@ def residual_heatmap_cells(spark, sf):
     return rounded(rs.heatmap_slice(materialize(rs.residual_zscores(r)), m.cal))
 
 
+@query(
+    "residual_heatmap_limit",
+    f"WITH {RES} SELECT {b.rd('coalesce(nullif(quantile_cont(sqrt(abs(residual)), 0.995), 0), 1)')} AS \"limit\" FROM resid",
+)
+def residual_heatmap_limit(spark, sf):
+    return rounded(rs.heatmap_limit(resid(spark, sf)[1]))
+
+
 @query("residual_similarity")
 def residual_similarity(spark, sf):
     """Tickers ordered by the leading directions of their residual histories."""

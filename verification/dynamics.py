@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alphaweave.operators import dynamic as dy
+from alphaweave.operators.forecast import FILTER_COLUMNS, factor_report, predict_factor_returns
 from alphaweave.session import materialize
 
 from . import oracle_base as b
@@ -70,6 +71,32 @@ def kalman_innovations(spark, sf):
     return rounded(inn.drop("t"), innovation_score=7)
 
 
+@query(
+    "kalman_filter_states",
+    f"""WITH {KALMAN} SELECT c.date, k.factor, {b.rd('lag(m) OVER w')} AS kalman_forecast_f_hat, {b.rd('m')} AS kalman_f_hat, {b.rd(f'(s - {RN}) / s')} AS kalman_gain,
+  {b.rd('p')} AS state_covariance_diag, {Q}e0 AS process_noise_q, {RN}e0 AS measurement_noise_r
+FROM kf k LEFT JOIN cal c USING (t) WINDOW w AS (PARTITION BY k.factor ORDER BY k.t) QUALIFY k.t >= 0""",
+)
+def kalman_filter_states(spark, sf):
+    """Forecast, state, gain and variance of the filter, per day and factor."""
+    _, f = estimates(spark, sf)
+    return rounded(dy.kalman_states(f, Q, RN, P0).drop("t", "y", "s"))
+
+
+@query(
+    "factor_report_filter_columns",
+    f"""WITH {KALMAN} SELECT factor, {b.rd('m')} AS kalman_forecast_f_hat, {b.rd('m')} AS kalman_f_hat, {b.rd(f'(s - {RN}) / s')} AS kalman_gain, {b.rd('p')} AS state_covariance_diag,
+  {Q}e0 AS process_noise_q, {RN}e0 AS measurement_noise_r, 0e0 AS kalman_weight, 1e0 AS rolling_weight FROM kf WHERE t = (SELECT max(t) FROM cal) - 1""",
+)
+def factor_report_filter_columns(spark, sf):
+    """The factor table of the last day with the filter's state of the day before."""
+    m, f = estimates(spark, sf)
+    f = materialize(f)
+    t = m.cal.agg(F.max("t")).first()[0]
+    r = factor_report(f, predict_factor_returns(f, "ewma", min_periods=1), t, dy.kalman_states(f, Q, RN, P0))
+    return rounded(r.select("factor", *FILTER_COLUMNS, "kalman_weight", "rolling_weight"))
+
+
 @query("kalman_stock_level")
 def kalman_stock_level(spark, sf):
     """Filter on every stock return, in K x K form."""

@@ -103,24 +103,32 @@ def factor_correlations(spark, sf):
     return rounded(pp.factor_correlations(materialize(Model(spark, sf).z()), FACTORS).select("factor", "with", "corr", "overlap"))
 
 
-@query(
-    "factor_screening",
-    f"""WITH {b.Z3}, {CELLS}, c AS ({COVER}), r AS ({COVER.replace('FROM z, cells', 'FROM raw, cells')})
+SCREENED = f"""WITH {b.Z3}, {CELLS}, c AS ({COVER}), r AS ({COVER.replace('FROM z, cells', 'FROM raw, cells')})
 SELECT factor, true AS kept, {b.rd('r.finite_cells / r.cells')} AS raw_finite_ratio, {b.rd('c.finite_cells / c.cells')} AS processed_finite_ratio,
   c.finite_dates, '' AS drop_reason FROM c JOIN r USING (factor)
 UNION ALL SELECT 'mom_1_copy', false, {b.rd('r.finite_cells / r.cells')}, {b.rd('c.finite_cells / c.cells')}, c.finite_dates, 'high_corr' FROM c JOIN r USING (factor) WHERE factor = 'mom_1'
-UNION ALL SELECT 'sparse', false, {b.rd("(SELECT count(CASE WHEN hash_in THEN 1 END) FROM (SELECT ticker = 'S1' AND mom_1 IS NOT NULL AS hash_in FROM raw)) / (SELECT cells FROM cells)")}, 0e0, 0, 'low_coverage'""",
-)
-def factor_screening(spark, sf):
-    """Coverage filter and greedy duplicate removal, one row per factor."""
+UNION ALL SELECT 'sparse', false, {b.rd("(SELECT count(CASE WHEN hash_in THEN 1 END) FROM (SELECT ticker = 'S1' AND mom_1 IS NOT NULL AS hash_in FROM raw)) / (SELECT cells FROM cells)")}, 0e0, 0, 'low_coverage'"""
+
+
+def screened(spark, sf):
     m = Model(spark, sf)
     raw = m.raw.withColumn("mom_1_copy", -F.col("mom_1")).withColumn("sparse", F.expr("CASE WHEN ticker = 'S1' THEN mom_1 END"))
     built = pp.build_exposures(
         raw, [*FACTORS, "mom_1_copy", "sparse"], MIN_NAMES, cells=pp.grid_cells(m.cal, m.raw)
     )
-    return rounded(
-        built.diagnostics.select("factor", "kept", "raw_finite_ratio", "processed_finite_ratio", "finite_dates", "drop_reason")
-    )
+    return built.diagnostics.select("factor", "kept", "raw_finite_ratio", "processed_finite_ratio", "finite_dates", "drop_reason")
+
+
+@query("factor_screening", SCREENED)
+def factor_screening(spark, sf):
+    """Coverage filter and greedy duplicate removal, one row per factor."""
+    return rounded(screened(spark, sf))
+
+
+@query("weakest_coverage", f"SELECT * FROM ({SCREENED}) ORDER BY processed_finite_ratio, factor LIMIT 3")
+def weakest_coverage(spark, sf):
+    """The three factors with the least coverage, as the report of a build names them."""
+    return rounded(dg.weakest_coverage(screened(spark, sf), 3))
 
 
 BETA = f"WITH {b.X3}, {b.ridge3(LAM)} SELECT date, n_obs, {RF} FROM beta"
