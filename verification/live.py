@@ -339,20 +339,22 @@ def recent_history(spark, sf):
 MOMZ = f"""{TICK_SQL.format(sec=86400)}, ct AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS t FROM (SELECT DISTINCT timestamp FROM ib)),
 pn AS (SELECT ib.*, t FROM ib JOIN ct USING (timestamp)), mx AS (SELECT max(t) AS mt FROM ct), us AS (SELECT DISTINCT ticker FROM ib),
 fx AS (SELECT u.ticker, a.close / p1.close - 1 AS mom_1, a.close / a.open - 1 AS intraday_return,
-  (SELECT CASE WHEN count(*) >= 10 THEN avg((h.high - h.low) / h.close) END FROM pn h WHERE h.ticker = u.ticker AND h.t > mt - 20) AS hl_range_20
+  (SELECT CASE WHEN count(*) >= 10 THEN avg((h.high - h.low) / h.close) END FROM pn h
+   WHERE h.ticker = u.ticker AND h.t > mt - 20 AND isfinite((h.high - h.low) / h.close)) AS hl_range_20
   FROM us u CROSS JOIN mx LEFT JOIN pn a ON a.ticker = u.ticker AND a.t = mt LEFT JOIN pn p1 ON p1.ticker = u.ticker AND p1.t = mt - 1)"""
 LIVE_F = ["mom_1", "intraday_return", "hl_range_20"]
 
 
 def live_z() -> str:
+    """Bounds are quantiles of the finite values, an infinity is clipped to them; five names at least, and a spread."""
     parts = []
     for n in LIVE_F:
         parts.append(
-            f"c_{n} AS (SELECT ticker, least(greatest({n}, quantile_cont({n}, 0.01) OVER ()), quantile_cont({n}, 0.99) OVER ()) AS v FROM fx WHERE {n} IS NOT NULL)"
+            f"""q_{n} AS (SELECT quantile_cont({n}, 0.01) AS lo, quantile_cont({n}, 0.99) AS hi, count(*) AS k FROM fx WHERE isfinite({n})),
+c_{n} AS (SELECT ticker, least(greatest({n}, lo), hi) AS v FROM fx, q_{n} WHERE k >= 5 AND {n} IS NOT NULL AND NOT isnan({n})),
+s_{n} AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM c_{n})"""
         )
-    cols = ", ".join(
-        f"(SELECT (v - (SELECT avg(v) FROM c_{n})) / (SELECT stddev_pop(v) FROM c_{n}) FROM c_{n} q WHERE q.ticker = fx.ticker) AS {n}" for n in LIVE_F
-    )
+    cols = ", ".join(f"(SELECT CASE WHEN s > 1e-12 THEN (v - m) / s END FROM c_{n} q, s_{n} WHERE q.ticker = fx.ticker) AS {n}" for n in LIVE_F)
     return f"{MOMZ}, {', '.join(parts)}, zz AS (SELECT ticker, {cols} FROM fx)"
 
 
