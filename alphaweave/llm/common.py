@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in rows, that an operator sends to every executor. Larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that go to a Python worker at once. Spark holds a batch as Arrow vectors and as direct buffers that double
+#: as they grow, beside the heap, and the worker holds it once more; ten thousand whole texts would be some 30 MB each time.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -25,17 +29,26 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """These session settings for what is run inside."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the cluster's shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     # The table takes the place of the shuffle files behind it.
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with settings(spark, {CLEAN_UP: "true", BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from alphaweave.session import materialize
 
-from .common import small, stored
+from .common import BATCH, BATCH_BYTES as SENT_BYTES, settings, small, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -310,7 +310,8 @@ class Join:
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id: documents link at a Jaccard similarity of `percent` on `shingle`-word shingles."""
-    return Join(docs.select("doc_id", "text"), shingle, percent).run()
+    with settings(docs.sparkSession, {BATCH: str(SENT_BYTES)}):
+        return Join(docs.select("doc_id", "text"), shingle, percent).run()
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, stored
+from .common import discard, fold, settings, stored
 
 CHUNK_TOKENS = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -336,13 +336,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Score every text by the model of the folds 1 to 9 of 10."""
     chunked = stored(chunks(docs))
     # From here a row is a chunk of many megabytes: one at a time goes to Python.
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, "1")
-    try:
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
         return _score(docs, chunked, rounds)
-    finally:
-        conf.set(name, before)
 
 
 def _score(docs: DataFrame, chunked: DataFrame, rounds: int) -> DataFrame:

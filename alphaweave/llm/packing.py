@@ -148,8 +148,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
                 columns = [pa.array(keys, pa.int64()).take(pa.array(doc[part])), *(pa.array(x[part]) for x in (start, length, sizes[doc]))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(offsets) - 1, data)], names)
 
+        keys, texts, size = [], [], 0
         for batch in batches:
-            keys, texts, size = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 keys.append(key)
@@ -158,8 +158,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
                 if size > BATCH_BYTES:
                     yield from pieces(keys, texts)
                     keys, texts, size = [], [], 0
-            if keys:
-                yield from pieces(keys, texts)
+        if keys:
+            yield from pieces(keys, texts)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 

@@ -165,7 +165,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     else:
         trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=2, seed=7).fit(train.where("part = 3"))
         p_toxic = vector_to_array("probability")[1]
-        scored = trees.transform(with_features(every, lexicon)).withColumn("score", p_toxic)
+        scored = trees.transform(stored(with_features(every, lexicon))).withColumn("score", p_toxic)
         if counts.get((4, 0.0)) and counts.get((4, 1.0)):
             known = trees.transform(train.where("part = 4")).withColumn("p", p_toxic)
             calibrated = IsotonicRegression(featuresCol="p", labelCol="label").fit(known.select("p", "label"))
