@@ -1,7 +1,9 @@
 """Cross-sectional cleaning of raw factors: winsorize, z-score, coverage, duplicates.
 
 Every per-date statistic is a partial aggregation followed by a broadcast of
-one row per date; no task ever holds a whole cross-section.
+one row per date; no task ever holds a whole cross-section. These rows are
+written once: the cleaned table has many readers, and each would otherwise
+pass over all cells again for the same few rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite_or_null, group_quantiles, join_stats, sql_finite, sql_is_finite
 from ..functions.stats import LISTED_CELLS
+from ..session import materialize
 from .keyed import attach_row
 from .universe import densify
 
@@ -28,7 +31,7 @@ def winsorize(
 
     Quantiles use finite values, but an infinity is then clipped to the bound.
     """
-    stats = group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper], listed_cells)
+    stats = materialize(group_quantiles(df, [key], {n: finite_or_null(n) for n in names}, [lower, upper], listed_cells))
     clipped = [
         f"CASE WHEN {n}__n >= {min_names} AND {n} IS NOT NULL AND NOT isnan({n}) THEN least(greatest({n}, {n}__q[0]), {n}__q[1]) END AS {n}"
         for n in names
@@ -48,7 +51,7 @@ def zscore(df: DataFrame, names: list[str], min_names: int = 30, key: str = "dat
         f"THEN ({n} - {n}__m) / {n}__s END AS {n}"
         for n in names
     ]
-    stats = df.groupBy(key).agg(*aggs)
+    stats = materialize(df.groupBy(key).agg(*aggs))
     return join_stats(df, stats, [key]).selectExpr(*[c for c in df.columns if c not in names], *scaled)
 
 

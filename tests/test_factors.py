@@ -157,3 +157,10 @@ def test_point_in_time_mask_and_stats(spark):
     assert on == {("A", d) for d in days[1:]} | {("B", d) for d in days[:3]}
     stats = uni.point_in_time_stats(df, meta.where("list_date IS NULL OR list_date <> '1990-01-01'"), uni.calendar(df)).first()
     assert (stats["blocked_observations"], stats["tickers_missing_metadata"]) == (15 - len(on), 1)
+
+
+def test_cleaned_table_does_not_pass_over_all_cells_again(spark):
+    raw = spark.range(60).selectExpr("date_add(DATE '2024-01-01', int(id % 2)) AS date", "string(id) AS ticker", "double(id * id) AS a", "double(id) AS b")
+    z = pp.preprocess(raw, ["a", "b"], 5)
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert z.count() == 60 and "Generate" not in plan and "stddev" not in plan
