@@ -101,45 +101,38 @@ def build_ttm(flat: DataFrame, min_quarters: int = 4) -> DataFrame:
     unknown at the time, so the run reaches back until it holds four periods
     that are never late; four known periods are then always in it.
     """
-    # Order of arrival; the filing date and the values break ties the same way everywhere.
-    arrival = F.struct("available_date", "end_date", "filing_date", F.struct(*VALUE_COLUMNS))
     rows = flat.where("ticker IS NOT NULL AND end_date IS NOT NULL AND available_date IS NOT NULL")
-    rows = rows.withColumn("__arrival", arrival)
-
-    # Periods of a ticker: at most one per reporting date, so these windows are short.
-    periods = rows.groupBy("ticker", "end_date").agg(F.min("__arrival").alias("__first"))
-    by_end = Window.partitionBy("ticker").orderBy("end_date")
-    later = by_end.rowsBetween(1, Window.unboundedFollowing)
-    periods = periods.select(
-        "ticker", "end_date",
-        F.row_number().over(by_end).alias("__p"),
-        F.coalesce(F.col("__first") > F.min("__first").over(later), F.lit(False)).alias("__late"),
-    )
-    on_time = F.when(~F.col("__late"), F.col("__p"))
-    recent = F.collect_list(on_time).over(by_end.rowsBetween(Window.unboundedPreceding, 0))
-    periods = periods.withColumn("__from", F.coalesce(F.try_element_at(recent, F.lit(-4)), F.lit(1))).drop("__late")
-
-    keyed = rows.join(periods, ["ticker", "end_date"]).withColumn("__id", F.struct("end_date", "__arrival"))
-    flows = F.struct(*FLOW_COLUMNS)
-    versions = keyed.select(
-        "ticker", F.col("__p").alias("__q"), "__arrival", F.lit(0).alias("__ask"), "__id", flows.alias("__flows")
-    )
-    asks = keyed.select(
-        "ticker", F.explode(F.sequence("__from", "__p")).alias("__q"), "__arrival", F.lit(1).alias("__ask"),
-        "__id", F.lit(None).cast(versions.schema["__flows"].dataType).alias("__flows"),
-    )
+    # Number of arrival; the filing date and the values break ties the same way everywhere. What comes after it is within
+    # a ticker, so one exchange by ticker serves all; a ticker has at most one period per reporting date.
+    of_ticker = Window.partitionBy("ticker")
+    arrival = F.struct("available_date", "end_date", "filing_date", F.struct(*VALUE_COLUMNS))
+    keyed = rows.withColumn("__arrival", F.row_number().over(of_ticker.orderBy(arrival)))
+    keyed = keyed.withColumn("__p", F.dense_rank().over(of_ticker.orderBy("end_date")))
+    keyed = keyed.withColumn("__first", F.min("__arrival").over(Window.partitionBy("ticker", "__p")))
+    by_end = of_ticker.orderBy("__p")
+    later = F.min("__arrival").over(by_end.rangeBetween(1, Window.unboundedFollowing))
+    keyed = keyed.withColumn("__late", F.coalesce(F.col("__first") > later, F.lit(False)))
+    on_time = F.sort_array(F.collect_set(F.when(~F.col("__late"), F.col("__p"))).over(by_end.rangeBetween(Window.unboundedPreceding, 0)))
+    keyed = keyed.withColumn("__from", F.coalesce(F.try_element_at(on_time, F.lit(-4)), F.lit(1)))
+
+    # A filing is a version of its period and asks for the periods of its run; the first entry brings the filing along.
+    flows, filing = F.struct(*FLOW_COLUMNS), F.struct(*rows.columns)
+    entry = lambda q, ask, known, row: F.struct(q.alias("__q"), F.lit(ask).alias("__ask"), known.alias("__flows"), row.alias("__row"))
+    kind = keyed.select(flows.alias("f"), filing.alias("r")).schema
+    no_flows, no_row = F.lit(None).cast(kind["f"].dataType), F.lit(None).cast(kind["r"].dataType)
+    asks = F.transform(F.sequence("__from", "__p"), lambda q: entry(q, 1, no_flows, F.when(q == F.col("__p"), filing)))
+    entries = F.concat(F.array(entry(F.col("__p"), 0, flows, no_row)), asks)
     as_of = Window.partitionBy("ticker", "__q").orderBy("__arrival", "__ask").rowsBetween(Window.unboundedPreceding, 0)
     answered = (
-        versions.unionByName(asks)
+        keyed.select("ticker", "__arrival", F.inline(entries))
         .withColumn("__known", F.last("__flows", ignorenulls=True).over(as_of))
         .where("__ask = 1 AND __known IS NOT NULL")
     )
-    four = answered.groupBy("ticker", "__id").agg(
-        F.slice(
-            F.sort_array(F.collect_list(F.struct("__q", "__known")), asc=False), 1, 4
-        ).alias("__last4")
+    four = answered.groupBy("ticker", "__arrival").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("__q", "__known")), asc=False), 1, 4).alias("__last4"),
+        F.first("__row", ignorenulls=True).alias("__row"),
     )
-    out = keyed.join(four, ["ticker", "__id"])
+    out = four.select("__last4", "__row.*")
 
     total = lambda c: (
         f"CASE WHEN size(filter(__last4, e -> {sql_is_finite(f'e.__known.{c}')})) >= {min_quarters} THEN "

@@ -115,3 +115,20 @@ def test_ratio_with_zero_denominator_is_infinite(spark):
     r = fund.fundamental_factors(df).first()
     assert r["roe"] == float("inf") and r["net_margin"] == float("inf") and r["earnings_yield"] == 5.0 / 30.0
     assert r["current_ratio"] is None and r["asset_turnover"] is None
+
+
+def test_ttm_shuffles_filings_once_and_counts_repeated_ones_once(spark):
+    rows = [
+        ("A", date(2020, 3 * q, 28), date(2020, 3 * q, 28) + timedelta(days=30), 100.0 * q) for q in (1, 2, 3, 4)
+    ]
+    rows += rows[-1:]  # the vendor sends the last filing twice
+    columns = [c for c in fund.VALUE_COLUMNS if c != "revenues"]
+    flat = spark.createDataFrame(rows, "ticker string, end_date date, available_date date, revenues double").selectExpr(
+        "*", "end_date AS start_date", "available_date AS filing_date", "'filing_date' AS availability_source", "'quarterly' AS timeframe",
+        "'Q' AS fiscal_period", "'2020' AS fiscal_year", *[f"CAST(NULL AS DOUBLE) AS {c}" for c in columns],
+    )
+    ttm = fund.build_ttm(flat)
+    last = ttm.where("end_date = DATE '2020-12-28'").collect()
+    assert [(r.ttm_quarters_available, r.revenues) for r in last] == [(4, 1000.0)] * 2
+    plan = ttm._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
