@@ -12,6 +12,7 @@ no pieces. Columns other than `doc_id` and `text` are not read.
 
 from __future__ import annotations
 
+import os
 import string
 import sys
 import types
@@ -31,7 +32,7 @@ END_ID = 1
 GROUP_PIECES = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text tokenized at once; words and parts of words a worker remembers, some 100 and 200 bytes each; ids per batch of pieces.
-BATCH_BYTES, CACHE_WORDS, CACHE_STEMS, PIECE_IDS = 2 << 20, 700_000, 800_000, 1 << 22
+BATCH_BYTES, CACHE_WORDS, CACHE_STEMS, PIECE_IDS = 1 << 20, 700_000, 800_000, 1 << 22
 #: Stands between parts of words that are tokenized in one call.
 SEPARATOR, AT_ONCE = "~", 1000
 
@@ -44,6 +45,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the tokenizer's own threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
@@ -72,11 +75,12 @@ class WordIds:
         return word.lower().decode(), ""
 
     def encoded(self, stems: list[str]) -> list[np.ndarray]:
-        """The ids of each stem; many at once, cut apart at the separator's id."""
+        """The ids of each stem; many at once, cut apart at the separator's id. An encoding takes some 150 bytes an id, so one is held at a time."""
         out: list[np.ndarray] = []
-        calls = [stems[i : i + AT_ONCE] for i in range(0, len(stems), AT_ONCE)]
-        found = self.encode([f" {SEPARATOR} ".join(c) for c in calls], add_special_tokens=False)
-        for call, ids in zip(calls, (np.array(e.ids, np.uint32) for e in found)):
+        for i in range(0, len(stems), AT_ONCE):
+            call = stems[i : i + AT_ONCE]
+            (found,) = self.encode([f" {SEPARATOR} ".join(call)], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(ids == self.separator)
             if len(ends) == len(call) - 1:
                 out += [x[k > 0 :] for k, x in enumerate(np.split(ids, ends))]

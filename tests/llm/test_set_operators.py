@@ -170,6 +170,18 @@ def test_every_id_is_packed_once(spark, monkeypatch):
     assert packing.pack_documents(docs(spark, rows).limit(0), tokenizer_path()).collect() == []
 
 
+def test_few_encodings_are_held_at_once():
+    word_ids = packing.WordIds(tokenizer_path())
+    encode, calls = word_ids.encode, []
+    word_ids.encode = lambda texts, **kw: calls.append((len(texts), max(len(t.split()) for t in texts))) or encode(texts, **kw)
+    words = [f"w{i:x}" for i in range(3 * packing.AT_ONCE)]
+    ids, sizes = word_ids([" ".join(words), "w1 w2"])
+    assert len(calls) >= 3 and all(n == 1 and size < 2 * packing.AT_ONCE for n, size in calls)
+    want = [e.ids for e in encode([" ".join(words), "w1 w2"], add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     for capacity in (1, 7, 8, 100):
