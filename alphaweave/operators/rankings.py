@@ -20,7 +20,15 @@ def with_buckets(df: DataFrame, value: str = "alpha", small_bucket: int | None =
 
     Dates with fewer than ten values get `small_bucket`.
     """
-    edges = group_quantiles(df, [key], {"x": finite_or_null(value)}, DECILES)
+    return in_buckets(df, bucket_edges(df, value, key), value, small_bucket, key, out)
+
+
+def bucket_edges(df: DataFrame, value: str = "alpha", key: str = "date") -> DataFrame:
+    return group_quantiles(df, [key], {"x": finite_or_null(value)}, DECILES)
+
+
+def in_buckets(df: DataFrame, edges: DataFrame, value: str = "alpha", small_bucket: int | None = None, key: str = "date", out: str = "quantile_bucket") -> DataFrame:
+    """`df` with the bucket between its date's `edges`."""
     joined = join_stats(df, edges, [key])
     small = F.when(is_finite(value), F.lit(small_bucket).cast("int"))
     bucket = F.when(F.col("x__n") >= 10, quantile_bucket(value, "x__q")).otherwise(small)
@@ -44,14 +52,20 @@ def top_contributors(names: list[str], positive: bool, n: int = 3, prefix: str =
 
 
 def alpha_rankings(
-    scored: DataFrame, names: list[str], cfg: BacktestConfig, company: DataFrame | None = None,
+    scored: DataFrame, names: list[str], cfg: BacktestConfig, company: DataFrame | None = None, ranks: bool = True,
 ) -> DataFrame:
     """One row per (signal date, ticker) with position change, cost, rank, bucket, contributors and reason.
 
     `scored` carries alpha, weight, previous_weight, price, dollar_volume, the
-    exposures, `c_<factor>` contributions and `fp_<factor>` forecasts.
+    exposures, `c_<factor>` contributions and `fp_<factor>` forecasts. Without
+    `ranks` the columns alpha_rank and quantile_bucket, which need a sort of all
+    rows, are left out; orders do not read them.
     """
-    df = with_rank(with_buckets(scored, "alpha", None), "alpha")
+    df, ranked = scored, ["alpha_rank", "quantile_bucket"] if ranks else []
+    if ranks:
+        # Ranks first: range partitioning computes its input twice, once for a sample.
+        edges = bucket_edges(scored, "alpha")
+        df = in_buckets(with_rank(scored, "alpha"), edges, "alpha", None)
     cost = cfg.transaction_cost_bps + cfg.slippage_bps
     df = df.selectExpr(
         "*", "weight - previous_weight AS delta",
@@ -91,7 +105,7 @@ def alpha_rankings(
         F.col("net_bps").alias("net_alpha_after_cost_bps"),
         F.lit(float(cfg.min_net_alpha_after_cost_bps)).alias("min_net_alpha_after_cost_bps"),
         F.coalesce(F.col("net_bps") >= cfg.min_net_alpha_after_cost_bps, F.lit(False)).alias("passes_cost_threshold"),
-        "alpha_rank", "quantile_bucket",
+        *ranked,
         F.array_join("top_pos", ";").alias("top_positive_factor_contributors"),
         F.array_join("top_neg", ";").alias("top_negative_factor_contributors"),
         factor_json(names, [F.col(n) for n in names]).alias("factor_exposures"),

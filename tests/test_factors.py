@@ -164,3 +164,16 @@ def test_cleaned_table_does_not_pass_over_all_cells_again(spark):
     z = pp.preprocess(raw, ["a", "b"], 5)
     plan = z._jdf.queryExecution().executedPlan().toString()
     assert z.count() == 60 and "Generate" not in plan and "stddev" not in plan
+
+
+def test_bars_of_rows_at_one_time_follow_the_whole_row(spark, tmp_path):
+    from alphaweave.sources import adapters
+
+    rows = [(7, 1, 2, 9, 4.0, 8.0), (7, 1, 1, 9, 5.0, 5.0), (7, 1, 2, 3, 2.0, 6.0), (7, 2, 1, 9, 1.0, 7.0), (7, 1, 1, 9, 1.0, 5.0)]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double")
+    lines.selectExpr("*", "TIMESTAMP '2024-01-05 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    bars = adapters.bars_supplier_month(spark, str(tmp_path))
+    r = bars.first()
+    assert (r["ticker"], str(r["date"]), r["open"], r["high"], r["low"], r["close"], r["volume"]) == ("S7", "2024-01-01", 5.0, 7.0, 1.0, 7.0, 13.0)
+    grouped = bars._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1].split("]")[0]
+    assert grouped.startswith("l_suppkey") and "concat" not in grouped

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from alphaweave.config import BacktestConfig
 from alphaweave.functions import group_quantiles, group_rank
 from alphaweave.functions.stats import value_bucket
+from alphaweave.operators import rankings as rk
 from alphaweave.operators import ridge as rg
 from alphaweave.operators.book import run_book
 from alphaweave.operators.dynamic import kalman_from_stocks
@@ -274,3 +275,35 @@ def test_similarity_coordinates_are_singular_vectors(spark):
     vt = np.linalg.svd(c / np.linalg.norm(c, axis=0), full_matrices=False)[2][:3]
     mine = np.array([got[f"T{n}"] for n in range(5)]).T
     np.testing.assert_allclose(np.abs(mine), np.abs(vt), atol=1e-8)
+
+
+def scored(spark):
+    return spark.range(24).selectExpr(
+        "date_add(DATE '2024-01-01', int(id % 2)) AS date", "int(id % 2) AS t", "string(id) AS ticker", "double(id * 7 % 12) AS alpha",
+        "0.1D AS weight", "0D AS previous_weight", "10D AS price", "1e9D AS dollar_volume", "1D AS a", "1D AS c_a", "1D AS fp_a",
+    )
+
+
+def test_rows_are_ranked_before_their_buckets_are_joined(spark, monkeypatch):
+    seen, rank = [], rk.group_rank
+    monkeypatch.setattr(rk, "group_rank", lambda df, *a: seen.append(df.columns) or rank(df, *a))
+    got = rk.alpha_rankings(scored(spark), ["a"], BacktestConfig()).collect()
+    assert len(got) == 24 and "quantile_bucket" not in seen[0]
+    for day in (0, 1):
+        rows = sorted((r for r in got if r["t"] == day), key=lambda r: r["alpha_rank"])
+        assert [r["alpha_rank"] for r in rows] == list(range(1, 13))
+        assert [(-r["alpha_score"], r["ticker"]) for r in rows] == sorted((-r["alpha_score"], r["ticker"]) for r in rows)
+        assert {r["quantile_bucket"] for r in rows} <= set(range(1, 11)) and rows[0]["quantile_bucket"] > rows[-1]["quantile_bucket"]
+
+
+def test_orders_need_no_ranks(spark, monkeypatch):
+    whole = rk.alpha_rankings(scored(spark), ["a"], BacktestConfig())
+    monkeypatch.setattr(rk, "group_rank", None)
+    got = rk.alpha_rankings(scored(spark), ["a"], BacktestConfig(), ranks=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(*got.columns).collect()))
+    assert set(whole.columns) - set(got.columns) == {"alpha_rank", "quantile_bucket"}
+
+
+def test_rows_without_a_date_stay_apart_in_triangles(spark):
+    rows = spark.range(8).selectExpr("CASE WHEN id < 5 THEN DATE '2024-01-01' END AS date", "array(double(id), 1D) AS x", "double(id) AS y").coalesce(1)
+    assert sorted(r["n"] for r in rg.triangles(rows, 2).collect()) == [3, 5]
