@@ -45,7 +45,7 @@ class Desk:
         self.meta = adapters.supplier_meta(spark, sf, gaps=True)
         self.panel = materialize(scored_panel(self.x, self.pred, FACTORS, self.bars, self.meta, cfg))
         weighted, self.info = pf.rank_weights(self.panel, cfg)
-        self.weighted = materialize(pf.apply_price_floor(weighted, cfg.min_price))
+        self.weighted = materialize(pf.apply_price_floor(weighted, cfg.min_price).select("ticker", "date", "t", "weight"))
 
     def executed(self):
         res = execution_returns(self.weighted.select("ticker", "t", "weight"), self.bars, self.m.cal, self.cfg)
@@ -214,14 +214,15 @@ ranked AS (
   FROM pw2)"""
 
 
-def ranked_table(spark, sf):
+def ranked_table(spark, sf, ranks: bool = False):
     d = Desk(spark, sf)
     t = d.executed()
     prev = pf.previous_weights(t, d.m.cal).select("t", "ticker", F.col("weight").alias("__w"), "previous_weight")
     full = d.panel.join(prev, ["t", "ticker"], "left").withColumns(
         {"weight": F.coalesce("__w", F.lit(0.0)), "previous_weight": F.coalesce("previous_weight", F.lit(0.0))}
     ).drop("__w")
-    return d, t, rk.alpha_rankings(materialize(full), FACTORS, CFG)
+    # With ranks the table has several readers.
+    return d, t, rk.alpha_rankings(materialize(full) if ranks else full, FACTORS, CFG, ranks=ranks)
 
 
 @query(
@@ -235,7 +236,7 @@ def ranked_table(spark, sf):
 )
 def alpha_rankings(spark, sf):
     """Report table with sides, ranks, buckets and contributors."""
-    _, _, r = ranked_table(spark, sf)
+    _, _, r = ranked_table(spark, sf, ranks=True)
     return rounded(
         r.select(
             "signal_date", "ticker", "side", "current_weight", "target_weight", "order_weight_delta", "alpha_score",
