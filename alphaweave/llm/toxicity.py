@@ -88,9 +88,9 @@ class Words(dict):
 
     REMEMBERED = 200_000
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known, self.second = lexicon, frozenset(INSULTS), frozenset(SECOND_PERSON)
-        self.begin = frozenset(e.lstrip("=")[:3] for e in lexicon)
+    def __init__(self, lexicon: dict[str, float], known: frozenset[str] = frozenset(INSULTS), second: frozenset[str] = frozenset(SECOND_PERSON), begin: frozenset[str] | None = None):
+        self.lexicon, self.known, self.second = lexicon, known, second
+        self.begin = frozenset(e.lstrip("=")[:3] for e in lexicon) if begin is None else begin
 
     def __missing__(self, w: str) -> tuple[bool, float, bool] | None:
         weight = 0.0
@@ -107,7 +107,9 @@ class Words(dict):
 CAPITALS = np.array([chr(i).isupper() for i in range(0x110000)])
 
 
-def features(text: str, of: Words) -> list[float]:
+def features(text: str, of: Words | dict[str, float], *lists: frozenset[str]) -> list[float]:
+    """The features of a text. In place of `Words` a lexicon and the lists that make them may be given."""
+    of = of if isinstance(of, Words) else Words(of, *lists)
     words = WORDS.findall(text.lower())
     n = max(1, len(words))
     said = [(i, x) for i, x in enumerate(map(of.__getitem__, words)) if x]
