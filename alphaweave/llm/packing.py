@@ -12,12 +12,16 @@ no pieces. Columns other than `doc_id` and `text` are not read.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import string
 import sys
+import threading
 import types
 from array import array
-from itertools import repeat
+from contextlib import contextmanager, suppress
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,8 +35,10 @@ WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of text tokenized at once; words and parts of words a worker remembers, some 100 and 200 bytes each; ids per batch of pieces.
-BATCH_BYTES, CACHE_WORDS, CACHE_STEMS, PIECE_IDS = 1 << 20, 700_000, 800_000, 1 << 22
+#: Bytes of text tokenized at once; words a worker remembers, some 300 bytes each; ids per batch of pieces.
+BATCH_BYTES, CACHE_WORDS, PIECE_IDS = 1 << 20, 700_000, 1 << 22
+#: Seconds for which a worker remembers them after a task.
+KEPT_SECONDS = 20
 #: Stands between parts of words that are tokenized in one call.
 SEPARATOR, AT_ONCE = "~", 1000
 
@@ -44,24 +50,28 @@ class WordIds:
     so the ids of a text are those of its words, and those of a word are its stem's and its closing signs'.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int | None = None):
         # A task has one core; the tokenizer's own threads would each keep memory of their own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         (self.separator,) = self.encode([SEPARATOR], add_special_tokens=False)[0].ids
-        self.forget()
-
-    def forget(self) -> None:
+        self.remember = CACHE_WORDS if remember is None else remember
         self.stems: dict[str, int] = {"": 0}
         self.flat, self.starts, self.lengths = array("I"), array("q", [0]), array("q", [0])
-        self.forget_words()
-
-    def forget_words(self) -> None:
         self.index: dict[bytes, int] = {}
         self.parts_of = array("i")  # two stems a word; the second one may be empty
 
+    def forget(self) -> None:
+        """Half the words, those learned first, stay with their stems: common ones are met early, most later ones but once."""
+        self.index = dict(islice(self.index.items(), self.remember // 2))
+        self.parts_of = self.parts_of[: 2 * len(self.index)]
+        n = max(self.parts_of, default=0) + 1
+        self.stems = dict(islice(self.stems.items(), n))
+        self.starts, self.lengths = self.starts[:n], self.lengths[:n]
+        self.flat = self.flat[: self.starts[-1] + self.lengths[-1]]
+
     @staticmethod
     def parts(word: bytes) -> tuple[str, str]:
         if word.isalpha():  # ASCII letters alone
@@ -74,37 +84,38 @@ class WordIds:
             return word[: len(stem.encode())].lower().decode(), text[len(stem) :]
         return word.lower().decode(), ""
 
-    def encoded(self, stems: list[str]) -> list[np.ndarray]:
-        """The ids of each stem; many at once, cut apart at the separator's id. An encoding takes some 150 bytes an id, so one is held at a time."""
-        out: list[np.ndarray] = []
+    def encoded(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stems and the number of each's; many at once, told apart by the separator's id. An encoding takes some 150 bytes an id, so one is held at a time."""
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(stems), AT_ONCE):
             call = stems[i : i + AT_ONCE]
             (found,) = self.encode([f" {SEPARATOR} ".join(call)], add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(ids == self.separator)
             if len(ends) == len(call) - 1:
-                out += [x[k > 0 :] for k, x in enumerate(np.split(ids, ends))]
+                parts.append(np.delete(ids, ends))
+                sizes.append(np.diff(np.r_[-1, ends, len(ids)]) - 1)
             else:  # a stem holds the separator
-                out += [np.array(e.ids, np.uint32) for e in self.encode(call, add_special_tokens=False)]
-        return out
+                each = [e.ids for e in self.encode(call, add_special_tokens=False)]
+                parts += [np.array(x, np.uint32) for x in each]
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(parts), np.concatenate(sizes)
 
     def learn(self, words: list[bytes]) -> None:
         parts = [self.parts(w) for w in words]
         stems = list({p for x in parts for p in x if p not in self.stems})
-        for stem, ids in zip(stems, self.encoded(stems)):
-            self.stems[stem] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat.frombytes(ids.tobytes())
+        ids, sizes = self.encoded(stems)
+        self.stems.update(zip(stems, range(len(self.starts), len(self.starts) + len(stems))))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.lengths.frombytes(sizes.tobytes())
+        self.flat.frombytes(ids.tobytes())
         self.parts_of.extend([self.stems[p] for x in parts for p in x])
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the number of ids of each."""
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.index) > self.remember:
             self.forget()
-        elif len(self.index) > CACHE_WORDS:
-            self.forget_words()
         split = [t.encode().split() for t in texts]
         words = [w for x in split for w in x]
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
@@ -121,20 +132,39 @@ class WordIds:
         return ids, np.diff(upto)
 
 
-def worker_word_ids(path: str) -> WordIds:
-    """The worker process keeps what it has learned from one task to the next."""
-    kept = sys.modules.setdefault("_kept_word_ids", types.ModuleType("_kept_word_ids")).__dict__
-    return kept[path] if path in kept else kept.setdefault(path, WordIds(path))
+def _forget(kept: dict, path: str) -> None:
+    """Drop what is kept and give its memory back to the system."""
+    kept.pop(path, None)
+    gc.collect()
+    with suppress(AttributeError, OSError, TypeError):  # glibc holds on to what the tokenizer has freed
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+@contextmanager
+def worker_word_ids(path: str, remember: int):
+    """What the worker process has learned, kept for a task that soon follows. After that its memory goes back, as tasks of
+    other stages run in the same process."""
+    kept = sys.modules.setdefault("_kept_word_ids", types.ModuleType("_kept_word_ids")).__dict__
+    word_ids, timer = kept.pop(path, (None, None))
+    if timer:
+        timer.cancel()
+    word_ids = word_ids or WordIds(path)
+    word_ids.remember = remember
+    try:
+        yield word_ids
+    finally:
+        timer = threading.Timer(KEPT_SECONDS, _forget, (kept, path))
+        timer.daemon = True
+        kept[path] = word_ids, timer
+        timer.start()
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, remember: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens and its ids as little-endian unsigned 32-bit numbers."""
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
     def cut(batches):
-        word_ids = worker_word_ids(tokenizer_path)
-
-        def pieces(keys, texts):
+        def pieces(word_ids, keys, texts):
             ids, sizes = word_ids(texts)
             # Every text's end id goes behind its last one; the pieces then follow each other in one array.
             ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
@@ -152,18 +182,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
                 columns = [pa.array(keys, pa.int64()).take(pa.array(doc[part])), *(pa.array(x[part]) for x in (start, length, sizes[doc]))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(offsets) - 1, data)], names)
 
-        keys, texts, size = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                keys.append(key)
-                texts.append(text)
-                size += len(text)
-                if size > BATCH_BYTES:
-                    yield from pieces(keys, texts)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield from pieces(keys, texts)
+        with worker_word_ids(tokenizer_path, remember) as word_ids:
+            keys, texts, size = [], [], 0
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    text = text.as_py() or ""
+                    keys.append(key)
+                    texts.append(text)
+                    size += len(text)
+                    if size > BATCH_BYTES:
+                        yield from pieces(word_ids, keys, texts)
+                        keys, texts, size = [], [], 0
+            if keys:
+                yield from pieces(word_ids, keys, texts)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -225,7 +256,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIEC
     return dealt.groupBy("group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
-    """Every piece with the crc32 of its ids and its place."""
-    pieces = token_pieces(docs, tokenizer_path, window).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.monotonically_increasing_id().alias("piece"))
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, remember: int = CACHE_WORDS) -> DataFrame:
+    """Every piece with the crc32 of its ids and its place. Workers remember so many words: fewer take less memory and more time."""
+    pieces = token_pieces(docs, tokenizer_path, window, remember=remember).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.monotonically_increasing_id().alias("piece"))
     return pack(stored(pieces), window)

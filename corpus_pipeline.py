@@ -14,6 +14,9 @@ from alphaweave.llm import jaccard_join, mixing, packing, pseudonyms, toxicity
 from alphaweave.llm.common import documents, small, stored
 from alphaweave.llm.queries import tokenizer_path
 
+#: Words that a packing worker remembers: by then the executor's heap has grown with the stages before.
+REMEMBER = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Null and empty texts are scored like others; rows without a doc_id stay."""
@@ -41,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in windows of 2048; a null or empty text is its end id alone. Repeated rows are pieces of their own."""
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), remember=REMEMBER)
 
 
 STAGES = [

@@ -8,6 +8,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -182,6 +183,41 @@ def test_few_encodings_are_held_at_once():
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
 
 
+def test_common_words_stay_when_rare_ones_are_forgotten():
+    word_ids = packing.WordIds(tokenizer_path(), 50)
+    encode, learn, learned = word_ids.encode, word_ids.learn, []
+    word_ids.learn = lambda words: learned.extend(words) or learn(words)
+    common = [f"Common{i}," for i in range(20)]
+    for k in range(30):
+        text = " ".join([*common, *(f"rare{k}x{i} a~b{k}{i}..." for i in range(10)), "<|endoftext|>"])
+        ids, sizes = word_ids([text, ""])
+        assert ids.tolist() == encode([text], add_special_tokens=False)[0].ids and sizes.tolist() == [len(ids), 0]
+        assert len(word_ids.index) <= 50 + 41 and len(word_ids.stems) <= 2 * len(word_ids.index) + 1
+    # Common words are learned once and not each time that rare ones are forgotten.
+    assert all(learned.count(w.encode()) == 1 for w in common)
+
+
+def test_workers_forget_words_when_no_task_follows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_SECONDS", 0.5, raising=False)
+    path, table = tokenizer_path(), docs(spark, EDGES).select("doc_id", "text")
+
+    def state(batches):
+        import pyarrow as pa
+
+        kept = sys.modules.get("_kept_word_ids")
+        for batch in batches:
+            flags = [pa.array([kept is not None]), pa.array([path in vars(kept or sys)])]
+            yield pa.RecordBatch.from_arrays(flags, ["used", "holds"])
+
+    def states():
+        return table.mapInArrow(state, "used boolean, holds boolean").collect()
+
+    first = packing.token_pieces(table, path).count()
+    time.sleep(3)
+    assert any(r.used for r in states()) and not any(r.holds for r in states())
+    assert packing.token_pieces(table, path).count() == first
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     for capacity in (1, 7, 8, 100):
