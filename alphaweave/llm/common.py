@@ -61,7 +61,8 @@ def discard(table: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a stored table for broadcast if it is counted to be small, else leave the join to a shuffle."""
+    """Mark a stored table for broadcast if it is counted to be small, else leave the join to a shuffle. Its rows are counted,
+    not measured: a large table of lists is none for this."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from alphaweave.session import materialize
 
-from .common import BATCH, BATCH_BYTES as SENT_BYTES, settings, small, stored
+from .common import BATCH, BATCH_BYTES as SENT_BYTES, discard, settings, small, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -169,9 +169,14 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
-        self.heads = stored(heads(docs, k, percent))
-        self.classes = materialize(self.heads.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+        written = stored(heads(docs, k, percent))
+        self.classes = materialize(written.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
         self.n_classes = self.classes.count()
+        # First shingles are read several times, and only those of the least document of equal sets.
+        first = written.join(small(self.classes.select("h1", "h2", "rep"), self.n_classes), ["h1", "h2"]).where("doc_id = rep")
+        self.first = stored(first.select("rep", "n", "head"))
+        self.heads = stored(written.drop("head"))
+        discard(written)
 
     def texts_of(self, rows: DataFrame) -> DataFrame:
         """`rows` (rep and others) with the texts."""
@@ -265,7 +270,7 @@ class Join:
 
     def candidates(self) -> DataFrame:
         """Pairs (a, b) that tie every document to all it may link with, directly or through others."""
-        first = self.heads.join(small(self.classes.select("h1", "h2", "rep"), self.n_classes), ["h1", "h2"]).where("doc_id = rep").select("rep", "n", "head")
+        first = self.first
         placed = first.select("rep", F.explode("head").alias("s"))
         shared = materialize(placed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1"))
         twice = shared.where("c = 2").select(*_ordered(F.col("lo"), F.col("hi")))
@@ -276,12 +281,12 @@ class Join:
         hits = placed.join(small(frequent, n_frequent), "s").groupBy("rep").agg(F.count(F.lit(1)).alias("f"))
         p = prefix_length(F.col("n"), self.percent)
         lacking = materialize(first.select("rep", p.alias("p"), F.size("head").alias("size")).join(hits, "rep").where("size - f < p").groupBy("rep").agg(F.max("p").alias("p"), F.max("size").alias("size")))
-        n_lacking = lacking.count()
-        whole = stored(whole_sets(self.docs.select(F.col("doc_id").alias("rep"), "text").join(small(lacking, n_lacking), "rep").select("rep", "p", "size", "text"), self.k))
+        whole = stored(whole_sets(self.docs.select(F.col("doc_id").alias("rep"), "text").join(small(lacking), "rep").select("rep", "p", "size", "text"), self.k))
         common = whole.select("rep", F.explode("shingles").alias("s")).join(small(frequent, n_frequent), "s").groupBy("rep").agg(F.collect_set(F.struct("power", "s")).alias("common"))
         none = F.array().cast("array<struct<power:bigint,s:bigint>>")
         late = F.transform(F.array_sort(F.coalesce("common", none)), lambda x: x["s"])
-        own = whole.join(small(common, n_lacking), "rep", "left").select("rep", F.element_at("shingles", F.least(F.col("size"), F.size("shingles"))).alias("edge"), F.slice(F.array_except("shingles", late), F.lit(1), F.col("p").cast("int")).alias("rare"), F.col("p").cast("int").alias("p"), F.array_intersect(late, "shingles").alias("late"))
+        # Not broadcast: a row holds a whole list, some 4 kB where a row of numbers takes some 100 bytes.
+        own = whole.join(common, "rep", "left").select("rep", F.element_at("shingles", F.least(F.col("size"), F.size("shingles"))).alias("edge"), F.slice(F.array_except("shingles", late), F.lit(1), F.col("p").cast("int")).alias("rare"), F.col("p").cast("int").alias("p"), F.array_intersect(late, "shingles").alias("late"))
         filled = own.select("rep", "edge", F.col("rare"), F.slice("late", F.lit(1), F.greatest(F.lit(0), F.col("p") - F.size("rare"))).alias("late"))
         prefixes = stored(filled)
         beyond = prefixes.select(F.col("rep").alias("other"), F.explode(F.filter("rare", lambda s: s > F.col("edge"))).alias("s"))

@@ -86,6 +86,15 @@ def test_join_equals_all_pairs(spark, monkeypatch, small):
         assert jaccard_join.join(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_join_broadcasts_rows_of_few_numbers(spark, monkeypatch):
+    """A row with a list takes kilobytes; as many of them as rows of numbers are too much for a driver."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.dtypes) or broadcast(df))
+    rows = families()
+    assert 0 < jaccard_join.one_of_each(docs(spark, rows), 3, 80).count() < len(rows)
+    assert len(sent) > 5 and {kind for columns in sent for _, kind in columns} <= {"bigint", "int", "boolean"}
+
+
 def test_shared_counts_equal_sets():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 5, 30, 50, 50)]
